@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -59,3 +60,20 @@ def single_thread() -> None:
 
 def empty(spark: SparkSession, schema: str) -> DataFrame:
     return spark.createDataFrame([], T._parse_datatype_string(schema))
+
+
+def running_sum(df: DataFrame, key: list[str], bucket: str, order: list, value: str, out: str, more: DataFrame | None = None) -> DataFrame:
+    """df with out: the sum of value over a key's rows before this one, by bucket and then by order.
+
+    Two levels keep a hot key from one task: sums of (key, bucket) first, running over the few
+    buckets of a key; then a running sum inside each (key, bucket). more: a row for each key,
+    whose columns come along with the buckets' sums.
+    """
+    sums = df.groupBy(*key, bucket).agg(F.sum(value).alias("_sum"))
+    before = W.partitionBy(*key).orderBy(bucket).rowsBetween(W.unboundedPreceding, -1)
+    sums = sums.withColumn("_base", F.coalesce(F.sum("_sum").over(before), F.lit(0))).drop("_sum")
+    if more is not None:
+        sums = sums.join(more, key)
+    inside = W.partitionBy(*key, bucket).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    rows = df.withColumn("_inside", F.sum(value).over(inside) - F.col(value))
+    return rows.join(sums, [*key, bucket]).withColumn(out, F.col("_inside") + F.col("_base")).drop("_inside", "_base")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, exact_dedup, simhash, token_counts
+from . import common, exact_dedup, mixing, simhash, token_counts
 
 
 def vocabulary(name: str) -> str:
@@ -16,6 +16,10 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.report(common.table(spark, sf_dir, "documents"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.report(common.table(spark, sf_dir, "documents"))
 
@@ -30,6 +34,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mixing": op1_mixing,
     "op7_exact_dedup": op7_exact_dedup,
     "op9_token_counts": op9_token_counts,
     "op10_simhash": op10_simhash,
