@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, exact_dedup, mixing, simhash, token_counts
+from . import common, exact_dedup, mixing, packing, simhash, token_counts
 
 
 def vocabulary(name: str) -> str:
@@ -20,6 +20,10 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(common.table(spark, sf_dir, "documents"))
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.report(common.table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end=2)
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.report(common.table(spark, sf_dir, "documents"))
 
@@ -35,6 +39,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
+    "op6_packing": op6_packing,
     "op7_exact_dedup": op7_exact_dedup,
     "op9_token_counts": op9_token_counts,
     "op10_simhash": op10_simhash,
