@@ -31,9 +31,9 @@ from . import common
 
 BITS = 64
 #: Values that a bucket holds on average, and those that a pass in a bucket sorts at once.
-BUCKET_VALUES = 1 << 21
+BUCKET_VALUES = 1 << 19
 #: Shingles whose bits are counted at once.
-BLOCK = 1 << 15
+BLOCK = 1 << 12
 
 
 def fingerprint(raw: bytes, width: int) -> int:
@@ -132,6 +132,7 @@ def edges(fps: DataFrame, radius: int) -> DataFrame:
 
     def run(key, rows):
         a, b = stars(rows.column("fp").to_numpy().view(np.uint64), key[0].as_py(), masks, mask_bucket, h, radius)
+        common.give_back()
         return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
 
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
