@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, exact_dedup, language_id, mixing, packing, simhash, token_counts
+from . import common, exact_dedup, language_id, lm, mixing, packing, simhash, token_counts
 
 
 def vocabulary(name: str) -> str:
@@ -24,6 +24,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.report(common.table(spark, sf_dir, "documents"))
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.report(common.table(spark, sf_dir, "documents"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.report(common.table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end=2)
 
@@ -44,6 +48,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_language_id": op2_language_id,
+    "op4_lm_scoring": op4_lm_scoring,
     "op6_packing": op6_packing,
     "op7_exact_dedup": op7_exact_dedup,
     "op9_token_counts": op9_token_counts,
