@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, exact_dedup, language_id, lm, mixing, packing, simhash, token_counts
+from . import common, exact_dedup, language_id, lm, mixing, packing, quality, simhash, token_counts
 
 
 def vocabulary(name: str) -> str:
@@ -36,6 +36,10 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.report(common.table(spark, sf_dir, "documents"))
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.report(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = token_counts.token_counts(common.table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), 4096)
     return found.select("doc_id", "n_bytes", "n_tokens", "over_limit")
@@ -51,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_lm_scoring": op4_lm_scoring,
     "op6_packing": op6_packing,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_quality_rules": op8_quality_rules,
     "op9_token_counts": op9_token_counts,
     "op10_simhash": op10_simhash,
 }
