@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, exact_dedup, language_id, lm, mixing, packing, quality, simhash, token_counts
+from . import chat, common, exact_dedup, language_id, lm, mixing, packing, quality, simhash, token_counts
 
 
 def vocabulary(name: str) -> str:
@@ -28,6 +28,10 @@ def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.report(common.table(spark, sf_dir, "documents"))
 
 
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.report(common.table(spark, sf_dir, "conversations"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.report(common.table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end=2)
 
@@ -53,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_language_id": op2_language_id,
     "op4_lm_scoring": op4_lm_scoring,
+    "op5_chat_format": op5_chat_format,
     "op6_packing": op6_packing,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_quality_rules": op8_quality_rules,
