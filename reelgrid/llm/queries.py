@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, common, exact_dedup, language_id, lm, mixing, packing, quality, simhash, token_counts
+from . import chat, common, exact_dedup, language_id, lm, mixing, packing, quality, simhash, suffix_dedup, token_counts
 
 
 def vocabulary(name: str) -> str:
@@ -24,6 +24,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.report(common.table(spark, sf_dir, "documents"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.passages(common.table(spark, sf_dir, "documents"))
+
+
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.report(common.table(spark, sf_dir, "documents"))
 
@@ -56,6 +60,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_language_id": op2_language_id,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_lm_scoring": op4_lm_scoring,
     "op5_chat_format": op5_chat_format,
     "op6_packing": op6_packing,
