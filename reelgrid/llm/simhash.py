@@ -19,13 +19,14 @@ null if it has no other).
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import ArrowUDFType
 
 from . import common
 
@@ -53,17 +54,16 @@ def fingerprint(raw: bytes, width: int) -> int:
     return int(np.packbits(bits, bitorder="little").view(np.uint64)[0])
 
 
-def with_fingerprint(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id and fp (the fingerprint's bits as a long) of each row."""
-    common.bounded_batches(docs.sparkSession)
+def fingerprints(spark: SparkSession, width: int) -> Callable[[Column], Column]:
+    """A column function: the bits of a text's fingerprint as a long."""
+    common.bounded_batches(spark)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            fp = np.array([fingerprint(x, width) for x in b.column("text").to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp)], names=["doc_id", "fp"])
+    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for some in texts:
+            yield pa.array(np.array([fingerprint(x, width) for x in some.to_pylist()], np.uint64).view(np.int64))
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", common.utf8(F.col("text")).alias("text")).mapInArrow(run, f"doc_id {kind}, fp long")
+    udf = F.arrow_udf(run, "long", ArrowUDFType.SCALAR_ITER)
+    return lambda text: udf(common.utf8(text))
 
 
 def ball(radius: int) -> np.ndarray:
@@ -128,14 +128,14 @@ def edges(fps: DataFrame, radius: int) -> DataFrame:
     for j in range(h):
         bits = sum(1 << i for i in range(j, BITS, h))
         own = own.bitwiseOR(F.shiftleft(F.bit_count(F.col("fp").bitwiseAND(F.lit(bits - (1 << BITS) if bits >> 63 else bits))).cast("long").bitwiseAND(F.lit(1)), j))
-    sent = fps.select(F.explode(F.transform(F.array(*[F.lit(int(x)) for x in reached]), lambda m: own.bitwiseXOR(m))).alias("bucket"), "fp")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    sent = fps.repartition(parts).select(F.explode(F.transform(F.array(*[F.lit(int(x)) for x in reached]), lambda m: own.bitwiseXOR(m))).alias("bucket"), "fp")
 
     def run(key, rows):
         a, b = stars(rows.column("fp").to_numpy().view(np.uint64), key[0].as_py(), masks, mask_bucket, h, radius)
         common.give_back()
         return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
 
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     return sent.repartition(max(parts, min(1 << h, 4 * parts)), "bucket").groupBy("bucket").applyInArrow(run, "a long, b long").distinct()
 
 
@@ -163,13 +163,28 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, width: int, radius: int) -> DataFrame:
     """doc_id, fp and component_id (smallest doc_id reachable over links) of each row."""
-    rows = common.written(with_fingerprint(docs, width), "fingerprints")
+    rows = common.written(docs.select("doc_id", fingerprints(docs.sparkSession, width)(F.col("text")).alias("fp")), "fingerprints")
+    return rows.join(labels(rows, radius), "fp", "left").select("doc_id", "fp", "component_id")
+
+
+def labels(rows: DataFrame, radius: int) -> DataFrame:
+    """fp, component_id (smallest doc_id in its component) and component of the distinct fingerprints in rows (doc_id, fp); written."""
     ids = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
     linked = components(edges(ids.select("fp"), radius))
     label = ids.join(linked, ids.fp == linked.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     least = label.groupBy("component").agg(F.min("least").alias("component_id"))
-    label = common.written(label.join(least, "component").select("fp", "component_id"), "labels")
-    return rows.join(label, "fp", "left").select("doc_id", "fp", "component_id")
+    return common.written(label.join(least, "component").select("fp", "component_id", "component"), "labels")
+
+
+def deduplicated(docs: DataFrame, width: int, radius: int) -> DataFrame:
+    """Of each component the row of docs with the smallest doc_id (null last; one of repeated rows), with its own columns."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(F.monotonically_increasing_id().alias("_row"), "doc_id", fingerprints(docs.sparkSession, width)(F.col("text")).alias("fp"), whole.alias("_doc"))
+    rows = common.written(rows, "near")
+    light = rows.select("_row", "doc_id", "fp")
+    placed = light.join(labels(light, radius), "fp")
+    first = placed.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))["_row"].alias("_row"))
+    return rows.join(first.select("_row"), "_row", "left_semi").select("_doc.*")
 
 
 def report(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFrame:
