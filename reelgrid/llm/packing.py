@@ -18,6 +18,7 @@ whenever the same split is read again, as after a lost executor.
 
 from __future__ import annotations
 
+import re
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import cache
@@ -37,8 +38,11 @@ DEPTH = 3
 #: Tokens that a task plans at once, and the smallest gap for which a document is cut.
 SHARD = 1 << 22
 GAP = 16
-#: Words whose ids a worker keeps; beyond it the table starts anew.
-CACHE = 300_000
+#: Words whose ids a worker keeps twice over: a full table is put behind a new one, to which words move as they are met again.
+CACHE = 400_000
+#: Words in whose form normalisation changes nothing but case, with a sign behind them or none, and how many are encoded as one text.
+PLAIN = re.compile(r"[a-zß-öø-ÿ]+([.,;:!?*#$%&]*)")
+JOINED = 500
 SCHEMA = "start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 _loaded: dict[str, WordEncoder] = {}
 
@@ -54,23 +58,65 @@ class WordEncoder:
         ids = self.tokenizer.encode_batch(["x y\tz", "x", "y", "z"], add_special_tokens=False)
         if ids[0].ids != [i for x in ids[1:] for i in x.ids]:
             raise ValueError(f"{path}: its ids depend on white space")
+        self.folds = self.tokenizer.normalizer is not None and self.tokenizer.normalizer.normalize_str("AZ") == "az"
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        # ids that end a word, if the model marks ends and a run of letters or of signs is one of its words
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.ends = None
+        if suffix:
+            self.ends = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
+            self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(suffix)]] = True
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+
+    def words(self, text: bytes) -> list[bytes]:
+        """The text's words, in lower case (A-Z) if the tokenizer has no other and no control string is spelt by that."""
+        low = text.lower() if self.folds else text
+        return (text if any(x in low for x in self.special) else low).split()
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """For each UTF-8 text its ids as little-endian unsigned 32-bit integers."""
-        cut = [t.split() for t in texts]
+        cut = [self.words(t) for t in texts]
         missing = {w for x in cut for w in x}.difference(self.known)
         if len(self.known) + len(missing) > CACHE:
-            self.known.clear()
+            self.older, self.known = self.known, {}
             missing = {w for x in cut for w in x}
-        if missing:
-            words = list(missing)
-            for w, e in zip(words, self.tokenizer.encode_batch([w.decode() for w in words], add_special_tokens=False), strict=True):
-                self.known[w] = np.array(e.ids, "<u4").tobytes()
+        new = []
+        for w in missing:
+            if (ids := self.older.get(w)) is None:
+                new.append(w)
+            else:
+                self.known[w] = ids
+        if new:
+            self.known.update(zip(new, self.encoded(new), strict=True))
         get = self.known.__getitem__
         return [b"".join(map(get, x)) for x in cut]
 
 
+    def encoded(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each of some distinct words: plain ones many in a text, whose ends the vocabulary marks, the others alone."""
+        texts = [w.decode() for w in words]
+        out: list[bytes] = [b""] * len(words)
+        kinds = [PLAIN.fullmatch(t) for t in texts] if self.ends is not None else [None] * len(texts)
+        alone = [i for i, k in enumerate(kinds) if k is None]
+        plain = [i for i, k in enumerate(kinds) if k is not None]
+        groups = [plain[at : at + JOINED] for at in range(0, len(plain), JOINED)]
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join([texts[i] for i in g]) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            at = np.flatnonzero(self.ends[ids]) + 1
+            last = np.cumsum([2 if kinds[i][1] else 1 for i in group]) - 1
+            if len(at) != last[-1] + 1 or at[-1] != len(ids):
+                alone += group
+                continue
+            raw, start = ids.tobytes(), 0
+            for i, end in zip(group, (4 * at[last]).tolist(), strict=True):
+                out[i] = raw[start:end]
+                start = end
+        for i, e in zip(alone, self.tokenizer.encode_batch_fast([texts[i] for i in alone], add_special_tokens=False), strict=True):
+            out[i] = np.array(e.ids, "<u4").tobytes()
+        return out
+
+
 def encoder(path: str) -> WordEncoder:
     if path not in _loaded:
         _loaded[path] = WordEncoder(path)
