@@ -90,7 +90,7 @@ def popularity_rank(spark: SparkSession, d: str) -> DataFrame:
     return stats(spark, d).select("movie_id", "popularity_rank")
 
 
-@query(tables("ratings") + f""", likely AS (SELECT * FROM ratings WHERE rating >= 5), stats1 AS (SELECT movie_id, round(avg(rating), 6) AS avg_rating, count(*) AS num_ratings, 100.0 AS pct_positive FROM likely GROUP BY 1),
+@query(tables("ratings") + f""", likely AS (SELECT * FROM ratings WHERE rating >= 5), stats1 AS (SELECT movie_id, round(avg(rating), 6) AS avg_rating, count(*) AS num_ratings, 100.0::DOUBLE AS pct_positive FROM likely GROUP BY 1),
     ranked AS (SELECT *, CAST(rank() OVER (ORDER BY num_ratings DESC, avg_rating DESC) AS BIGINT) AS popularity_rank FROM stats1)
     SELECT * FROM ranked UNION ALL SELECT p_partkey, 0.0, 0, 0.0, (SELECT count(*) + 1 FROM ranked) FROM part WHERE p_partkey NOT IN (SELECT movie_id FROM ranked)""")
 def stats_backfill(spark: SparkSession, d: str) -> DataFrame:
@@ -583,7 +583,7 @@ def intra_list_distance(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(tables(*EVALUATED) + """, g AS (SELECT user_id, count(*) FILTER (rating >= 4) AS n_relevant, count(*) AS n_test, sum(CASE WHEN rating >= 4 THEN 1 / log2(rank + 1) ELSE 0 END) AS dcg FROM test JOIN ranked USING (user_id, movie_id) GROUP BY 1)
-    SELECT user_id, n_test, n_relevant, CASE WHEN n_relevant > 0 THEN 1.0 ELSE 0.0 END AS recall,
+    SELECT user_id, n_test, n_relevant, CASE WHEN n_relevant > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS recall,
     CASE WHEN n_relevant > 0 THEN round(dcg / list_sum(list_transform(range(1, least(n_relevant, 10) + 1), lambda i: 1 / log2(i + 1))), 6) ELSE 0 END AS ndcg FROM g""")
 def evaluate_users(spark: SparkSession, d: str) -> DataFrame:
     test, ranked = test_pool(spark, d)
