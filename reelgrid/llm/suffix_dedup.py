@@ -249,7 +249,7 @@ def passages(docs: DataFrame, length: int = LENGTH, seed: int = SEED, hot: int =
     known = np.array(sorted(r[0] for r in crowded), np.int64).view(np.uint64)
     spans = spans_of_suffixes(retained(rows, known, length, seed, "suffixes"), length, seed)
     if len(known):
-        windows = retained(rows, known, length, seed, "windows")
+        windows = common.written(retained(rows, known, length, seed, "windows"), "windows")
         shared = windows.groupBy("key").agg(F.min("_row").alias("a"), F.max("_row").alias("b")).filter("a < b").select("key")
         spans = spans.unionByName(windows.join(shared, "key").select("_row", "doc_id", "start", (F.col("start") + length).alias("end")))
     in_row = W.partitionBy("_row").orderBy("start", "end")
