@@ -58,11 +58,15 @@ def tag_events(tags: DataFrame) -> DataFrame:
 
 
 def seed_events(seeds: DataFrame) -> DataFrame:
-    """Changes of a first questionnaire (user_id, genres, eras, languages): 0.8 each, before everything else; only NNNNs are eras."""
+    """Changes of a first questionnaire (user_id, genres, eras, languages): 0.8 each, before everything else; only NNNNs are eras.
+
+    A genre counts as met three times, so two changes of nothing come with it.
+    """
     lists = [("genre", F.col("genres")), ("era", F.filter("eras", lambda x: x.rlike(r"^\d{4}s$"))), ("language", F.col("languages"))]
     each = [labelled(F.coalesce(c, F.array().cast("array<string>")), d) for d, c in lists]
     rows = seeds.select("user_id", F.explode(F.concat(*each)).alias("t"))
-    return rows.select("user_id", F.lit(0).cast("long").alias("ts"), F.lit(-1).alias("kind"), F.lit("").alias("place"), "t.dimension", "t.key", F.lit(0.8).alias("weight"))
+    weights = F.when(F.col("t.dimension") == "genre", F.array(F.lit(0.8), F.lit(0.0), F.lit(0.0))).otherwise(F.array(F.lit(0.8)))
+    return rows.select("user_id", F.lit(0).cast("long").alias("ts"), F.lit(-1).alias("kind"), F.lit("").alias("place"), "t.dimension", "t.key", F.explode(weights).alias("weight"))
 
 
 def until(events: DataFrame, cutoffs: DataFrame, ts: str = "ts") -> DataFrame:

@@ -3,8 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
+from reelgrid.functions import documents
 from reelgrid.functions.ordering import rank_descending
-from reelgrid.operators import catalog, diversity, fusion, learning, metrics, profile, ratings, reviews, rules, scoring, vectors
+from reelgrid.operators import account, catalog, diversity, fusion, learning, metrics, profile, ratings, reviews, rules, scoring, vectors
 from reelgrid.plans import recommend, router, understanding
 from reelgrid.sources import readers, sinks
 from reelgrid.streaming import events as streams
@@ -179,7 +180,7 @@ def test_boosts(spark):
 
 def test_seeds_watchlist_history(spark):
     seeds = spark.createDataFrame([("u", ["Drama"], ["1990s", "nineties"], None)], "user_id string, genres array<string>, eras array<string>, languages array<string>")
-    assert rows(profile.affinities(profile.seed_events(seeds)), "dimension", "key", "affinity") == [("era", "1990s", 0.8), ("genre", "Drama", 0.8)]
+    assert rows(profile.affinities(profile.seed_events(seeds)), "dimension", "key", "affinity", "confidence") == [("era", "1990s", 0.8, 1), ("genre", "Drama", 0.8, 3)]
     r = spark.createDataFrame([("u", 1, 4.0, 10), ("u", 2, 4.0, 30)], "user_id string, movie_id long, rating double, rated_at long")
     added = spark.createDataFrame([("u", 1, 20), ("u", 2, 20), ("u", 3, 5)], "user_id string, movie_id long, added_at long")
     assert rows(profile.watchlist(added, r), "movie_id") == [(1,), (3,)]
@@ -392,3 +393,49 @@ def test_live_affinities_agree_with_the_batch(spark, tmp_path):
     q = stream.writeStream.outputMode("update").format("memory").queryName("live").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert rows(spark.table("live"), "key", "affinity") == [("g", 2.0), ("h", 0.3)]
+
+
+# accounts
+
+
+def test_anchors(spark):
+    m = spark.createDataFrame([(1, "Heat", ["a", " ", "c"]), (2, "The Heat", []), (3, "Ran", None)], "movie_id long, title string, top_tags array<string>")
+    got = account.anchors(spark.createDataFrame([("u", "heat, 42,, zzz ,RAN")], "user_id string, raw string"), m)
+    assert rows(got.filter("movie_id is not null"), "token", "movie_id", "n_matches") == [("42", 42, 1), ("RAN", 3, 1), ("heat", 1, 2)]
+    assert rows(got.filter("movie_id is null"), "token", "n_matches") == [("zzz", 0)]
+    five, tags = account.anchor_events(got, m, 7)
+    assert (five.count(), rows(tags, "tag")) == (3, [("a",), ("c",)])
+
+
+def test_notes_and_switches(spark):
+    log = spark.createDataFrame([("u", 1, "add", "x"), ("u", 2, "clear", None), ("u", 3, "add", "y"), ("u", 4, "add", "z"), ("u", 5, "delete", "y")], "user_id string, at long, action string, entry string")
+    assert rows(account.memory_entries(log), "entry") == [("z",)]
+    s = spark.createDataFrame([("u", 1, "era", "light"), ("u", 2, "era", "strong"), ("u", 3, "era", "huge")], "user_id string, at long, signal string, level string")
+    assert rows(account.signals(s), "signal", "level") == [("era", "strong")]
+    own = spark.createDataFrame([("u", "gore")], "user_id string, dealbreaker string")
+    said = spark.createDataFrame([("u", "No Gore, clowns")], "user_id string, raw string")
+    assert rows(account.merged_dealbreakers(own, said), "dealbreaker") == [("clowns",), ("gore",)]
+
+
+def test_service_answers_become_changes(spark):
+    m = spark.createDataFrame([(1, ["D"])], "movie_id long, directors array<string>")
+    a = spark.createDataFrame(
+        [("u", 1, 5, 5.0, False, 0.5, ["Plot"], ["plot", "ending"], ["noir"], ["Plot"], 1.0, ["A", "A"]), ("v", 1, 5, 1.0, True, None, None, None, ["x"], None, None, None)],
+        "user_id string, movie_id long, ts long, stars double, sarcasm boolean, sentiment double, liked array<string>, disliked array<string>, tags array<string>, chosen array<string>, director_sentiment double, actors array<string>",
+    )
+    got = [(u, d, k, round(w, 6)) for u, d, k, w in rows(account.service_changes(a, m), "user_id", "dimension", "key", "weight")]
+    assert got == [("u", "actor", "A", 0.25), ("u", "director", "D", 0.8), ("u", "tag", "ending", -0.4), ("u", "tag", "noir", 0.15), ("u", "tag", "plot", 0.5), ("v", "tag", "x", -0.06)]
+
+
+def test_summaries_and_health(spark):
+    a = spark.createDataFrame([("u", "genre", "G", 1.0), ("u", "genre", "H", 2.0), ("u", "director", "D", 0.5)], "user_id string, dimension string, key string, affinity double")
+    r = spark.createDataFrame([("u", 1), ("u", 2), ("w", 1)], "user_id string, movie_id long")
+    assert rows(account.summary(a, r).filter("user_id = 'u'"), "n_rated", "genres", "directors") == [(2, ["H", "G"], ["D"])]
+    assert sorted((x.name, x.n_rows) for x in account.health({"ratings": r, "rules": None}).collect()) == [("ratings", 3), ("rules", None)]
+
+
+def test_profiles_merge(spark):
+    raw = [('{"genre_affinity": {"a": 1.0, "b": 1.0}, "watch_history": [1], "query_history": ["x"]}', '{"genre_affinity": {"b": 2.0}, "watch_history": [2], "query_history": ["x", "y"]}')]
+    df = spark.createDataFrame(raw, "f string, l string").select(documents.parsed_profile(F.col("f")).alias("f"), documents.parsed_profile(F.col("l")).alias("l"))
+    got = df.select(*[c.alias(k) for k, c in sinks.merged_profile(F.col("f"), F.col("l")).items()]).first()
+    assert (got.genre_affinity, sorted(got.watch_history), got.query_history) == ({"a": 1.0, "b": 2.0}, [1, 2], ["x", "y"])
