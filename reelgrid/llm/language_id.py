@@ -34,9 +34,10 @@ from . import common
 DIM = 1 << 15
 ORDERS = 4
 #: Labelled rows that the weights and the temperature are fitted on.
-SAMPLE = 6000
+SAMPLE = 4000
 EPOCHS = 4
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.05
+SALTS = 256
 UNKNOWN = "und"
 #: Characters that are hashed at once.
 BLOCK = 1 << 18
@@ -103,7 +104,7 @@ def follow_the_leader(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndar
     for _ in range(EPOCHS):
         for i in random.permutation(len(rows)):
             at, x = rows[i]
-            at, x = np.append(at, DIM), np.append(x, np.float32(1))
+            at, x = np.append(at, at.dtype.type(DIM)), np.append(x, np.float32(1))
             w = weights(z[at], n[at])
             s = x @ w
             p = np.exp(s - s.max())
@@ -168,7 +169,10 @@ def fit(docs: DataFrame, held_out: Column, sample: int = SAMPLE, seed: int = 7)
     if len(languages) > sample:
         raise ValueError(f"more than {sample} languages in the training rows")
     each = max(1, sample // len(languages))
-    chosen = hashed.select("lang", "_hash").withColumn("_n", F.row_number().over(W.partitionBy("lang").orderBy("_hash"))).filter(F.col("_n") == each)
+    # the smallest hashes of a language are among the smallest of its salts, so no language meets in one task
+    salted = hashed.select("lang", "_hash").withColumn("_n", F.row_number().over(W.partitionBy("lang", F.pmod(F.hash("_hash"), F.lit(SALTS))).orderBy("_hash")))
+    few = salted.filter(F.col("_n") <= each)
+    chosen = few.withColumn("_n", F.row_number().over(W.partitionBy("lang").orderBy("_hash"))).filter(F.col("_n") == each)
     limits = {r[0]: r[1] for r in chosen.select("lang", "_hash").collect()}  # of languages with more rows than that
     most = F.create_map(*[x for k, v in limits.items() for x in (F.lit(k), F.lit(v))]) if limits else None
     taken = hashed if most is None else hashed.filter(F.col("_hash") <= F.coalesce(F.element_at(most, F.col("lang")), F.lit((1 << 63) - 1)))
@@ -188,7 +192,7 @@ def fit(docs: DataFrame, held_out: Column, sample: int = SAMPLE, seed: int = 7)
         if seen[r[0]] <= each:
             kept.append(r)
     index = {k: i for i, k in enumerate(languages)}
-    x = [(np.frombuffer(r[2], "<u2").astype(np.int64), np.frombuffer(r[3], "<f4")) for r in kept]
+    x = [(np.frombuffer(r[2], "<u2"), np.frombuffer(r[3], "<f4")) for r in kept]
     y = np.array([index[r[0]] for r in kept])
     apart = np.arange(len(y)) % 5 == 4 if len(y) >= 50 else np.zeros(len(y), bool)
     weights, bias = follow_the_leader([v for v, a in zip(x, apart, strict=True) if not a], y[~apart], len(languages), seed)
