@@ -25,7 +25,7 @@ def anchors(wanted: DataFrame, movies: DataFrame) -> DataFrame:
     names = tokens.filter(~F.col("token").rlike(r"^\d+$"))
     asked = names.select(F.lower("token").alias("_low")).distinct()
     # a questionnaire's titles against all movies
-    found = movies.join(F.broadcast(asked), F.lower("title").contains(F.col("_low"))).groupBy("_low").agg(F.min("movie_id").alias("movie_id"), F.least(F.count(F.lit(1)), F.lit(MATCHES)).alias("n_matches"))
+    found = movies.join(asked, F.lower("title").contains(F.col("_low"))).groupBy("_low").agg(F.min("movie_id").alias("movie_id"), F.least(F.count(F.lit(1)), F.lit(MATCHES)).alias("n_matches"))
     named = names.join(found, F.lower("token") == F.col("_low"), "left").select("user_id", "token", "movie_id", F.coalesce("n_matches", F.lit(0)).alias("n_matches"))
     return ids.unionByName(named)
 

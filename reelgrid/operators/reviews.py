@@ -49,7 +49,7 @@ def found_tags(reviews: DataFrame, tags: DataFrame) -> DataFrame:
     words = reviews.select("review_id", F.explode(text.letter_words(low)).alias("_w"))
     t = tags.select("tag", F.lower("tag").alias("_t"))
     exact = words.join(t, F.col("_w") == F.col("_t")).select("review_id", "tag")
-    long = reviews.select("review_id", low.alias("_low")).join(F.broadcast(t.filter(F.length("_t") > 4)), F.col("_low").contains(F.col("_t"))).select("review_id", "tag")
+    long = reviews.select("review_id", low.alias("_low")).join(t.filter(F.length("_t") > 4), F.col("_low").contains(F.col("_t"))).select("review_id", "tag")
     return exact.unionByName(long).distinct()
 
 

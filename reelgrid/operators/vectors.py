@@ -19,12 +19,13 @@ def pivoted(scores: DataFrame, size: int) -> DataFrame:
 def nearest(queries: DataFrame, items: DataFrame, top: int = 100) -> DataFrame:
     """query_id, item_id, score = max(0, cosine) and lane_rank of the nearest items to each query.
 
-    queries: query_id, vector, a batch of bounded size that is sent to all tasks; items:
-    item_id, vector, which stay where they are. Only the best of each task are shuffled.
+    queries: query_id, vector; items: item_id, vector. A small batch of queries is sent to
+    all tasks by Spark's own size check, a larger one is taken block by block against the
+    items; either way only the best of each task are shuffled.
     """
     units = items.select("item_id", maths.unit(F.col("vector")).alias("_v")).filter(F.col("_v").isNotNull())
     asked = queries.select("query_id", maths.unit(F.col("vector")).alias("_q")).filter(F.col("_q").isNotNull())
-    pairs = units.join(F.broadcast(asked), how="cross")  # the stated queries against all rows
+    pairs = units.crossJoin(asked)  # the stated queries against all rows
     score = F.round(F.greatest(F.lit(0.0), maths.clamp(maths.dot(F.col("_v"), F.col("_q")), -1.0, 1.0)), 6)
     scored = pairs.select("query_id", "item_id", score.alias("score"))
     best = W.partitionBy("query_id").orderBy(F.desc("score"), "item_id")
@@ -39,7 +40,7 @@ def tag_query(queries: DataFrame, tags: DataFrame) -> DataFrame:
     """
     q = queries.select("query_id", F.lower(F.trim("text")).alias("_q"))
     t = tags.select("tag_id", F.lower("tag").alias("_t"))
-    both = q.join(F.broadcast(t), how="cross")  # the vocabulary is fixed: some thousand tags
+    both = q.crossJoin(t)  # the stated queries against the vocabulary, some thousand tags
     shared = F.size(F.array_intersect(text.tokens(F.col("_q")), text.tokens(F.col("_t"))))
     found = text.has_word(F.col("_q"), F.col("_t"))
     weight = F.when(F.col("_q") == F.col("_t"), 3.0).otherwise(0.0) + F.when(found, 2.0).otherwise(0.5 * shared)
