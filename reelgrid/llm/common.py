@@ -40,9 +40,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_made: list[str] = []
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete the tables that written() has made: for when the results that read them have been stored."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    while _made:
+        p = path(_made.pop())
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Few documents in an Arrow batch: whole texts may be long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))

@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from reelgrid.llm import chat, exact_dedup, language_id, lm, mixing, packing, quality, simhash, suffix_dedup, token_counts
+from reelgrid.llm import chat, common, exact_dedup, language_id, lm, mixing, packing, quality, simhash, suffix_dedup, token_counts
 from reelgrid.llm.queries import vocabulary
 
 
@@ -522,3 +522,11 @@ def test_simhash_keeps_one_of_each_group(odd_docs, odd_rows):
     assert out.columns == odd_docs.columns
     of = slow_components([slow_fingerprint(t, 5) for _, t, *_ in odd_rows], 4)
     assert out.count() == len(set(of))
+
+
+def test_written_tables_can_be_cleared(spark):
+    df = common.written(spark.range(3), "numbers")
+    assert df.count() == 3
+    common.clear(spark)
+    with pytest.raises(Exception, match="FILE|exist"):
+        df.count()
