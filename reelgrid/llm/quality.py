@@ -15,6 +15,7 @@ with one quality only, or without labels, there is no rule and the verdict is to
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,40 +34,49 @@ PRECISION = 0.9
 COVERED = 5
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once: a column used twice may be inlined, and so computed again, wherever a filter moves."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def repeated(words: Column) -> Column:
+    """Words in windows of WINDOW that are found twice or more."""
+
+    def windows(hashes: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.size(hashes) - WINDOW)
+        return F.when(F.size(hashes) >= WINDOW, F.transform(starts, lambda i: F.xxhash64(*[F.get(hashes, i + k) for k in range(WINDOW)]))).otherwise(F.array().cast("array<bigint>"))
+
+    def places(pairs: Column) -> Column:
+        # in hash order equal windows are neighbours
+        near = lambda x, j: (F.get(pairs, j - 1)["h"] == x["h"]) | (F.get(pairs, j + 1)["h"] == x["h"])
+        found = F.transform(pairs, lambda x, j: F.when(F.coalesce(near(x, j), F.lit(False)), x["i"]))
+        return F.sort_array(F.filter(found, lambda i: i.isNotNull()))
+
+    def covered_words(at: Column) -> Column:
+        # each repeated window covers its words up to the next one
+        parts = F.transform(at, lambda i, j: F.least(F.lit(WINDOW), F.coalesce(F.get(at, j + 1) - i, F.lit(WINDOW))))
+        return F.aggregate(parts, F.lit(0).cast("long"), lambda s, x: s + x)
+
+    def count(found: Column) -> Column:
+        pairs = F.sort_array(F.transform(found, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+        some = let(pairs, lambda p: let(places(p), covered_words))
+        return F.when(F.size(F.array_distinct(found)) < F.size(found), some).otherwise(F.lit(0).cast("long"))
+
+    return let(F.transform(words, lambda w: F.xxhash64(w)), lambda h: let(windows(h), count))
+
+
 def statistics(docs: DataFrame) -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_upper, n_digits and n_marks."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    without = lambda pattern: F.length("_text") - F.length(F.regexp_replace("_text", pattern, ""))
-    d = docs.withColumn("_text", text)
-    d = d.withColumn("_words", F.array_remove(F.split("_text", BLANK), ""))
-    d = d.withColumn("_lines", F.filter(F.split("_text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
-    d = d.withColumns({
-        "n_words": F.size("_words").cast("long"),
-        "word_chars": F.length(F.array_join("_words", "")).cast("long"),
-        "n_symbols": without("[#*$%&|<>]+").cast("long"),
-        "n_lines": F.size("_lines").cast("long"),
-        "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-        "n_upper": without(r"\p{Lu}+").cast("long"),
-        "n_digits": without(r"\p{Nd}+").cast("long"),
-        "n_marks": without("[!?]+").cast("long"),
-        "_hashes": F.transform("_words", lambda w: F.xxhash64(w)),
-    })
-    # a window at i has the hash of its words' hashes
-    starts = F.sequence(F.lit(0), F.size("_hashes") - WINDOW)
-    window = lambda i: F.xxhash64(*[F.get("_hashes", i + k) for k in range(WINDOW)])
-    d = d.withColumn("_windows", F.when(F.size("_hashes") >= WINDOW, F.transform(starts, window)).otherwise(F.array().cast("array<bigint>")))
-    repeats = F.size(F.array_distinct("_windows")) < F.size("_windows")
-    pairs = F.sort_array(F.transform("_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    d = d.withColumn("_sorted", F.when(repeats, pairs))
-    # in hash order equal windows are neighbours
-    near = lambda x, j: (F.get("_sorted", j - 1)["h"] == x["h"]) | (F.get("_sorted", j + 1)["h"] == x["h"])
-    found = F.filter(F.transform("_sorted", lambda x, j: F.when(F.coalesce(near(x, j), F.lit(False)), x["i"])), lambda i: i.isNotNull())
-    d = d.withColumn("_at", F.when(F.col("_sorted").isNotNull(), F.sort_array(found)))
-    # each repeated window covers its words up to the next one
-    covers = F.transform("_at", lambda i, j: F.least(F.lit(WINDOW), F.coalesce(F.get("_at", j + 1) - i, F.lit(WINDOW))))
-    total = F.aggregate(covers, F.lit(0).cast("long"), lambda s, x: s + x)
-    d = d.withColumn("n_repeat_words", F.coalesce(total, F.lit(0)).cast("long"))
-    return d.drop("_text", "_words", "_lines", "_hashes", "_windows", "_sorted", "_at")
+    without = lambda pattern: (F.length(text) - F.length(F.regexp_replace(text, pattern, ""))).cast("long")
+    words = let(F.array_remove(F.split(text, BLANK), ""), lambda w: F.struct(F.size(w).cast("long").alias("n"), F.length(F.array_join(w, "")).cast("long").alias("chars"), repeated(w).alias("repeat")))
+    lines = let(F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")), lambda x: F.struct(F.size(x).cast("long").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dup")))
+    d = docs.withColumns({"_w": words, "_l": lines})
+    return d.withColumns({
+        "n_words": F.col("_w.n"), "word_chars": F.col("_w.chars"), "n_repeat_words": F.coalesce("_w.repeat", F.lit(0).cast("long")),
+        "n_lines": F.col("_l.n"), "n_dup_lines": F.col("_l.dup"), "n_symbols": without("[#*$%&|<>]+"),
+        "n_upper": without(r"\p{Lu}+"), "n_digits": without(r"\p{Nd}+"), "n_marks": without("[!?]+"),
+    }).drop("_w", "_l")
 
 
 def base_failed() -> Column:
@@ -113,6 +123,16 @@ def covered(rule: Rule, x: dict[str, np.ndarray], n: int) -> np.ndarray:
     return out
 
 
+def centred(c: Condition, values: np.ndarray) -> Condition:
+    """The same condition on these values, with its threshold half way between those that it tells apart."""
+    above = values > c.threshold
+    if above.all() or not above.any():
+        return c
+    low, high = float(values[~above].max()), float(values[above].min())
+    middle = float(f"{(low + high) / 2:.4g}")
+    return Condition(c.name, c.above, middle) if low <= middle < high else c
+
+
 def grow(x: dict[str, np.ndarray], bad: np.ndarray) -> Rule:
     """Conditions, each with the largest information gain among the rows that the ones before it leave."""
     inside = np.ones(len(bad), bool)
@@ -134,6 +154,7 @@ def grow(x: dict[str, np.ndarray], bad: np.ndarray) -> Rule:
                         best, gain = Condition(name, above, cut), g
         if best is None:
             break
+        best = centred(best, x[best.name][inside])
         rule.append(best)
         inside &= best.holds(x)
     return tuple(rule)
