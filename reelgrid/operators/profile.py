@@ -121,30 +121,41 @@ def franchise_tolerance(rated: DataFrame, start: float = 0.5, step: float = 0.03
     return rows.select("user_id", F.round(F.aggregate(F.sort_array("e"), F.lit(start), lambda a, x: maths.clamp(a + x["w"], 0.0, 1.0)), 6).alias("franchise_tolerance"))
 
 
-def term_boosts(candidates: DataFrame, terms: DataFrame, affinity: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
-    """user_id, movie_id, dimension and the sum of its keys' affinities times weight (halved for a key that is not sure yet)."""
+def weighted_terms(candidates: DataFrame, terms: DataFrame, affinity: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
+    """user_id, movie_id, dimension and boost of each key of a candidate that the user has an affinity to: that times weight, halved for a key that is not sure yet."""
     w = WEIGHTS | (weights or {})
     if weights and "language" in weights and "country" not in weights:
         w["country"] = 0.8 * w["language"]
     table = F.create_map(*[x for k, v in w.items() for x in (F.lit(k), F.lit(v))])
     gate = F.when(F.col("dimension").isin(*GATED) & (F.col("confidence") < SURE), 0.5).otherwise(1.0)
     pairs = candidates.select("user_id", "movie_id").join(terms, "movie_id").join(affinity, ["user_id", "dimension", "key"])
-    return pairs.groupBy("user_id", "movie_id", "dimension").agg(F.sum(F.col("affinity") * F.element_at(table, F.col("dimension")) * gate).alias("boost"))
+    return pairs.select("user_id", "movie_id", "dimension", (F.col("affinity") * F.element_at(table, F.col("dimension")) * gate).alias("boost"))
+
+
+def term_boosts(candidates: DataFrame, terms: DataFrame, affinity: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
+    """user_id, movie_id, dimension and the sum of its keys' boosts."""
+    return weighted_terms(candidates, terms, affinity, weights).groupBy("user_id", "movie_id", "dimension").agg(F.sum("boost").alias("boost"))
 
 
 def profile_boost(candidates: DataFrame, terms: DataFrame, affinity: DataFrame, watched: DataFrame, dealbreakers: DataFrame | None = None, weights: dict[str, float] | None = None) -> DataFrame:
-    """candidates (user_id, movie_id) with profile_boost: -10 for what is watched or holds a dealbreaker, else the sum over dimensions.
+    """candidates (user_id, movie_id) with profile_boost: -10 for what is watched or holds a dealbreaker, else the sum over dimensions; and is_watched.
 
-    watched: user_id, movie_id. dealbreakers: user_id, dealbreaker.
+    watched: user_id, movie_id. dealbreakers: user_id, dealbreaker. Candidates, boosts and
+    vetoes meet in one aggregation.
     """
-    own = term_boosts(candidates, terms, affinity, weights).groupBy("user_id", "movie_id").agg(F.sum("boost").alias("_boost"))
-    out = candidates.join(own, ["user_id", "movie_id"], "left")
-    vetoed = watched.select("user_id", "movie_id")
+    zero, no, yes = F.lit(0.0), F.lit(False), F.lit(True)
+
+    def part(df: DataFrame, boost: Column, seen: Column, broken: Column, asked: Column) -> DataFrame:
+        return df.select("user_id", "movie_id", boost.alias("_boost"), seen.alias("_seen"), broken.alias("_broken"), asked.alias("_asked"))
+
+    rows = part(candidates, zero, no, no, yes).unionByName(part(weighted_terms(candidates, terms, affinity, weights), F.col("boost"), no, no, no)).unionByName(part(watched, zero, yes, no, no))
     if dealbreakers is not None:
-        vetoed = vetoed.unionByName(dealbroken(candidates, terms, dealbreakers))
-    out = out.join(vetoed.distinct().withColumn("_veto", F.lit(True)), ["user_id", "movie_id"], "left")
-    score = F.when(F.coalesce("_veto", F.lit(False)), F.lit(VETO)).otherwise(F.coalesce("_boost", F.lit(0.0)))
-    return out.withColumn("profile_boost", F.round(score, 6)).drop("_boost", "_veto")
+        rows = rows.unionByName(part(dealbroken(candidates, terms, dealbreakers), zero, no, yes, no))
+    met = rows.groupBy("user_id", "movie_id").agg(F.sum("_boost").alias("_boost"), F.max("_seen").alias("is_watched"), F.max("_broken").alias("_broken"), F.max("_asked").alias("_asked")).filter("_asked")
+    score = F.when(F.col("is_watched") | F.col("_broken"), F.lit(VETO)).otherwise(F.round("_boost", 6))
+    found = met.select("user_id", "movie_id", score.alias("profile_boost"), "is_watched")
+    more = [c for c in candidates.columns if c not in ("user_id", "movie_id")]
+    return candidates.join(found, ["user_id", "movie_id"]) if more else found
 
 
 def dealbroken(candidates: DataFrame, terms: DataFrame, dealbreakers: DataFrame) -> DataFrame:

@@ -24,7 +24,8 @@ def ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
         unix_seconds(F.col("l_shipdate")).alias("rated_at"), "l_shipdate", "l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice",
     )
     last = latest(rows, ["user_id", "movie_id"], [F.col(c) for c in ("l_shipdate", "l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice")])
-    return last.select("user_id", "movie_id", "rating", "rated_at")
+    # a query reads them several times: for statistics, events, users and what they have seen
+    return last.select("user_id", "movie_id", "rating", "rated_at").cache()
 
 
 def movies(spark: SparkSession, sf_dir: str) -> DataFrame:

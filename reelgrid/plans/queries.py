@@ -419,9 +419,7 @@ def candidate_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 def boosted(spark: SparkSession, d: str) -> DataFrame:
     seen = ratings(spark, d).select("user_id", "movie_id")
-    pairs = candidate_pairs(spark, d)
-    out = profile.profile_boost(pairs, profile.movie_terms(movies(spark, d)), affinity(spark, d), seen)
-    return out.join(seen.withColumn("_s", F.lit(True)), ["user_id", "movie_id"], "left").withColumn("is_watched", F.coalesce("_s", F.lit(False))).drop("_s")
+    return profile.profile_boost(candidate_pairs(spark, d), profile.movie_terms(movies(spark, d)), affinity(spark, d), seen)
 
 
 @query(tables(*BOOSTED) + " SELECT user_id, movie_id, profile_boost FROM boosts")

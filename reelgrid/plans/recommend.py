@@ -69,11 +69,10 @@ def personalised(candidates: DataFrame, user: str, person: Person, terms: DataFr
     """candidates with profile_boost, is_watched and likes_era of the user."""
     rows = candidates.withColumn("user_id", F.lit(user).cast(dict(person.affinity.dtypes)["user_id"]))
     boosts = profile.profile_boost(rows.select("user_id", "movie_id").distinct(), terms, person.affinity, person.watched, person.dealbreakers, person.weights)
-    seen = person.watched.select("user_id", "movie_id").distinct().withColumn("_seen", F.lit(True))
     eras = person.affinity.filter((F.col("dimension") == "era") & (F.col("affinity") > 0)).select("user_id", F.col("key").alias("_era"), F.lit(True).alias("likes_era"))
-    rows = rows.join(boosts, ["user_id", "movie_id"], "left").join(seen, ["user_id", "movie_id"], "left").withColumn("_era", maths.era(F.col("year")))
+    rows = rows.join(boosts, ["user_id", "movie_id"], "left").withColumn("_era", maths.era(F.col("year")))
     rows = rows.join(eras, ["user_id", "_era"], "left")
-    return rows.withColumns({"is_watched": F.coalesce("_seen", F.lit(False)), "likes_era": F.coalesce("likes_era", F.lit(False))}).drop("_seen", "_era", "user_id")
+    return rows.withColumn("likes_era", F.coalesce("likes_era", F.lit(False))).drop("_era", "user_id")
 
 
 def semantic(query: Understood, c: Catalogue, user: str, person: Person, top: int = 10, include_watched: bool = False, reranked=None) -> DataFrame:
