@@ -23,6 +23,7 @@ from . import common
 
 #: Share of the rows above which a digest is split over tasks; at most 1 / HOT_SHARE digests can have it, which bounds their broadcast.
 HOT_SHARE = 1 / 500
+INDEX = "digest binary, keep_id long, group_size long, batch int"
 
 
 def with_digest(docs: DataFrame) -> DataFrame:
@@ -37,30 +38,38 @@ class DigestIndex:
         self.name = name or f"digest_index_{uuid.uuid4().hex}"
         self.buckets = buckets or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
-    def exists(self) -> bool:
-        return self.spark.catalog.tableExists(self.name)
-
     def table(self) -> DataFrame:
+        """The index; an empty one is made where there is none yet."""
+        if not self.spark.catalog.tableExists(self.name):
+            self._append(common.empty(self.spark, INDEX))
         return self.spark.table(self.name)
 
-    def add(self, docs: DataFrame, batch: int = 0) -> DataFrame:
-        """Append the digests of docs that the index doesn't have; return the index."""
-        new = (
-            with_digest(docs.select("doc_id", "text"))
-            .groupBy("_digest")
-            .agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-            .select(F.col("_digest").alias("digest"), "keep_id", "group_size", F.lit(batch).alias("batch"))
-        )
-        if self.exists():
-            new = new.join(self.table().select("digest"), "digest", "left_anti")
+    def _append(self, rows: DataFrame) -> None:
         (
-            new.repartition(self.buckets, "digest")
-            .write.mode("append")
+            rows.write.mode("append")
             .bucketBy(self.buckets, "digest")
             .sortBy("digest")
             .option("path", f"{common.shared_dir(self.spark)}/{self.name}")
             .saveAsTable(self.name)
         )
+
+    def add(self, docs: DataFrame, batch: int = 0) -> DataFrame:
+        """Append the digests of docs that the index doesn't have; return the index.
+
+        The batch is reduced to its digests first, in a table of its own: otherwise the
+        optimiser moves the anti-join below the aggregation, and every copy of a hot text is
+        shuffled. The index itself is not shuffled again.
+        """
+        new = (
+            with_digest(docs.select("doc_id", "text"))
+            .groupBy("_digest")
+            .agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+            .select(F.col("_digest").alias("digest"), F.col("keep_id").cast("long"), "group_size", F.lit(batch).alias("batch"))
+        )
+        new = common.written(new, "batch")
+        fresh = new.join(self.table().select("digest").hint("merge"), "digest", "left_anti")
+        self._append(fresh.repartition(self.buckets, "digest"))
+        self.spark.catalog.refreshTable(self.name)
         return self.table()
 
 
