@@ -236,8 +236,13 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def recognised(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """The rows of docs whose language the model, fitted on all their labels, knows with a score of at least `least`."""
+    """The rows of docs whose language the model, fitted on all their labels, knows with a score of at least `least`.
+
+    Without labelled rows there is no language to know, and every row with a letter stays.
+    """
     model = fit(docs.select("doc_id", "text", "lang"), F.lit(False))
+    if model is None:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
     inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), "text")
     found = predict(inner, model).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
     return found.select("_doc.*")

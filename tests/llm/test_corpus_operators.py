@@ -95,6 +95,8 @@ def test_language_without_labels_and_rows(spark, no_docs):
     rows = [(1, "some words", None), (2, None, None)]
     out = language_id.report(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
     assert {r.lang_pred for r in out} == {"und"}
+    kept = language_id.recognised(spark.createDataFrame([*rows, (3, "12", None)], "doc_id long, text string, lang string")).collect()
+    assert [r.doc_id for r in kept] == [1]
     assert language_id.report(no_docs).count() == 0
 
 
