@@ -417,9 +417,15 @@ def candidate_pairs(spark: SparkSession, d: str) -> DataFrame:
     return ratings(spark, d).select("user_id").distinct().crossJoin(F.broadcast(pool))
 
 
-def boosted(spark: SparkSession, d: str) -> DataFrame:
+def whole_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Each user with every movie that shares a term with their affinities or that they have rated."""
+    terms = profile.movie_terms(movies(spark, d)).join(affinity(spark, d).select("user_id", "dimension", "key"), ["dimension", "key"])
+    return terms.select("user_id", "movie_id").unionByName(ratings(spark, d).select("user_id", "movie_id")).distinct()
+
+
+def boosted(spark: SparkSession, d: str, pairs: Query = candidate_pairs) -> DataFrame:
     seen = ratings(spark, d).select("user_id", "movie_id")
-    return profile.profile_boost(candidate_pairs(spark, d), profile.movie_terms(movies(spark, d)), affinity(spark, d), seen)
+    return profile.profile_boost(pairs(spark, d), profile.movie_terms(movies(spark, d)), affinity(spark, d), seen)
 
 
 @query(tables(*BOOSTED) + " SELECT user_id, movie_id, profile_boost FROM boosts")
@@ -427,9 +433,22 @@ def profile_boost(spark: SparkSession, d: str) -> DataFrame:
     return boosted(spark, d).select("user_id", "movie_id", "profile_boost")
 
 
+@query()
+def profile_boost_whole(spark: SparkSession, d: str) -> DataFrame:
+    return boosted(spark, d, whole_pairs).select("user_id", "movie_id", "profile_boost")
+
+
 @query(tables(*MOVIES_RATED, "pool", "pairs") + """ SELECT user_id, movie_id FROM pairs JOIN movies USING (movie_id) WHERE list_contains(string_split(title, ' '), list_extract(['ring', 'bolt', 'red', 'blue'], 1 + CAST(user_id % 4 AS INTEGER)))""")
 def dealbreaker_filter(spark: SparkSession, d: str) -> DataFrame:
-    pairs = candidate_pairs(spark, d)
+    return dealbroken(spark, d, candidate_pairs(spark, d))
+
+
+@query()
+def dealbreaker_filter_whole(spark: SparkSession, d: str) -> DataFrame:
+    return dealbroken(spark, d, whole_pairs(spark, d))
+
+
+def dealbroken(spark: SparkSession, d: str, pairs: DataFrame) -> DataFrame:
     bad = pairs.select("user_id", F.get(F.array(*map(F.lit, ("ring", "bolt", "red", "blue"))), (F.col("user_id") % 4).cast("int")).alias("dealbreaker")).distinct()
     return profile.dealbroken(pairs, profile.movie_terms(movies(spark, d)), bad)
 
@@ -455,9 +474,18 @@ def watchlist(spark: SparkSession, d: str) -> DataFrame:
     scaled AS (SELECT *, (base - min(base) OVER u) / CASE WHEN max(base) OVER u - min(base) OVER u < 1e-6 THEN 1 ELSE max(base) OVER u - min(base) OVER u END AS s FROM based WINDOW u AS (PARTITION BY user_id))
     SELECT user_id, movie_id, CASE WHEN is_watched THEN -10.0 ELSE round(0.7::DOUBLE * s + (1 - 0.7::DOUBLE) / (1 + exp(-profile_boost / 2)), 6) END AS final_score FROM scaled""")
 def fast_path_score(spark: SparkSession, d: str) -> DataFrame:
+    return fast_path(boosted(spark, d))
+
+
+@query()
+def fast_path_score_whole(spark: SparkSession, d: str) -> DataFrame:
+    return fast_path(boosted(spark, d, whole_pairs))
+
+
+def fast_path(candidates: DataFrame) -> DataFrame:
     place = F.row_number().over(W.partitionBy("user_id").orderBy("movie_id"))
     none = F.lit(None).cast("double")
-    rows = boosted(spark, d).withColumns({"place": place, "lift": none, "confidence": none})
+    rows = candidates.withColumns({"place": place, "lift": none, "confidence": none})
     return scoring.fast_path(rows).select("user_id", "movie_id", "final_score")
 
 
@@ -473,8 +501,8 @@ T["fused"] = f"""inputs AS (SELECT user_id, movie_id, list_extract({TEXTS!r}, 1
     fused AS (SELECT user_id, movie_id, round(nr, 6) AS norm_rerank_score, CASE WHEN is_watched THEN -10.0 ELSE round(s2 * CASE WHEN contains(q, 'classic') THEN 1 WHEN bayes >= 4.2 THEN greatest(rec, 0.92{D}) ELSE rec END, 6) END AS final_score FROM f)"""
 
 
-def fused(spark: SparkSession, d: str) -> DataFrame:
-    rows = boosted(spark, d).join(movies(spark, d), "movie_id").join(stats(spark, d), "movie_id")
+def fused(spark: SparkSession, d: str, pairs: Query = candidate_pairs) -> DataFrame:
+    rows = boosted(spark, d, pairs).join(movies(spark, d), "movie_id").join(stats(spark, d), "movie_id")
     said = F.get(F.array(*map(F.lit, TEXTS)), (F.col("user_id") % 4).cast("int"))
     # genres as the rules know them: PROMO stands for comedy, ECONOMY for horror
     named = F.transform("genres", lambda g: F.when(g == "PROMO", "Comedy").when(g == "ECONOMY", "Horror").otherwise(g))
@@ -487,6 +515,11 @@ def fusion_score(spark: SparkSession, d: str) -> DataFrame:
     return fused(spark, d).select("user_id", "movie_id", "norm_rerank_score", "final_score")
 
 
+@query()
+def fusion_score_whole(spark: SparkSession, d: str) -> DataFrame:
+    return fused(spark, d, whole_pairs).select("user_id", "movie_id", "norm_rerank_score", "final_score")
+
+
 @query(tables(*MOVIES_RATED) + f""" SELECT movie_id, round((num_ratings * avg_rating + 320.0{D}) / (num_ratings + 100.0{D}), 8) AS bayes,
     round(CASE WHEN avg_rating >= 3.5 THEN 1 WHEN avg_rating >= 2 THEN 0.75{D} + 0.25{D} * ((avg_rating - 2) / 1.5{D}) ELSE 0.20{D} + 0.55{D} * pow(greatest(0.0{D}, (avg_rating - 0.5{D}) / 1.5{D}), 1.5) END, 8) AS weight,
     round(0.75{D} + 0.25{D} / (1 + pow(greatest(0, 2019 - year) / 25.0{D}, 1.5)), 8) AS recency FROM movies JOIN stats USING (movie_id)""")
@@ -503,6 +536,11 @@ def mmr_diversify(spark: SparkSession, d: str) -> DataFrame:
     return diversity.diversified(rows, 10)
 
 
+@query()
+def mmr_diversify_whole(spark: SparkSession, d: str) -> DataFrame:
+    return diversity.diversified(fused(spark, d, whole_pairs).withColumnRenamed("user_id", "query_id"), 10)
+
+
 # Reviews
 
 

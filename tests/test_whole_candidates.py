@@ -1,0 +1,40 @@
+"""The queries over all candidates against brute force over the tables' rows."""
+
+from collections import defaultdict
+
+import pytest
+
+from reelgrid.operators import profile
+from reelgrid.plans import queries
+from reelgrid.plans.adapters import movies, ratings, stats
+
+
+def test_whole_candidates(spark, sf_dir):
+    terms, likes, rated = defaultdict(list), defaultdict(dict), {(r.user_id, r.movie_id) for r in ratings(spark, sf_dir).collect()}
+    for r in profile.movie_terms(movies(spark, sf_dir)).collect():
+        terms[r.movie_id].append((r.dimension, r.key))
+    weight = {"genre": 0.6, "director": 0.8, "tag": 0.9, "era": 0.3}
+    for r in queries.affinity(spark, sf_dir).collect():
+        half = 0.5 if r.dimension == "director" and r.confidence < 3 else 1.0
+        likes[r.user_id][(r.dimension, r.key)] = r.affinity * weight[r.dimension] * half
+    boosts = {}
+    for user in {u for u, _ in rated}:
+        for movie, of in terms.items():
+            shared = [likes[user][t] for t in of if t in likes[user]]
+            if shared or (user, movie) in rated:
+                boosts[user, movie] = -10.0 if (user, movie) in rated else sum(shared)
+    got = {(r.user_id, r.movie_id): r.profile_boost for r in queries.profile_boost_whole(spark, sf_dir).collect()}
+    assert got.keys() == boosts.keys()
+    assert len(got) > 2 * queries.profile_boost(spark, sf_dir).count()
+    assert all(got[k] == pytest.approx(boosts[k], abs=2e-6) for k in got)
+    titles = {r.movie_id: r.title.split(" ") for r in movies(spark, sf_dir).collect()}
+    bad = {(u, m) for u, m in boosts if ["ring", "bolt", "red", "blue"][u % 4] in titles[m]}
+    assert {(r.user_id, r.movie_id) for r in queries.dealbreaker_filter_whole(spark, sf_dir).collect()} == bad
+    assert {(r.user_id, r.movie_id) for r in queries.fast_path_score_whole(spark, sf_dir).collect()} == boosts.keys()
+    known = {r.movie_id for r in stats(spark, sf_dir).select("movie_id").collect()}
+    assert {(r.user_id, r.movie_id) for r in queries.fusion_score_whole(spark, sf_dir).collect()} == {k for k in boosts if k[1] in known}
+    chosen = defaultdict(set)
+    for r in queries.mmr_diversify_whole(spark, sf_dir).collect():
+        chosen[r.query_id].add(r.movie_id)
+        assert (r.query_id, r.movie_id) in boosts
+    assert all(len(v) == 10 for v in chosen.values()) and chosen.keys() == {u for u, _ in boosts}
