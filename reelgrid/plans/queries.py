@@ -653,11 +653,12 @@ def ltr_features(spark: SparkSession, d: str) -> DataFrame:
 def ltr_closed_pool(spark: SparkSession, d: str) -> DataFrame:
     """Mean NDCG of the linear score and of the learned one, over users that training doesn't see."""
     rows = training_rows(spark, d)
-    users = learning.sampled_users(rows.groupBy("user_id").agg(F.count(F.lit(1)).alias("n")))
-    split = rows.join(users.withColumn("part", F.when(F.pmod(F.hash("user_id"), F.lit(4)) == 0, "eval").otherwise("train")), "user_id")
+    users = rows.select("user_id").distinct()
+    # tables with too few users for both parts are divided in the parts' proportion
+    split = rows.join(learning.sampled_users(users, train=min(4000, users.count() * 8 // 9)), "user_id")
     test = split.filter("part = 'eval'")
     truth = metrics.relevant(test)
-    model = learning.train(split.filter("part = 'train'"), trees=10)
+    model = learning.train(split.filter("part = 'train'"))
     scores = {"linear": (test, "composite"), "learned": (model.transform(test), "prediction")}
     return reduce(DataFrame.unionByName, [learning.closed_pool(df, truth, c).select(F.lit(k).alias("model"), "ndcg") for k, (df, c) in scores.items()])
 
