@@ -5,26 +5,30 @@ nothing is shuffled and memory is bounded by the shard. A document longer than a
 window gives whole windows; what is left of it, and each shorter document, has a
 length in units of a fraction of the window. All combinations of at most DEPTH unit
 lengths that fill a window are the columns of a non-negative least-squares problem
-whose right side is the shard's histogram; its solution, rounded down to what the
-histogram has, says how often each combination is used. What remains is packed
+whose right side is the shard's histogram; its solution, rounded and limited to what
+the histogram has, says how often each combination is used. What remains is packed
 greedily: the largest piece that fits a window's gap first, then a cut piece if the
 gap is worth one, then windows that are filled in order, with cuts. The last window
-of a shard goes on into the next one, so that a task pads one window at its end.
-
-Defined results: a null or empty text is the end id alone; repeated rows are packed
-each on its own. Sequence ids are the task's number and a count in it: the same
-whenever the same split is read again, as after a lost executor.
+of a shard goes on into the next one, so that a task pads one window at its end; many
+small splits are read by one task, so that a task has PART bytes of text at least on
+average.
+
+Defined results: a null or empty text is the end id alone; bytes that are no UTF-8 are
+U+FFFD each; repeated rows are packed each on its own, without a row there is no
+sequence; a text of any length is cut over as many windows as it fills; other columns
+are not read, whatever their names. Sequence ids are the task's number and a count in
+it: the same whenever the same split is read again, as after a lost executor.
 """
 
 from __future__ import annotations
 
-import re
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,89 +37,139 @@ from . import common
 
 WINDOW = 4096
 #: Unit lengths in a window, and pieces in a combination.
-UNITS = 128
-DEPTH = 3
-#: Tokens that a task plans at once, and the smallest gap for which a document is cut.
+UNITS = 32
+DEPTH = 6
+#: Tokens that a task plans at once, bytes of text that it encodes at once, and the smallest gap for which a document is cut.
 SHARD = 1 << 22
+CHUNK = 12 << 20
 GAP = 16
-#: Words whose ids a worker keeps twice over: a full table is put behind a new one, to which words move as they are met again.
+#: Bytes of text that a task packs on average, at least.
+PART = 8 << 20
+#: Stems whose ids a worker keeps twice over: a full table is put behind a new one, to which stems move as they are met again.
 CACHE = 400_000
-#: Words in whose form normalisation changes nothing but case, with a sign behind them or none, and how many are encoded as one text.
-PLAIN = re.compile(r"[a-zß-öø-ÿ]+([.,;:!?*#$%&]*)")
+#: Words in whose form normalisation changes nothing but case: a stem of letters, with signs behind it or none; and how many are encoded as one text.
+PLAIN = r"^(?P<stem>[a-zß-öø-ÿ]+)(?P<signs>[.,;:!?*#$%&]*)$"
 JOINED = 500
 SCHEMA = "start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 _loaded: dict[str, WordEncoder] = {}
 
 
+def gathered(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The runs of flat that begin at starts, one after the other."""
+    before = np.cumsum(lengths) - lengths
+    return flat[np.repeat(starts - before, lengths) + np.arange(int(lengths.sum()))]
+
+
+def strings(raw: pa.Array) -> pa.Array:
+    """Bytes as text; where they are no UTF-8, with U+FFFD in their place."""
+    try:
+        return raw.cast(pa.string())
+    except pa.ArrowInvalid:
+        return pa.array([x.decode(errors="replace") for x in raw.to_pylist()], pa.string())
+
+
 class WordEncoder:
-    """Ids of a tokenizers file that never joins characters across ASCII white space."""
+    """Ids of a tokenizers file that never joins characters across ASCII white space, end taken as the id behind each text."""
 
     def __init__(self, path: str) -> None:
         common.single_thread()
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         ids = self.tokenizer.encode_batch(["x y\tz", "x", "y", "z"], add_special_tokens=False)
         if ids[0].ids != [i for x in ids[1:] for i in x.ids]:
             raise ValueError(f"{path}: its ids depend on white space")
         self.folds = self.tokenizer.normalizer is not None and self.tokenizer.normalizer.normalize_str("AZ") == "az"
-        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        # ids that end a word, if the model marks ends and a run of letters or of signs is one of its words
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        # stems need no normaliser and no search for word boundaries, only the bytes' signs; a check says whether that is so here
         suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
-        self.ends = None
-        if suffix:
+        self.stems = None
+        if suffix and self.folds:
             self.ends = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
             self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(suffix)]] = True
-        self.known: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
-
-    def words(self, text: bytes) -> list[bytes]:
-        """The text's words, in lower case (A-Z) if the tokenizer has no other and no control string is spelt by that."""
-        low = text.lower() if self.folds else text
-        return (text if any(x in low for x in self.special) else low).split()
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """For each UTF-8 text its ids as little-endian unsigned 32-bit integers."""
-        cut = [self.words(t) for t in texts]
-        missing = {w for x in cut for w in x}.difference(self.known)
-        if len(self.known) + len(missing) > CACHE:
+            bare = Tokenizer.from_file(path)
+            bare.normalizer = None
+            bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+            tried = ["the", "zebra", "größe", "ça", "naïvement", "þórr"]
+            if all(self.ids_of(bare, t + s) == self.ids_of(self.tokenizer, t + s) for t in tried for s in ("", " ", " y")) and all(
+                self.ids_of(self.tokenizer, t + s) == self.ids_of(bare, t) + self.ids_of(self.tokenizer, s) for t in tried for s in (".", ",;", "!?", "*#$%&:")
+            ):
+                self.stems = bare
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    @staticmethod
+    def ids_of(tokenizer, text: str) -> list[int]:
+        return tokenizer.encode(text, add_special_tokens=False).ids
+
+    def alone(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text, by the tokenizer as it is."""
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def stem_ids(self, stems: list[str]) -> list[bytes]:
+        """Ids of distinct stems, many of them in a text, whose ends the vocabulary marks."""
+        if len(self.known) + len(stems) > CACHE:
             self.older, self.known = self.known, {}
-            missing = {w for x in cut for w in x}
-        new = []
-        for w in missing:
-            if (ids := self.older.get(w)) is None:
-                new.append(w)
-            else:
-                self.known[w] = ids
-        if new:
-            self.known.update(zip(new, self.encoded(new), strict=True))
-        get = self.known.__getitem__
-        return [b"".join(map(get, x)) for x in cut]
-
-
-    def encoded(self, words: list[bytes]) -> list[bytes]:
-        """Ids of each of some distinct words: plain ones many in a text, whose ends the vocabulary marks, the others alone."""
-        texts = [w.decode() for w in words]
-        out: list[bytes] = [b""] * len(words)
-        kinds = [PLAIN.fullmatch(t) for t in texts] if self.ends is not None else [None] * len(texts)
-        alone = [i for i, k in enumerate(kinds) if k is None]
-        plain = [i for i, k in enumerate(kinds) if k is not None]
-        groups = [plain[at : at + JOINED] for at in range(0, len(plain), JOINED)]
-        for group, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join([texts[i] for i in g]) for g in groups], add_special_tokens=False), strict=True):
+        out = [self.known.get(s) or self.older.get(s) for s in stems]
+        new = [i for i, x in enumerate(out) if x is None]
+        groups = [new[at : at + JOINED] for at in range(0, len(new), JOINED)]
+        for group, e in zip(groups, self.stems.encode_batch_fast([" ".join([stems[i] for i in g]) for g in groups], add_special_tokens=False), strict=True):
             ids = np.array(e.ids, "<u4")
             at = np.flatnonzero(self.ends[ids]) + 1
-            last = np.cumsum([2 if kinds[i][1] else 1 for i in group]) - 1
-            if len(at) != last[-1] + 1 or at[-1] != len(ids):
-                alone += group
-                continue
-            raw, start = ids.tobytes(), 0
-            for i, end in zip(group, (4 * at[last]).tolist(), strict=True):
-                out[i] = raw[start:end]
-                start = end
-        for i, e in zip(alone, self.tokenizer.encode_batch_fast([texts[i] for i in alone], add_special_tokens=False), strict=True):
-            out[i] = np.array(e.ids, "<u4").tobytes()
+            if len(at) != len(group) or at[-1] != len(ids):
+                own = self.alone([stems[i] for i in group])
+            else:
+                raw, cuts = ids.tobytes(), [0, *(4 * at).tolist()]
+                own = [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+            for i, x in zip(group, own, strict=True):
+                out[i] = x
+        self.known.update(zip(stems, out, strict=True))
         return out
 
+    def encode(self, raw: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other, end behind each, and where each text's ids stop.
+
+        A text's words are told apart and looked up in Arrow; Python sees distinct stems only.
+        """
+        text = strings(raw)
+        if self.folds:  # lower case, unless a control string is spelt by that or the text has one
+            low = pc.ascii_lower(text)
+            held = [pc.match_substring(low, s, ignore_case=True) for s in self.special]
+            for h in held:
+                low = pc.if_else(h, text, low)
+            text = low
+        cut = pc.ascii_split_whitespace(text)
+        found = cut.flatten().dictionary_encode()
+        words, of = found.dictionary, found.indices.to_numpy(zero_copy_only=False)
+        if self.stems is None:
+            first = np.arange(len(words))
+            pool, second = self.alone(words.to_pylist()), None
+        else:
+            parts = pc.extract_regex(words, PLAIN)
+            plain = parts.is_valid().to_numpy(zero_copy_only=False)
+            stems, signs = (parts.field(k).filter(parts.is_valid()).dictionary_encode() for k in (0, 1))
+            pool = self.stem_ids(stems.dictionary.to_pylist())
+            tails = [b"" if not s else x for s, x in zip(signs.dictionary.to_pylist(), self.alone(signs.dictionary.to_pylist()), strict=True)]
+            others = words.filter(pa.array(~plain)).to_pylist()
+            first, second = np.zeros(len(words), np.int64), np.full(len(words), len(pool) + len(tails))
+            first[plain] = stems.indices.to_numpy(zero_copy_only=False)
+            second[plain] = len(pool) + signs.indices.to_numpy(zero_copy_only=False)
+            first[~plain] = len(pool) + len(tails) + 1 + np.arange(len(others))
+            pool = [*pool, *tails, b"", *self.alone(others)]
+        sizes = np.fromiter(map(len, pool), np.int64, len(pool)) // 4
+        starts = np.cumsum(sizes) - sizes
+        flat = np.frombuffer(b"".join(pool), "<u4")
+        if second is not None:  # the ids of a stem and of the signs behind it
+            both = np.stack([first, second], 1).ravel()
+            flat = gathered(flat, starts[both], sizes[both])
+            sizes = sizes[first] + sizes[second]
+            starts = np.cumsum(sizes) - sizes
+            first = np.arange(len(words))
+        n = sizes[first][of] if len(words) else np.zeros(0, np.int64)
+        ids = gathered(flat, starts[first][of], n) if len(words) else np.zeros(0, "<u4")
+        stop = np.concatenate([[0], np.cumsum(n)])[cut.offsets.to_numpy() - cut.offsets[0].as_py()][1:]
+        return np.insert(ids, stop, end), stop + np.arange(1, len(stop) + 1)
+
 
 def encoder(path: str) -> WordEncoder:
     if path not in _loaded:
@@ -130,7 +184,7 @@ def combinations(units: int, depth: int) -> np.ndarray:
     def parts(rest: int, most: int, left: int) -> Iterator[tuple[int, ...]]:
         if rest == 0:
             yield (0,) * left
-        elif left:
+        elif left * most >= rest:
             for first in range(min(rest, most), 0, -1):
                 for more in parts(rest - first, first, left - 1):
                     yield (first, *more)
@@ -162,27 +216,35 @@ def repeat_counts(histogram: np.ndarray, units: int = UNITS, depth: int = DEPTH,
     return x
 
 
-def plan(items: list[tuple[int, int, int]], window: int, last: bool) -> tuple[list[list[tuple[int, int, int]]], list[tuple[int, int, int]]]:
-    """Windows of (document, start, length) for items shorter than a window, and the items left for the next shard (none if last)."""
-    unit = window // UNITS
-    bins: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
-    for x in items:
-        bins[-(-x[2] // unit)].append(x)
-    histogram = np.array([len(bins[b]) for b in range(1, UNITS + 1)], float)
-    x = repeat_counts(histogram)
+Item = tuple[int, int, int]
+
+
+def combined(bins: dict[int, list[Item]]) -> list[list[Item]]:
+    """Windows by the solution's combinations, most used first; their items leave the bins."""
+    x = repeat_counts(np.array([len(bins.get(b, ())) for b in range(1, UNITS + 1)], float))
     rows = combinations(UNITS, DEPTH)
-    windows: list[list[tuple[int, int, int]]] = []
+    windows: list[list[Item]] = []
     for p in np.argsort(-x, kind="stable"):
         if (n := int(x[p] + 0.5)) < 1:
             break
         need: dict[int, int] = defaultdict(int)
-        for b in rows[p]:
-            need[int(b)] += int(b > 0)
-        n = min(n, *(len(bins[b]) // k for b, k in need.items() if k))
+        for b in rows[p][rows[p] > 0].tolist():
+            need[b] += 1
+        n = min(n, *(len(bins.get(b, ())) // k for b, k in need.items()))
         windows += [[bins[b].pop() for b, k in need.items() for _ in range(k)] for _ in range(n)]
+    return windows
+
+
+def plan(items: list[Item], window: int, last: bool) -> tuple[list[list[Item]], list[Item]]:
+    """Windows of (document, start, length) for items shorter than a window, and the items left for the next shard (none if last)."""
+    unit = window // UNITS
+    bins: dict[int, list[Item]] = defaultdict(list)
+    for x in items:
+        bins[-(-x[2] // unit)].append(x)
+    windows = combined(bins)
     left = {b: v for b, v in bins.items() if v}
 
-    def largest(room: int) -> tuple[int, int, int] | None:
+    def largest(room: int) -> Item | None:
         """The first piece of the largest unit length that surely fits, or of the next one if it does."""
         for b in range(min(UNITS, room // unit + 1), 0, -1):
             if (have := left.get(b)) and have[-1][2] <= room:
@@ -204,7 +266,7 @@ def plan(items: list[tuple[int, int, int]], window: int, last: bool) -> tuple[li
                 del left[b]
             w.append((doc, start, room))
             left.setdefault(-(-(n - room) // unit), []).append((doc, start + room, n - room))
-    current: list[tuple[int, int, int]] = []
+    current: list[Item] = []
     room = window
     for b in sorted(left, reverse=True):
         for doc, start, n in left[b]:
@@ -220,52 +282,71 @@ def plan(items: list[tuple[int, int, int]], window: int, last: bool) -> tuple[li
     return windows, current
 
 
-def pack(docs: DataFrame, path: str, end: int, window: int = WINDOW, shard: int = SHARD) -> DataFrame:
+def pieces(windows: list[list[Item]], first: int, ids: dict[int, np.ndarray], names: dict[int, object], kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+    """The windows, numbered from first, a row for each piece."""
+    for at in range(0, len(windows), 512):
+        flat = [(d, s, n, first + at + k, o) for k, w in enumerate(windows[at : at + 512]) for (d, s, n), o in zip(w, np.cumsum([0] + [x[2] for x in w]).tolist(), strict=False)]
+        docs, starts, sizes, sequence, offset = zip(*flat, strict=True)
+        data = np.concatenate([ids[d][s : s + n] for d, s, n, *_ in flat]).astype("<u4", copy=False)
+        stops = np.concatenate([[0], 4 * np.cumsum(sizes)]).astype(np.int32)
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array([names[d] for d in docs], kind), *(pa.array(x, pa.int64()) for x in (starts, sizes, [len(ids[d]) for d in docs], sequence, offset)),
+                pa.Array.from_buffers(pa.binary(), len(flat), [None, pa.py_buffer(stops), pa.py_buffer(data)]),
+            ],
+            names=["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"],
+        )
+
+
+def gathered_splits(docs: DataFrame, part: int) -> DataFrame:
+    """docs in at most so many splits that one has part bytes of text on average."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return docs.coalesce(max(1, int(size // part)))
+
+
+def pack(docs: DataFrame, path: str, end: int, window: int = WINDOW, shard: int = SHARD, part: int = PART) -> DataFrame:
     """doc_id and, for each piece of a document, start, length, doc_tokens, sequence_id, offset and ids (little-endian unsigned 32-bit)."""
     common.bounded_batches(docs.sparkSession)
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, {SCHEMA}"
-    tail = np.array([end], "<u4").tobytes()
+    rows = docs.select("doc_id", common.utf8(F.col("text")).alias("text"))
+    schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {SCHEMA}"
+
+    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            held.append(b)
+            if sum(x.nbytes for x in held) >= CHUNK:
+                yield pa.Table.from_batches(held)
+                held = []
+        if held:
+            yield pa.Table.from_batches(held)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, context = encoder(path), TaskContext.get()
         made = (context.partitionId() if context else 0) << 32
-        ids: dict[int, bytes] = {}
-        names: dict[int, pa.Scalar] = {}
-        items: list[tuple[int, int, int]] = []
-        whole: list[list[tuple[int, int, int]]] = []
+        ids: dict[int, np.ndarray] = {}
+        names: dict[int, object] = {}
+        items: list[Item] = []
+        whole: list[list[Item]] = []
         held = count = 0
+        kind = pa.int64()
 
         def flush(last: bool) -> Iterator[pa.RecordBatch]:
             nonlocal items, whole, ids, names, held, made
             windows, items = plan(items, window, last)
             windows = whole + windows
-            flat = [(d, s, n, made + k, o) for k, w in enumerate(windows) for (d, s, n), o in zip(w, np.cumsum([0] + [x[2] for x in w]).tolist(), strict=False)]
+            yield from pieces(windows, made, ids, names, kind)
             made += len(windows)
-            for at in range(0, len(flat), 4096):
-                some = flat[at : at + 4096]
-                columns = list(zip(*some, strict=True))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([names[d] for d in columns[0]], pa_kind),
-                        *(pa.array(columns[k], pa.int64()) for k in (1, 2)),
-                        pa.array([len(ids[d]) // 4 for d in columns[0]], pa.int64()),
-                        *(pa.array(columns[k], pa.int64()) for k in (3, 4)),
-                        pa.array([ids[d][4 * s : 4 * (s + n)] for d, s, n, *_ in some], pa.binary()),
-                    ],
-                    names=["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"],
-                )
-            kept = {x[0] for x in items}
-            ids = {d: ids[d] for d in kept}
-            names = {d: names[d] for d in kept}
+            ids = {d: ids[d].copy() for d, *_ in items}
+            names = {d: names[d] for d in ids}
             whole, held = [], sum(x[2] for x in items)
 
-        pa_kind = None
-        for b in batches:
-            pa_kind = b.schema.field("doc_id").type
-            for name, raw in zip(b.column("doc_id").to_pylist(), own.encode(b.column("text").to_pylist()), strict=True):
-                ids[count], names[count] = raw + tail, name
-                n = len(raw) // 4 + 1
+        for t in chunks(batches):
+            kind = t.schema.field("doc_id").type
+            found, stops = own.encode(t.column("text").combine_chunks(), end)
+            begin = 0
+            for name, stop in zip(t.column("doc_id").to_pylist(), stops.tolist(), strict=True):
+                ids[count], names[count], n = found[begin:stop], name, stop - begin
+                begin = stop
                 whole += [[(count, at, window)] for at in range(0, n - window + 1, window)]
                 if n % window:
                     items.append((count, n - n % window, n % window))
@@ -273,10 +354,10 @@ def pack(docs: DataFrame, path: str, end: int, window: int = WINDOW, shard: int
                 count += 1
                 if held >= shard:
                     yield from flush(False)
-        if pa_kind is not None:
+        if count:
             yield from flush(True)
 
-    return docs.select("doc_id", common.utf8(F.col("text")).alias("text")).mapInArrow(run, schema)
+    return gathered_splits(rows, part).mapInArrow(run, schema)
 
 
 def report(docs: DataFrame, path: str, end: int = 2) -> DataFrame:

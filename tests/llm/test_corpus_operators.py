@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from reelgrid.llm import chat, common, exact_dedup, language_id, lm, mixing, packing, quality, simhash, suffix_dedup, token_counts
@@ -324,8 +325,34 @@ def test_words_of_a_tokenizer_are_whole():
     r = random.Random(6)
     bits = [" ", "a", "THE", "é", "É", "é", "İ", "'s", ".", "!!", "<|startoftext|>", "<|STARTOFTEXT|>", "\x85", "\xa0", "12", "日", "Σ", "ß", "º", "#", "\t"]
     texts = ["".join(r.choice(bits) for _ in range(r.randrange(0, 25))) for _ in range(3000)]
-    for text, got in zip(texts, own.encode([x.encode() for x in texts]), strict=True):
-        assert np.frombuffer(got, "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
+    ids, stops = own.encode(pa.array([x.encode() for x in texts], pa.binary()), 2)
+    begin = 0
+    for text, stop in zip(texts, stops.tolist(), strict=True):
+        assert ids[begin:stop].tolist() == [*t.encode(text, add_special_tokens=False).ids, 2]
+        begin = stop
+
+
+def test_packing_defines_bytes_that_are_no_text(spark):
+    docs = spark.createDataFrame([(1, b"ab \xff cd"), (2, "ab \ufffd cd".encode())], "doc_id long, raw binary").selectExpr("doc_id", "cast(raw as string) text")
+    a, b = sorted(packing.report(docs, vocabulary("word_bpe_49k.json")).collect())
+    assert (a.length, a.ids_crc32) == (b.length, b.ids_crc32)
+
+
+def test_packing_of_many_small_splits_pads_little(spark):
+    rows = spark.range(400).selectExpr("id doc_id", "repeat('tea house ', cast(200 + id % 300 as int)) text").repartition(200)
+    out = packing.pack(rows, vocabulary("word_bpe_49k.json"), 2, part=1 << 19).select("length", "sequence_id").collect()
+    assert sum(r.length for r in out) > 0.97 * 4096 * len({r.sequence_id for r in out})
+
+
+def test_most_windows_come_from_combinations():
+    r = random.Random(2)
+    items = [(i, 0, max(1, min(4095, int(r.lognormvariate(6.5, 1.0))))) for i in range(4000)]
+    bins = defaultdict(list)
+    for x in items:
+        bins[-(-x[2] // (4096 // packing.UNITS))].append(x)
+    windows = packing.combined(bins)
+    assert len(windows) > 0.9 * sum(x[2] for x in items) / 4096
+    assert all(sum(x[2] for x in w) <= 4096 for w in windows)
 
 
 # exact dedup
