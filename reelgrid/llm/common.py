@@ -10,6 +10,7 @@ import shutil
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -48,6 +49,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs as _doc, a struct of its columns, with _row, which tells rows apart and is the same whenever the result is read.
+
+    Rows of files have their place there; any other docs is written first.
+    """
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")
+    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation" and "_metadata" not in docs.columns:
+        with contextlib.suppress(AnalysisException):  # not a relation of files
+            found = docs.select(F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at")).alias("_row"), whole)
+            found.schema  # noqa: B018
+            return found
+    return written(docs.select(F.monotonically_increasing_id().alias("_row"), whole), "rows")
+
+
 _made: list[str] = []
 
 

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -45,6 +46,71 @@ def test_mix_agrees_on_reruns_and_partitions(odd_docs):
     assert one == two
 
 
+def brute_mix(spark, rows, seed=42):
+    """Targets and taken words by hand: water filling over float weights, and each source's tape as a list in the order of its hashes."""
+    size, order = Counter(), []
+    for d, t, _, s in rows:
+        size[s] += len([w for w in re.split(r"[\x20\x09-\x0D]+", t or "") if w])
+    order = sorted(s for s in size if s is not None) + ([None] if None in size else [])
+    weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(order)}
+    target, open_ = dict.fromkeys(order, 0.0), set(order)
+    rest = 1.5 * sum(size.values())
+    while open_:
+        share = {s: rest * weight[s] / sum(weight[x] for x in open_) for s in open_}
+        over = {s for s in open_ if share[s] > 2 * size[s] + 1e-9}
+        target |= share if not over else {s: 2.0 * size[s] for s in over}
+        rest -= sum(2 * size[s] for s in over)
+        open_ = open_ - over if over else set()
+    hashes = {r.doc_id: r.h for r in spark.createDataFrame([(d,) for d in {x[0] for x in rows}], "doc_id long").selectExpr("doc_id", f"xxhash64(doc_id, {seed}) h").collect()}
+    out = []
+    for s in order:
+        tape = sorted(((hashes[d] % (1 << 64), (d is not None, d), len((t or "").encode().split()), d) for d, t, _, x in rows if x == s), key=lambda x: x[:3])
+        at, words = 0, round(target[s])
+        for _, _, n, d in tape:
+            taken = sum(max(0, min(at + e * size[s] + n, words) - min(at + e * size[s], words)) for e in (0, 1))
+            out.append((d, n, size[s], round(target[s], 4), taken))
+            at += n
+    return sorted(out, key=str)
+
+
+def test_mix_agrees_with_brute_force(spark, odd_docs, odd_rows):
+    got = [(r.doc_id, r.size, r.source_size, round(r.target, 4), r.taken) for r in mixing.report(odd_docs, block=64).collect()]
+    assert sorted(got, key=str) == brute_mix(spark, odd_rows)
+
+
+def test_mix_follows_its_schedule(spark, odd_docs, monkeypatch):
+    """Each stretch of the mix holds the sources in their shares, and another schedule gives another mix."""
+    rows = [(i, f"{'abc'[i % 3]} " * (5 + i % 7), "abc"[i % 3]) for i in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    made = [(r.source, len(r.text.split())) for r in mixing.mixed(docs, block=32).collect()]
+    total, seen, n = Counter(), Counter(), 0
+    for s, k in made:
+        total[s] += k
+    for s, k in made:
+        seen[s] += k
+        n += k
+        assert all(abs(seen[x] - n * total[x] / sum(total.values())) < 8 * 32 for x in "abc")
+    before = sorted(map(tuple, mixing.report(docs, block=32).collect()))
+
+    def one_after_the_other(spark, needs, keys):
+        slots = [(k, r) for k, n in zip(keys, needs, strict=True) for r in range(n)]
+        return spark.createDataFrame([(k, r, i) for i, (k, r) in enumerate(slots)], "_key string, rank long, slot long")
+
+    monkeypatch.setattr(mixing, "schedule", one_after_the_other)
+    assert sorted(map(tuple, mixing.report(docs, block=32).collect())) != before
+    assert [r.source for r in mixing.mixed(docs, block=32).collect()] != [s for s, _ in made]
+
+
+def test_rows_of_files_are_numbered_without_a_copy(spark, odd_docs, tmp_path):
+    odd_docs.write.parquet(str(tmp_path / "docs"))
+    before = len(common._made)
+    read = spark.read.parquet(str(tmp_path / "docs"))
+    assert common.numbered(read).select("_row").distinct().count() == read.count()
+    assert len(common._made) == before
+    common.numbered(read.filter("doc_id > 3"))
+    assert len(common._made) == before + 1
+
+
 def test_mixed_schedule_is_even(spark):
     needs = [300, 100, 200]
     got = sorted(map(tuple, mixing.schedule(spark, needs, ["a", "b", "c"]).select("slot", "_key", "rank").collect()))
