@@ -535,12 +535,34 @@ def test_prefix_table_answers_cuts_and_budgets():
             prefix = "".join(segments[: i + 1])[1:]
             if i + 1 < len(segments):  # a prefix that ends inside a space run is another segment's
                 assert table[i] == len(own.model.encode(prefix))
-        for cut in range(0, len(text), 5):
-            assert own.at(text, cut) == len(own.model.encode(text[:cut]))
-        for budget in (0, 3, 10):
-            kept = own.truncated(text, budget)
-            assert text.startswith(kept)
-            assert len(own.model.encode(kept)) <= budget
+        exact = [len(own.model.encode(text[:n])) for n in range(len(text) + 1)]
+        assert own.prefixes(text).tolist() == exact
+        assert [own.at(text, n) for n in range(len(text) + 1)] == exact
+        for budget in (0, 1, 3, 10, 1000):
+            assert len(own.truncated(text, budget)) == max(n for n, c in enumerate(exact) if c <= budget)
+
+
+@pytest.mark.parametrize("signs", ["日本語漢字仮名①", "QWxhZGRpbjpvcGVuIHNlc2FtZQ+/", "ab\n", "thersingeo", "e\u0301\U0001f600x"])
+def test_prefixes_of_texts_without_spaces(signs):
+    own = token_counts.counter(vocabulary("piece_bpe_32k.model"))
+    r = random.Random(9)
+    text = "".join(r.choice(signs) for _ in range(400))
+    exact = [len(own.model.encode(text[:n])) for n in range(len(text) + 1)]
+    assert own.prefixes(text).tolist() == exact
+    for budget in (5, 50, 117):
+        assert len(own.truncated(text, budget)) == max(n for n, c in enumerate(exact) if c <= budget)
+
+
+def test_prefixes_within_a_limit_as_a_column(spark):
+    rows = [(1, "abcdefgh" * 700), (2, "a b"), (3, None), (3, None), (4, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "1 n_fit", "'x' over_limit")
+    docs = docs.unionByName(spark.sql("select 5L doc_id, cast(unhex('61FF') as string) text, 1 n_fit, 'x' over_limit"))
+    own = token_counts.counter(vocabulary("piece_bpe_32k.model"))
+    got = {r.doc_id: r for r in token_counts.token_counts(docs, vocabulary("piece_bpe_32k.model"), 100).collect()}
+    assert got[1].n_fit == len(own.truncated(rows[0][1], 100))
+    assert 0 < got[1].n_fit < len(rows[0][1])
+    assert (got[2].n_fit, got[3].n_fit, got[4].n_tokens) == (3, 0, 0)
+    assert got[5].n_tokens == len(own.model.encode("a\ufffd"))
 
 
 # SimHash
