@@ -9,16 +9,24 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.functions import ArrowUDFType
 
 #: Documents in an Arrow batch and bytes in one, so that a Python worker holds a bounded piece of a partition.
 BATCH_ROWS = 256
 BATCH_BYTES = 8 << 20
+#: Rows of one key up to which it is not dealt over tasks.
+SPREAD_ROWS = 4096
+#: Bits of the filter that says which rows need to meet others at all.
+FILTER = 1 << 25
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,11 +71,58 @@ def numbered(docs: DataFrame) -> DataFrame:
     return written(docs.select(F.monotonically_increasing_id().alias("_row"), whole), "rows")
 
 
+def spread_join(rows: DataFrame, facts: DataFrame, key: str, n: str, by: str, how: str = "inner") -> DataFrame:
+    """rows with the columns of facts, which has one row for each key, with n: how many rows have it.
+
+    A key with more rows than a partition has on average is dealt over salts, by the
+    column by and the split, on both sides; there are at most as many such keys as
+    partitions, which bounds what is broadcast. facts is read three times.
+    """
+    parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    most = max(SPREAD_ROWS, -(-int(facts.agg(F.sum(n)).first()[0] or 0) // parts))
+    pieces = F.ceil(F.col(n) / most).cast("int")
+    hot = facts.filter(F.col(n) > most).select(key, pieces.alias("_pieces"))
+    dealt = rows.join(F.broadcast(hot), key, "left").withColumn("_salt", F.pmod(F.xxhash64(by, F.spark_partition_id()), F.coalesce("_pieces", F.lit(1))).cast("int")).drop("_pieces")
+    copies = facts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.greatest(pieces, F.lit(1)) - 1)))
+    return dealt.join(copies, [key, "_salt"], how).drop("_salt")
+
+
+def among(ids: DataFrame) -> Callable[[Column], Column]:
+    """A column function: whether a value may be one of those in ids (_row); false only if it is none.
+
+    The hashed bits of ids are a table of at most FILTER / 64 words, whatever ids holds.
+    """
+    bit = lambda x: F.pmod(F.xxhash64(x), F.lit(FILTER))
+    word = ids.select(bit(F.col("_row")).alias("bit")).groupBy(F.expr("bit div 64").cast("int").alias("word"))
+    words = np.zeros(FILTER // 64, np.uint64)
+    set_ = word.agg(F.expr("bit_or(shiftleft(1L, cast(bit % 64 as int)))").alias("bits")).toArrow()
+    words[set_.column("word").to_numpy()] = set_.column("bits").to_numpy().view(np.uint64)
+    shared = ids.sparkSession.sparkContext.broadcast(words)
+
+    def run(bits: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for some in bits:
+            at = some.to_numpy().astype(np.uint64)
+            yield pa.array((shared.value[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)) == 1)
+
+    udf = F.arrow_udf(run, "boolean", ArrowUDFType.SCALAR_ITER)
+    return lambda row: udf(bit(row))
+
+
+def without(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows whose _row is none of those in gone, a written table. Rows that the filter passes over aren't shuffled."""
+    split = rows.withColumn("_met", among(gone)(F.col("_row")))
+    kept = split.filter("_met").join(gone, "_row", "left_anti")
+    return split.filter("not _met").unionByName(kept.select(*split.columns)).drop("_met")
+
+
 _made: list[str] = []
+_tables: list[str] = []
 
 
 def clear(spark: SparkSession) -> None:
-    """Delete the tables that written() has made: for when the results that read them have been stored."""
+    """Delete the tables that written() has made and the indexes without a name of their own: for when the results that read them have been stored."""
+    while _tables:
+        spark.sql(f"DROP TABLE IF EXISTS {_tables.pop()}")
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     while _made:
         p = path(_made.pop())
@@ -75,7 +130,10 @@ def clear(spark: SparkSession) -> None:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Few documents in an Arrow batch: whole texts may be long."""
+    """Few documents in an Arrow batch: whole texts may be long.
+
+    The session keeps these two options, because a plan reads them when it runs and not when it is made.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 

@@ -2,13 +2,14 @@
 
 The index is a table bucketed and sorted by digest. A batch of new documents is
 reduced to one keeper for each digest (map-side first), sort-merge anti-joined
-with the index on its bucketing, and what is new is appended. Only digests and
-ids are shuffled, never texts.
+with the index on its bucketing, and what is new is appended. Every text is read and
+hashed once; after that only digests, ids and row numbers are shuffled, never texts.
 
 Defined results: a null text counts as the empty text; of equal texts in one
-batch the row with the largest doc_id stays (null ids come last); a text that an
-earlier batch brought in stays with that batch's row. Rows with the same id and
-text are one group, and all but one of them go. Other columns pass untouched.
+batch the row with the largest doc_id stays (null ids come last), and of repeated rows
+with that id one; a text that an earlier batch brought in stays with that batch's row.
+Ids have the type that the index was made for. An empty table gives no rows; a text's
+length doesn't matter; other columns pass untouched, whatever their names.
 """
 
 from __future__ import annotations
@@ -16,102 +17,83 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import common
 
-#: Share of the rows above which a digest is split over tasks; at most 1 / HOT_SHARE digests can have it, which bounds their broadcast.
-HOT_SHARE = 1 / 500
-INDEX = "digest binary, keep_id long, group_size long, batch int"
 
-
-def with_digest(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("_digest", F.unhex(F.sha2(common.utf8(F.col("text")), 256)))
+def digests(docs: DataFrame, *kept: str) -> DataFrame:
+    """_row, doc_id, _digest and the columns in kept of docs' rows; written, so that row numbers stay."""
+    digest = F.unhex(F.sha2(common.utf8(F.col("text")), 256)).alias("_digest")
+    return common.written(docs.select(F.monotonically_increasing_id().alias("_row"), "doc_id", digest, *kept), "digests")
 
 
 class DigestIndex:
-    """digest, keep_id, batch and group_size, bucketed and sorted by digest in the shared folder."""
+    """digest, keep_id, keep_row (its number in its batch), group_size and batch, bucketed and sorted by digest in the shared folder.
+
+    An index without a name is its maker's alone: common.clear() drops it.
+    """
 
-    def __init__(self, spark: SparkSession, name: str | None = None, buckets: int = 0) -> None:
+    def __init__(self, spark: SparkSession, name: str | None = None, buckets: int = 0, id_type: str = "long") -> None:
         self.spark = spark
         self.name = name or f"digest_index_{uuid.uuid4().hex}"
         self.buckets = buckets or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        self.schema = f"digest binary, keep_id {id_type}, keep_row long, group_size long, batch int"
+        self.path = f"{common.shared_dir(spark)}/{self.name}"
+        if not name:
+            common._tables.append(self.name)
+            common._made.append(self.path)
 
     def table(self) -> DataFrame:
         """The index; an empty one is made where there is none yet."""
         if not self.spark.catalog.tableExists(self.name):
-            self._append(common.empty(self.spark, INDEX))
+            self._append(common.empty(self.spark, self.schema))
         return self.spark.table(self.name)
 
     def _append(self, rows: DataFrame) -> None:
-        (
-            rows.write.mode("append")
-            .bucketBy(self.buckets, "digest")
-            .sortBy("digest")
-            .option("path", f"{common.shared_dir(self.spark)}/{self.name}")
-            .saveAsTable(self.name)
-        )
+        rows.write.mode("append").bucketBy(self.buckets, "digest").sortBy("digest").option("path", self.path).saveAsTable(self.name)
 
-    def add(self, docs: DataFrame, batch: int = 0) -> DataFrame:
-        """Append the digests of docs that the index doesn't have; return the index.
+    def add(self, rows: DataFrame, batch: int = 0) -> DataFrame:
+        """Append those of digests(docs) that the index doesn't have; return the index.
 
         The batch is reduced to its digests first, in a table of its own: otherwise the
         optimiser moves the anti-join below the aggregation, and every copy of a hot text is
         shuffled. The index itself is not shuffled again.
         """
-        new = (
-            with_digest(docs.select("doc_id", "text"))
-            .groupBy("_digest")
-            .agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-            .select(F.col("_digest").alias("digest"), F.col("keep_id").cast("long"), "group_size", F.lit(batch).alias("batch"))
-        )
+        known = self.table()
+        first = F.max(F.struct("doc_id", "_row"))
+        new = rows.groupBy("_digest").agg(first.alias("_keeper"), F.count(F.lit(1)).alias("group_size"))
+        keep_id = F.col("_keeper.doc_id").cast(known.schema["keep_id"].dataType).alias("keep_id")
+        new = new.select(F.col("_digest").alias("digest"), keep_id, F.col("_keeper._row").alias("keep_row"), "group_size", F.lit(batch).alias("batch"))
         new = common.written(new, "batch")
-        fresh = new.join(self.table().select("digest").hint("merge"), "digest", "left_anti")
+        fresh = new.join(known.select("digest").hint("merge"), "digest", "left_anti")
         self._append(fresh.repartition(self.buckets, "digest"))
         self.spark.catalog.refreshTable(self.name)
         return self.table()
 
 
-def decide(docs: DataFrame, index: DigestIndex, batch: int = 0) -> DataFrame:
-    """docs with _digest, keep_id, group_size and kept, by the index, which has them.
-
-    A digest that holds more than HOT_SHARE of the rows is dealt over salts on both
-    sides of the join; there are at most 1 / HOT_SHARE of those.
-    """
-    index_rows = index.table().select(F.col("digest").alias("_digest"), "keep_id", "group_size", F.col("batch").alias("_batch"))
-    total = index_rows.agg(F.sum("group_size")).first()[0] or 0
-    most = max(4096, int(total * HOT_SHARE))
-    hot = F.broadcast(index_rows.filter(F.col("group_size") > most).select("_digest", F.ceil(F.col("group_size") / most).cast("int").alias("_pieces")))
-    pieces = F.coalesce("_pieces", F.lit(1))
-    digested = with_digest(docs).join(hot, "_digest", "left")
-    digested = digested.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), pieces).cast("int")).drop("_pieces")
-    index_rows = index_rows.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.ceil(F.greatest(F.col("group_size") - most, F.lit(0)) / most).cast("int"))))
-    joined = digested.join(index_rows, ["_digest", "_salt"], "left")
-    first = (F.col("_batch") == batch) & F.col("doc_id").eqNullSafe(F.col("keep_id"))
-    return joined.withColumn("kept", first).drop("_salt", "_batch")
+def decide(rows: DataFrame, index: DigestIndex, batch: int = 0) -> DataFrame:
+    """digests(docs) with keep_id, group_size and kept, by the index, which has them. Hot digests are dealt over tasks."""
+    facts = index.table().select(F.col("digest").alias("_digest"), "keep_id", "group_size", F.col("batch").alias("_batch"), F.col("keep_row").alias("_keep_row"))
+    joined = common.spread_join(rows, facts, "_digest", "group_size", "doc_id")
+    return joined.withColumn("kept", (F.col("_batch") == batch) & (F.col("_row") == F.col("_keep_row"))).drop("_batch", "_keep_row")
 
 
-def single_rows(decided: DataFrame) -> DataFrame:
-    """Of kept rows that share digest and id (repeated rows), one."""
-    kept = decided.filter("kept")
-    return kept.dropDuplicates(["_digest", "doc_id"])
+def index_for(docs: DataFrame) -> DigestIndex:
+    return DigestIndex(docs.sparkSession, id_type=docs.schema["doc_id"].dataType.simpleString())
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with their own columns, through a fresh index."""
-    index = DigestIndex(docs.sparkSession)
-    index.add(docs)
-    inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "doc_id", "text")
-    return single_rows(decide(inner, index)).select("_row.*")
+    inner, index = common.numbered(docs), index_for(docs)
+    rows = digests(inner.select(F.col("_row").alias("_place"), "_doc.doc_id", "_doc.text"), "_place")
+    index.add(rows)
+    gone = common.written(decide(rows, index).filter("not kept").select(F.col("_place").alias("_row")), "gone")
+    return common.without(inner, gone).select("_doc.*")
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """One row for each document, dropped ones too; of repeated rows with one id the first counts as kept."""
-    index = DigestIndex(docs.sparkSession)
-    index.add(docs)
-    decided = decide(docs.select("doc_id", "text"), index).select("doc_id", "keep_id", "group_size", "kept", "_digest")
-    # a keeper's id may come on several rows; they are few in a group's (digest, id), not in the group
-    among = W.partitionBy("_digest", "doc_id").orderBy(F.lit(1))
-    again = decided.filter("kept").withColumn("kept", F.row_number().over(among) == 1)
-    return decided.filter("not kept").unionByName(again).withColumn("text_sha256", F.lower(F.hex("_digest"))).drop("_digest")
+    """One row for each document, dropped ones too."""
+    rows, index = digests(docs), index_for(docs)
+    index.add(rows)
+    return decide(rows, index).select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("_digest")).alias("text_sha256"))

@@ -81,7 +81,11 @@ def parities(values: np.ndarray, h: int) -> np.ndarray:
 
 
 def stars(fps: np.ndarray, bucket: int, masks: np.ndarray, mask_bucket: np.ndarray, h: int, radius: int) -> np.ndarray:
-    """Edges (fingerprint, smallest fingerprint it meets on a value of this bucket)."""
+    """Edges (fingerprint, smallest fingerprint it meets on a value of this bucket).
+
+    Of two that meet one has the value in its ball of half the radius, rounded down; that one can be a star's centre.
+    """
+    far = np.bitwise_count(masks) > radius // 2
     fps = np.unique(fps)
     wanted = parities(fps, h) ^ bucket  # the masks' bucket that leads here
     order = np.argsort(mask_bucket, kind="stable")
@@ -90,25 +94,28 @@ def stars(fps: np.ndarray, bucket: int, masks: np.ndarray, mask_bucket: np.ndarr
     passes = int(-(-int(made.sum()) // (4 * BUCKET_VALUES)))
     edges = []
     for k in range(max(1, passes)):  # a crowded bucket sorts one residue of its values at a time
-        values, owners = [], []
+        values, owners, outer = [], [], []
         for at in range(0, len(fps), 1 << 15):
             some = slice(at, at + (1 << 15))
             n = made[some]
             rows = np.repeat(np.arange(at, at + len(n)), n)
             nth = np.arange(len(rows)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low[some], n)
-            v = fps[rows] ^ masks[order[nth]]
+            v, o = fps[rows] ^ masks[order[nth]], far[order[nth]]
             if passes > 1:
                 own = (v * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(passes) == np.uint64(k)
-                v, rows = v[own], rows[own]
+                v, rows, o = v[own], rows[own], o[own]
             values.append(v)
             owners.append(rows.astype(np.int32))
-        v, rows = np.concatenate(values), np.concatenate(owners)
-        by = np.argsort(v, kind="stable")  # owners ascend, so the first of a value is its smallest fingerprint
-        v, rows = v[by], rows[by]
+            outer.append(o)
+        v, rows, o = np.concatenate(values), np.concatenate(owners), np.concatenate(outer)
+        # owners ascend, so the first of a value is its smallest fingerprint, of those near it if there are others
+        by = np.lexsort((o, v)) if radius % 2 else np.argsort(v, kind="stable")
+        v, rows, o = v[by], rows[by], o[by]
         first = np.ones(len(v), bool)
         first[1:] = v[1:] != v[:-1]
-        hub = rows[np.maximum.accumulate(np.where(first, np.arange(len(v)), 0))]
-        met = hub != rows
+        centre = np.maximum.accumulate(np.where(first, np.arange(len(v)), 0))
+        hub = rows[centre]
+        met = (hub != rows) & ~o[centre]
         edges.append(np.unique(rows[met].astype(np.int64) * len(fps) + hub[met]))
     e = np.unique(np.concatenate(edges)) if edges else np.zeros(0, np.int64)
     a, b = fps[e // max(1, len(fps))], fps[e % max(1, len(fps))]
@@ -119,7 +126,7 @@ def stars(fps: np.ndarray, bucket: int, masks: np.ndarray, mask_bucket: np.ndarr
 def edges(fps: DataFrame, radius: int) -> DataFrame:
     """Distinct edges a, b (a star for each meeting value) between the distinct fingerprints in fps."""
     spark = fps.sparkSession
-    masks = ball(radius // 2)
+    masks = ball((radius + 1) // 2)
     n = fps.count()
     h = int(np.clip(np.ceil(np.log2(max(1, n * len(masks) / BUCKET_VALUES))), 5, 32))
     mask_bucket = parities(masks, h)
@@ -139,11 +146,18 @@ def edges(fps: DataFrame, radius: int) -> DataFrame:
     return sent.repartition(max(parts, min(1 << h, 4 * parts)), "bucket").groupBy("bucket").applyInArrow(run, "a long, b long").distinct()
 
 
+def settled(e: DataFrame) -> bool:
+    """Whether the edges (u above v) are stars: no u has two v, and no v is a u."""
+    heads = e.groupBy("u").agg(F.count(F.lit(1)).alias("n"))
+    return not heads.filter("n > 1").take(1) and not e.join(heads.select(F.col("u").alias("v")), "v", "left_semi").take(1)
+
+
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """node, component (smallest node reachable) of every node in links (a, b), by alternating large and small stars."""
     e = common.written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "links")
-    before = None
     for _ in range(rounds):
+        if settled(e):
+            break
         # large star: each neighbour above a node is linked to the node's smallest neighbour
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -152,10 +166,6 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         lower = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lower, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
         e = common.written(small.unionByName(lower.select("u", F.col("m").alias("v"))).distinct(), "links")
-        now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.hash("u", "v").cast("long"))).first())
-        if now == before:
-            break
-        before = now
     else:
         raise RuntimeError(f"components have not settled in {rounds} rounds")
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
@@ -164,16 +174,17 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
 def near_duplicates(docs: DataFrame, width: int, radius: int) -> DataFrame:
     """doc_id, fp and component_id (smallest doc_id reachable over links) of each row."""
     rows = common.written(docs.select("doc_id", fingerprints(docs.sparkSession, width)(F.col("text")).alias("fp")), "fingerprints")
-    return rows.join(labels(rows, radius), "fp", "left").select("doc_id", "fp", "component_id")
+    return common.spread_join(rows, labels(rows, radius), "fp", "n", "doc_id").select("doc_id", "fp", "component_id")
 
 
 def labels(rows: DataFrame, radius: int) -> DataFrame:
-    """fp, component_id (smallest doc_id in its component) and component of the distinct fingerprints in rows (doc_id, fp); written."""
-    ids = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    """fp, n (its rows), component_id (smallest doc_id in its component) and component of the distinct fingerprints in rows (doc_id, fp); written."""
+    ids = common.written(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "ids")
     linked = components(edges(ids.select("fp"), radius))
-    label = ids.join(linked, ids.fp == linked.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
-    least = label.groupBy("component").agg(F.min("least").alias("component_id"))
-    return common.written(label.join(least, "component").select("fp", "component_id", "component"), "labels")
+    label = common.written(ids.join(linked, ids.fp == linked.node, "left").select("fp", "least", "n", F.coalesce("component", "fp").alias("component")), "label")
+    least = common.written(label.groupBy("component").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("_fps")), "least")
+    found = common.spread_join(label, least, "component", "_fps", "fp")
+    return common.written(found.select("fp", "n", "component_id", "component"), "labels")
 
 
 def deduplicated(docs: DataFrame, width: int, radius: int) -> DataFrame:
@@ -182,7 +193,7 @@ def deduplicated(docs: DataFrame, width: int, radius: int) -> DataFrame:
     rows = docs.select(F.monotonically_increasing_id().alias("_row"), "doc_id", fingerprints(docs.sparkSession, width)(F.col("text")).alias("fp"), whole.alias("_doc"))
     rows = common.written(rows, "near")
     light = rows.select("_row", "doc_id", "fp")
-    placed = light.join(labels(light, radius), "fp")
+    placed = common.spread_join(light, labels(light, radius), "fp", "n", "_row")
     first = placed.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))["_row"].alias("_row"))
     return rows.join(first.select("_row"), "_row", "left_semi").select("_doc.*")
 

@@ -295,7 +295,7 @@ def digests(rows):
 def odd_turns():
     r = random.Random(2)
     texts = [None, "", "<|", "<\\|", "<\\\\|a|>", "<|im_end|><|im_start|>assistant ok", "\\<|", "word " * 300, "é\U0001f600 " * 50, "$1 \\$"]
-    roles = ["system", "user", "assistant", "assistant", "a\nb", "\\n", "\\\\n<|x", None, "tool"]
+    roles = ["system", "user", "assistant", "assistant", "a\nb", "a\0b", "\\\0\n", "\\n", "\\\\n<|x", None, "tool"]
     return [(c or None, r.choice([k, k, 3, None]), r.choice(roles), r.choice(texts)) for c in range(40) for k in range(r.randrange(1, 30))]
 
 
@@ -309,9 +309,12 @@ def test_chat_round_trip(spark, odd_turns):
 
 def test_chat_windows_keep_to_the_budget(spark, odd_turns):
     df = spark.createDataFrame(odd_turns, "conv_id long, turn long, role string, text string")
+    df = df.selectExpr("*", "1 window", "2 n_turns", "'x' loss", "3 _n")
     out = chat.windows(df, budget=400).collect()
     for w in out:
-        assert w.tokens <= 400 or w.n_turns == 1 or w.formatted.startswith("<|im_start|>system")
+        assert w.size == len(w.formatted.encode())
+        first = w.formatted[: w.formatted.index(chat.END)] if w.formatted.startswith("<|im_start|>system") else ""
+        assert w.size <= 400 or w.n_turns == 1 or len(first.encode()) + len(chat.END) + 1 > 200
         assert w.n_context <= 3
         assert w.formatted.count(chat.START) == w.formatted.count(chat.END) == w.n_turns + w.n_context
         for s in w.loss:
@@ -445,12 +448,20 @@ def test_exact_dedup_report(odd_docs, odd_rows, no_docs):
 
 def test_exact_dedup_of_later_batches(spark, odd_docs):
     index = exact_dedup.DigestIndex(spark)
-    index.add(odd_docs, batch=0)
+    index.add(exact_dedup.digests(odd_docs), batch=0)
     before = index.table().count()
-    later = spark.createDataFrame([(9000, "quite new"), (9001, "quite new"), (9002, "")], "doc_id long, text string")
+    later = exact_dedup.digests(spark.createDataFrame([(9000, "quite new"), (9001, "quite new"), (9002, "")], "doc_id long, text string"))
     index.add(later, batch=1)
     assert index.table().count() == before + 1
-    assert {r.doc_id for r in exact_dedup.single_rows(exact_dedup.decide(later, index, 1)).collect()} == {9001}
+    assert [r.doc_id for r in exact_dedup.decide(later, index, 1).filter("kept").collect()] == [9001]
+
+
+def test_exact_dedup_of_ids_that_are_strings(spark):
+    docs = spark.createDataFrame([("b", "x"), ("a", "x"), (None, "y"), (None, "y")], "doc_id string, text string").selectExpr("*", "1 keep_id", "'q' kept", "2 _row")
+    assert sorted((r.doc_id or "", r.keep_id or "", r.group_size, r.kept) for r in exact_dedup.report(docs).collect()) == [("", "", 2, False), ("", "", 2, True), ("a", "b", 2, False), ("b", "b", 2, True)]
+    kept = exact_dedup.exact_dedup(docs)
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id or "" for r in kept.collect()) == ["", "b"]
 
 
 def test_exact_dedup_keeps_columns(odd_docs):
@@ -604,19 +615,20 @@ def test_simhash_components(odd_docs, odd_rows, no_docs):
     assert simhash.report(no_docs).count() == 0
 
 
-def test_dense_fingerprints_lose_no_link(spark):
+@pytest.mark.parametrize("radius", [1, 2, 3, 4, 5])
+def test_dense_fingerprints_lose_no_link(spark, radius):
     r = random.Random(11)
     centres = [r.getrandbits(64) for _ in range(6)]
     fps = [0, 2**63, 2**64 - 1]
-    for _ in range(1500):
+    for _ in range(1500 if radius < 5 else 150):
         x = r.choice(centres)
-        for _ in range(r.randrange(0, 9)):
+        for _ in range(r.randrange(0, 2 * radius + 1)):
             x ^= 1 << r.randrange(64)
         fps.append(x)
     fps = sorted(set(fps))
     df = spark.createDataFrame([(int(np.uint64(x).view(np.int64)),) for x in fps], "fp long")
-    linked = {r.node: r.component for r in simhash.components(simhash.edges(df, 4)).collect()}
-    of = slow_components(fps, 4)
+    linked = {r.node: r.component for r in simhash.components(simhash.edges(df, radius)).collect()}
+    of = slow_components(fps, radius)
     signed = [int(np.uint64(x).view(np.int64)) for x in fps]
     ours = defaultdict(set)
     for s in signed:
@@ -641,9 +653,20 @@ def test_simhash_keeps_one_of_each_group(odd_docs, odd_rows):
     assert out.count() == len(set(of))
 
 
-def test_written_tables_can_be_cleared(spark):
+def test_hot_fingerprints_and_components_are_dealt_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(common, "SPREAD_ROWS", 7)
+    rows = [(i, "same text here and there" if i % 2 else f"own {i} " * 9) for i in range(400)]
+    got = {r.doc_id: r.component_id for r in simhash.report(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert len(got) == 400
+    assert {got[i] for i in range(1, 400, 2)} == {1}
+
+
+def test_written_tables_and_indexes_can_be_cleared(spark):
+    index = exact_dedup.DigestIndex(spark)
+    assert index.table().count() == 0
     df = common.written(spark.range(3), "numbers")
     assert df.count() == 3
     common.clear(spark)
     with pytest.raises(Exception, match="FILE|exist"):
         df.count()
+    assert not spark.catalog.tableExists(index.name)
