@@ -11,13 +11,17 @@ matched, those whose left part also agrees in another document are repeated. Eac
 window belongs to one minimiser, so together they are found without exception, and
 neighbouring windows join into passages.
 
-A seed that more than HOT suffixes share is not sorted in one task: its windows are
-hashed and counted with map-side aggregation instead, which is exact as well.
+A seed that more than HOT suffixes share, and more than a partition has on average, is
+not sorted in one task: its windows are hashed and counted with map-side aggregation
+instead, and hot windows are dealt over tasks. There are at most as many such seeds as
+partitions.
 
-Continuations and left parts travel as 16 bits for each word (seeds as 64 bits for
-the run), so a passage's end may reach one word too far with probability 2 ** -16.
+Continuations and left parts travel as 24 bits for each word (seeds and the windows of
+hot ones as 64 bits), so a passage's end may reach one word too far with probability
+2 ** -24.
 
-Defined results: words are runs of other than ASCII white space, compared as they
+Defined results: no rows give no passage; a text of any length is cut into its own
+suffixes; other columns are not read, whatever their names; words are runs of other than ASCII white space, compared as they
 are; null, empty and shorter texts have no passage; rows are documents, so repeated
 rows with one id count as two; a passage that only one row repeats is none.
 """
@@ -35,9 +39,11 @@ from pyspark.sql import functions as F
 from . import common
 
 LENGTH, SEED = 50, 20
-#: Suffixes of one seed that a task sorts at most, and suffixes that it holds before it compares them.
+#: Suffixes of one seed up to which it is never hot, and suffixes that it holds before it compares them.
 HOT = 50_000
 CHUNK = 1 << 15
+#: Bytes of a word's hash that travel with a suffix.
+BYTES = 3
 PRIME = np.uint64(0x100000001B3)
 
 
@@ -117,8 +123,8 @@ def retained(docs: DataFrame, hot: np.ndarray, length: int, seed: int, only: str
                         starts.append(of)
                         key_owner.append(np.full(len(of), i))
                     continue
-                short = (h >> np.uint64(48)).astype("<u2")
-                back = short[::-1]
+                short = np.ascontiguousarray(h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 8 - BYTES :])
+                back = np.ascontiguousarray(short[::-1])
                 n = len(h)
                 for x, pp, lo, hi in zip(s[~crowded].tolist(), p[~crowded].tolist(), low[~crowded].tolist(), high[~crowded].tolist(), strict=True):
                     seeds.append(x)
@@ -149,10 +155,10 @@ def retained(docs: DataFrame, hot: np.ndarray, length: int, seed: int, only: str
 
 
 def padded(parts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of 16-bit values, zero behind their lengths."""
-    n = np.array([len(x) // 2 for x in parts], np.int64)
-    flat = np.frombuffer(b"".join(x.ljust(2 * width, b"\0") for x in parts), "<u2")
-    return flat.reshape(len(parts), width), n
+    """Rows of the words' bits, zero behind their lengths."""
+    n = np.array([len(x) // BYTES for x in parts], np.int64)
+    flat = np.frombuffer(b"".join(x.ljust(BYTES * width, b"\0") for x in parts), np.uint8).reshape(len(parts), width, BYTES)
+    return sum(flat[:, :, k].astype(np.uint32) << np.uint32(8 * k) for k in range(BYTES)), n
 
 
 def repeated(seeds: np.ndarray, rows: np.ndarray, at: np.ndarray, low: np.ndarray, high: np.ndarray, lefts: list[bytes], rights: list[bytes], length: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -244,14 +250,17 @@ def passages(docs: DataFrame, length: int = LENGTH, seed: int = SEED, hot: int =
     """doc_id, start and length in words of each maximal stretch of docs' rows that other rows share in windows of `length` words."""
     rows = docs.select(F.monotonically_increasing_id().alias("_row"), "doc_id", "text")
     none = np.zeros(0, np.uint64)
-    # at most rows / HOT of each document's seeds can be hot
-    crowded = retained(rows, none, length, seed, "seeds").groupBy("seed").count().filter(F.col("count") > hot).select("seed").collect()
+    counts = common.written(retained(rows, none, length, seed, "seeds").groupBy("seed").count().filter("count > 1"), "seeds")
+    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    most = max(hot, int(counts.agg(F.sum("count")).first()[0] or 0) // parts)
+    crowded = counts.filter(F.col("count") > most).select("seed").collect()  # parts at most
     known = np.array(sorted(r[0] for r in crowded), np.int64).view(np.uint64)
     spans = spans_of_suffixes(retained(rows, known, length, seed, "suffixes"), length, seed)
     if len(known):
         windows = common.written(retained(rows, known, length, seed, "windows"), "windows")
-        shared = windows.groupBy("key").agg(F.min("_row").alias("a"), F.max("_row").alias("b")).filter("a < b").select("key")
-        spans = spans.unionByName(windows.join(shared, "key").select("_row", "doc_id", "start", (F.col("start") + length).alias("end")))
+        shared = windows.groupBy("key").agg(F.min("_row").alias("a"), F.max("_row").alias("b"), F.count(F.lit(1)).alias("n")).filter("a < b").select("key", "n")
+        shared = common.written(shared, "shared")
+        spans = spans.unionByName(common.spread_join(windows, shared, "key", "n", "_row").select("_row", "doc_id", "start", (F.col("start") + length).alias("end")))
     in_row = W.partitionBy("_row").orderBy("start", "end")
     reached = F.max("end").over(in_row.rowsBetween(W.unboundedPreceding, -1))
     opened = spans.withColumn("_new", F.when(F.col("start") <= reached, 0).otherwise(1))
