@@ -8,11 +8,13 @@ then fitted on rows that training did not see.
 
 Document frequencies cover all training rows. The weights are fitted on at most
 SAMPLE labelled rows, equally many for each language, those with the smallest hash
-of their id: a fixed bound on what the driver holds. Every whole text is scored.
+of id and text: a fixed bound on what the driver holds. Every whole text is scored.
 
 Defined results: `und` with score 0 for a null text or one without a letter, and for
 every text if there is no labelled row; with one language in training, that language
-with score 1. Ties of scores go to the language that is first by code point.
+with score 1. Ties of scores go to the language that is first by code point. Repeated
+rows count once in the sample and are predicted alike; an empty table gives no rows;
+bytes that are no UTF-8 are U+FFFD each; more than SAMPLE languages are an error.
 """
 
 from __future__ import annotations
@@ -26,18 +28,16 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import common
 
 DIM = 1 << 15
 ORDERS = 4
-#: Labelled rows that the weights and the temperature are fitted on.
+#: Labelled rows that the weights and the temperature are fitted on, and languages at most.
 SAMPLE = 4000
 EPOCHS = 4
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.05
-SALTS = 256
 UNKNOWN = "und"
 #: Characters that are hashed at once.
 BLOCK = 1 << 18
@@ -140,7 +140,7 @@ def document_frequencies(train: DataFrame) -> tuple[int, np.ndarray]:
         n, df = 0, np.zeros(DIM, np.int64)
         for b in batches:
             for x in b.column("text").to_pylist():
-                df += counts(x.decode()) > 0
+                df += counts(x.decode(errors="replace")) > 0
                 n += 1
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(df[at], n))], names=["at", "n"])
@@ -164,22 +164,20 @@ def fit(docs: DataFrame, held_out: Column, sample: int = SAMPLE, seed: int = 7)
     if not n:
         return None
     idf = (np.log((1 + n) / (1 + df)) + 1).astype(np.float32)
-    hashed = train.select("lang", "text", F.xxhash64(F.col("doc_id"), F.lit(seed)).alias("_hash"))
-    languages = sorted(r[0] for r in train.select("lang").distinct().limit(sample + 1).collect())
+    # rows with one hash are copies and count once; a language's smallest hashes lie below the quantile that has somewhat more than its part
+    hashed = train.select("lang", "text", F.xxhash64("doc_id", "text", F.lit(seed)).alias("_hash"))
+    sizes = {r[0]: r[1] for r in hashed.groupBy("lang").agg(F.approx_count_distinct("_hash", 0.02)).limit(sample + 1).collect()}
+    languages = sorted(sizes)
     if len(languages) > sample:
         raise ValueError(f"more than {sample} languages in the training rows")
     each = max(1, sample // len(languages))
-    # the smallest hashes of a language are among the smallest of its salts, so no language meets in one task
-    salted = hashed.select("lang", "_hash").withColumn("_n", F.row_number().over(W.partitionBy("lang", F.pmod(F.hash("_hash"), F.lit(SALTS))).orderBy("_hash")))
-    few = salted.filter(F.col("_n") <= each)
-    chosen = few.withColumn("_n", F.row_number().over(W.partitionBy("lang").orderBy("_hash"))).filter(F.col("_n") == each)
-    limits = {r[0]: r[1] for r in chosen.select("lang", "_hash").collect()}  # of languages with more rows than that
-    most = F.create_map(*[x for k, v in limits.items() for x in (F.lit(k), F.lit(v))]) if limits else None
-    taken = hashed if most is None else hashed.filter(F.col("_hash") <= F.coalesce(F.element_at(most, F.col("lang")), F.lit((1 << 63) - 1)))
+    limits = {k: min(1.0, (1.2 * each + 10 * each**0.5 + 10) / n) for k, n in sizes.items()}
+    most = F.create_map(*[x for k, v in limits.items() for x in (F.lit(k), F.lit(min((1 << 63) - 1, int((v - 0.5) * 2.0**64))))])
+    taken = hashed.filter(F.col("_hash") <= F.element_at(most, F.col("lang"))).dropDuplicates(["lang", "_hash"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [features(x.decode(), idf) for x in b.column("text").to_pylist()]
+            got = [features(x.decode(errors="replace"), idf) for x in b.column("text").to_pylist()]
             columns = [b.column("lang"), b.column("_hash"), pa.array([a.astype("<u2").tobytes() for a, _ in got], pa.binary()), pa.array([x.astype("<f4").tobytes() for _, x in got], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["lang", "_hash", "at", "x"])
 
@@ -187,7 +185,7 @@ def fit(docs: DataFrame, held_out: Column, sample: int = SAMPLE, seed: int = 7)
     rows = sorted(made.collect(), key=lambda r: (r[1], r[0], bytes(r[2])))
     seen: dict[str, int] = {}
     kept = []
-    for r in rows:  # equal hashes may give a language more than its part
+    for r in rows:
         seen[r[0]] = seen.get(r[0], 0) + 1
         if seen[r[0]] <= each:
             kept.append(r)
@@ -204,8 +202,8 @@ def fit(docs: DataFrame, held_out: Column, sample: int = SAMPLE, seed: int = 7)
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
-    """docs with lang_pred and score, from the text alone."""
-    spark = docs.sparkSession
+    """docs with lang_pred and score, from the text alone; own columns of these names are replaced."""
+    spark, docs = docs.sparkSession, docs.drop("lang_pred", "score", "_language")
     common.bounded_batches(spark)
     shared = spark.sparkContext.broadcast(model)  # DIM rows at most
 
@@ -214,7 +212,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
 
         own = shared.value
         for text, known in texts:
-            found = [own.predict(x.decode()) if k and own else (UNKNOWN, 0.0) for x, k in zip(text, known, strict=True)]
+            found = [own.predict(x.decode(errors="replace")) if k and own else (UNKNOWN, 0.0) for x, k in zip(text, known, strict=True)]
             yield pd.DataFrame(found, columns=["lang_pred", "score"])
 
     udf = F.pandas_udf(run, "lang_pred string, score double", F.PandasUDFType.SCALAR_ITER)
