@@ -5,7 +5,8 @@ may hold such marks itself: in texts and roles every `<|`, with any number of
 backslashes between the two characters, gets one backslash more, which reading back
 takes away. Line feeds and backslashes of roles are escaped too.
 
-Prefix sums of the turns' tokens choose the windows. What a budget leaves beside the
+Prefix sums of the turns' sizes choose the windows; a size is the formatted turn's bytes,
+which bounds its tokens from above. What a budget leaves beside the
 system turn and the history is a stride: a turn that lies inside one stride of the
 prefix sums joins that stride's window, a turn that reaches into the next has a window
 of its own, so that windows hold whole turns in order and stay within the budget unless
@@ -15,7 +16,9 @@ budget. Repeated turns are outside the loss mask; the texts of the window's own
 assistant turns are inside.
 
 Defined results: null texts and roles are empty; turns with equal numbers are ordered
-by role and text; null turn numbers come first; null is a conversation id like others.
+by role and text, repeated rows are turns each; null turn numbers come first; null is a
+conversation id like others; no rows give no windows; a text longer than the budget is a
+window of its own with its context, whole; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,13 +28,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 START, END = "<|im_start|>", "<|im_end|>"
-BUDGET = 1024
+#: Bytes of a window. A token of any vocabulary over bytes has one at least, so a window has no more tokens than that; about a fourth of it is usual.
+BUDGET = 4096
 #: Turns repeated before a window's own, and their share of the budget.
 HISTORY = 2
 HISTORY_SHARE = 0.25
-#: Tokens of the marks and the role.
-OVERHEAD = 5
-TOKEN = r"\w+|[^\w\s]"
 
 
 def escaped(text: Column) -> Column:
@@ -47,22 +48,18 @@ def escaped_role(role: Column) -> Column:
 
 
 def unescaped_role(role: Column) -> Column:
-    # a doubled backslash is set aside so that it doesn't take part in \n
-    out = F.replace(unescaped(role), F.lit("\\\\"), F.lit("\0"))
-    return F.replace(F.replace(out, F.lit("\\n"), F.lit("\n")), F.lit("\0"), F.lit("\\"))
-
-
-def tokens(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(TOKEN)) + OVERHEAD
+    # between doubled backslashes, a single one and n are a line feed
+    parts = F.split(unescaped(role), r"\\\\")
+    return F.array_join(F.transform(parts, lambda x: F.replace(x, F.lit("\\n"), F.lit("\n"))), "\\")
 
 
 def total(i: Column) -> Column:
-    """Tokens of the turns before, up to the i-th."""
+    """Bytes of the turns before, up to the i-th."""
     return F.aggregate(F.slice("_before", 1, i + 1), F.lit(0), lambda s, x: s + F.coalesce(x["_n"], F.lit(0)))
 
 
 def windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
-    """conv_id, window, formatted, n_context (repeated turns in front), n_turns (own), tokens and loss.
+    """conv_id, window, formatted, n_context (repeated turns in front), n_turns (own), size (bytes) and loss.
 
     loss is an array of (start, length) in characters of formatted, start from 0.
     """
@@ -72,9 +69,9 @@ def windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTO
     so_far = order.rowsBetween(W.unboundedPreceding, W.currentRow)
     t = t.select(
         "conv_id", "turn", "role", "text",
-        F.concat(F.lit(START), escaped_role(F.col("role")), F.lit("\n")).alias("_head"), escaped(F.col("text")).alias("_body"), tokens(F.col("text")).alias("_n"),
+        F.concat(F.lit(START), escaped_role(F.col("role")), F.lit("\n")).alias("_head"), escaped(F.col("text")).alias("_body"),
     )
-    t = t.withColumn("_piece", F.concat("_head", "_body", F.lit(f"{END}\n"))).withColumn("_seq", F.row_number().over(order)).withColumn("_end", F.sum("_n").over(so_far))
+    t = t.withColumn("_piece", F.concat("_head", "_body", F.lit(f"{END}\n"))).withColumn("_n", F.octet_length("_piece")).withColumn("_seq", F.row_number().over(order)).withColumn("_end", F.sum("_n").over(so_far))
     system = F.first(F.when(F.col("role") == "system", F.struct("_seq", "_piece", "_n")), ignorenulls=True)
     t = t.withColumn("_system", system.over(so_far))
     size = F.first(F.when(F.col("role") == "system", F.col("_n")), ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
@@ -97,12 +94,12 @@ def windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTO
     turns = F.sort_array(F.collect_list(F.struct("_seq", "_piece", "_at", F.length("_body").alias("_chars"), (F.col("role") == "assistant").alias("_loss"))))
     grouped = t.groupBy("conv_id", "window").agg(
         turns.alias("_turns"), F.max("_front").alias("_front"), F.max(F.coalesce(F.size("_context"), F.lit(0))).alias("n_context"),
-        F.sum(F.col("_n") + F.coalesce(F.aggregate("_context", F.lit(0), lambda s, x: s + x["_n"]), F.lit(0))).alias("tokens"),
+        F.sum(F.col("_n") + F.coalesce(F.aggregate("_context", F.lit(0), lambda s, x: s + x["_n"]), F.lit(0))).alias("size"),
     )
     return grouped.select(
         "conv_id", "window",
         F.concat("_front", F.array_join(F.transform("_turns", lambda x: x["_piece"]), "")).alias("formatted"),
-        F.greatest("n_context", F.lit(0)).alias("n_context"), F.size("_turns").alias("n_turns"), "tokens",
+        F.greatest("n_context", F.lit(0)).alias("n_context"), F.size("_turns").alias("n_turns"), "size",
         F.transform(F.filter("_turns", lambda x: x["_loss"]), lambda x: F.struct(x["_at"].alias("start"), x["_chars"].alias("length"))).alias("loss"),
     )
 

@@ -82,19 +82,19 @@ SQL: dict[str, str] = {
     "op5_chat_format": r"""
         WITH added AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
             UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
-        sized AS (SELECT *, len(regexp_extract_all(text, '\w+|[^\w\s]')) + 5 AS n,
+        sized AS (SELECT *, strlen(role) + len(regexp_extract_all(role, '[\n\\]')) + strlen(text) + len(regexp_extract_all(text, '<\\*\|')) + 24 AS n,
             length(role) + len(regexp_extract_all(role, '[\n\\]')) + length(text) + len(regexp_extract_all(text, '<\\*\|')) + 24 AS chars,
             row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS seq FROM added),
         placed AS (SELECT *, sum(n) OVER so_far AS upto, first_value(CASE WHEN role = 'system' THEN seq END IGNORE NULLS) OVER so_far AS sys_seq,
             first_value(CASE WHEN role = 'system' THEN chars END IGNORE NULLS) OVER so_far AS sys_chars,
-            greatest(768 - coalesce(first_value(CASE WHEN role = 'system' THEN n END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), 0), 256) AS stride
+            greatest(3072 - coalesce(first_value(CASE WHEN role = 'system' THEN n END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), 0), 1024) AS stride
             FROM sized WINDOW so_far AS (PARTITION BY conv_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
         dealt AS (SELECT *, 2 * ((upto - n) // stride) + CASE WHEN upto > ((upto - n) // stride + 1) * stride THEN 1 ELSE 0 END AS win FROM placed),
         seen AS (SELECT *, lag(win) OVER w IS DISTINCT FROM win AND seq > 1 AS opens, lag(n) OVER w AS n1, lag(chars) OVER w AS chars1, lag(n, 2) OVER w AS n2, lag(chars, 2) OVER w AS chars2
             FROM dealt WINDOW w AS (PARTITION BY conv_id ORDER BY seq)),
         counted AS (SELECT *, CASE WHEN opens THEN CASE WHEN sys_seq < seq THEN sys_chars ELSE 0 END
-            + CASE WHEN n1 <= 256 AND sys_seq IS DISTINCT FROM seq - 1 THEN chars1 ELSE 0 END
-            + CASE WHEN n1 + n2 <= 256 AND sys_seq IS DISTINCT FROM seq - 2 THEN chars2 ELSE 0 END ELSE 0 END AS repeated FROM seen)
+            + CASE WHEN n1 <= 1024 AND sys_seq IS DISTINCT FROM seq - 1 THEN chars1 ELSE 0 END
+            + CASE WHEN n1 + n2 <= 1024 AND sys_seq IS DISTINCT FROM seq - 2 THEN chars2 ELSE 0 END ELSE 0 END AS repeated FROM seen)
         SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY seq)) AS turns_sha256,
             coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
             sha256(coalesce(string_agg(text, '' ORDER BY seq) FILTER (role = 'assistant'), '')) AS loss_sha256,
