@@ -11,6 +11,8 @@ in order, as one conditional expression.
 Defined results: a null or empty text has no words, zero statistics and fails the
 base rule; rows of labels with a null id or another quality than 0 and 1 are ignored;
 with one quality only, or without labels, there is no rule and the verdict is to keep.
+Of repeated ids or labels the least quality and statistics are learned from, each row
+gets its own verdict; an empty table gives no rows; a text of any length is read whole.
 """
 
 from __future__ import annotations
@@ -66,7 +68,7 @@ def repeated(words: Column) -> Column:
 
 
 def statistics(docs: DataFrame) -> DataFrame:
-    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_upper, n_digits and n_marks."""
+    """docs (own columns of these names and _w, _l are replaced) with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_upper, n_digits and n_marks."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     without = lambda pattern: (F.length(text) - F.length(F.regexp_replace(text, pattern, ""))).cast("long")
     words = let(F.array_remove(F.split(text, BLANK), ""), lambda w: F.struct(F.size(w).cast("long").alias("n"), F.length(F.array_join(w, "")).cast("long").alias("chars"), repeated(w).alias("repeat")))
@@ -197,7 +199,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[Rule]:
     known = labels.select(F.col("doc_id").alias("_id"), "quality").filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull())
     chosen = known.orderBy(F.xxhash64("_id"), "_id", "quality").limit(sample)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
-    found = statistics(rows).select("_id", "quality", *[v.alias(f"_{k}") for k, v in ratios().items()]).dropDuplicates(["_id"])
+    # of rows or labels with one id, the least
+    found = statistics(rows).groupBy("_id").agg(F.min(F.struct("quality", *[v.alias(f"_{k}") for k, v in ratios().items()])).alias("_x")).select("_id", "_x.*")
     got = sorted(found.collect())  # sample rows at most
     names = list(ratios())
     x = {k: np.array([r[i + 2] for r in got], float) for i, k in enumerate(names)}
