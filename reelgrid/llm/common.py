@@ -119,13 +119,23 @@ _made: list[str] = []
 _tables: list[str] = []
 
 
-def clear(spark: SparkSession) -> None:
-    """Delete the tables that written() has made and the indexes without a name of their own: for when the results that read them have been stored."""
-    while _tables:
+def made() -> tuple[int, int]:
+    """A mark for clear(): what has been written until now."""
+    return len(_made), len(_tables)
+
+
+def clear(spark: SparkSession, since: tuple[int, int] = (0, 0)) -> None:
+    """Delete the tables that written() has made (since a mark) and the indexes without a name of their own: for when the results that read them have been stored."""
+    while len(_tables) > since[1]:
         spark.sql(f"DROP TABLE IF EXISTS {_tables.pop()}")
+    remove(spark, *_made[since[0] :])
+    del _made[since[0] :]
+
+
+def remove(spark: SparkSession, *paths: str) -> None:
+    """Delete folders, as far as they are there."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    while _made:
-        p = path(_made.pop())
+    for p in map(path, paths):
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
