@@ -148,6 +148,30 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def chunks(batches: Iterator[pa.RecordBatch], size: int, column: str = "text") -> Iterator[pa.Array]:
+    """The column of some batches in pieces of size bytes or somewhat more."""
+    for t in tables(batches, size):
+        yield t.column(column).combine_chunks()
+
+
+def tables(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Table]:
+    """The batches, united to size bytes or somewhat more."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        held.append(b)
+        if sum(x.nbytes for x in held) >= size:
+            yield pa.Table.from_batches(held)
+            held = []
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def gathered_splits(docs: DataFrame, part: int) -> DataFrame:
+    """docs in at most so many splits that one has part bytes of text on average."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return docs.coalesce(max(1, int(size // part)))
+
+
 def utf8(text) -> F.Column:
     """The text's bytes; null counts as the empty text."""
     return F.coalesce(text.cast("string"), F.lit("")).cast("binary")

@@ -298,28 +298,12 @@ def pieces(windows: list[list[Item]], first: int, ids: dict[int, np.ndarray], na
         )
 
 
-def gathered_splits(docs: DataFrame, part: int) -> DataFrame:
-    """docs in at most so many splits that one has part bytes of text on average."""
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return docs.coalesce(max(1, int(size // part)))
-
-
 def pack(docs: DataFrame, path: str, end: int, window: int = WINDOW, shard: int = SHARD, part: int = PART) -> DataFrame:
     """doc_id and, for each piece of a document, start, length, doc_tokens, sequence_id, offset and ids (little-endian unsigned 32-bit)."""
     common.bounded_batches(docs.sparkSession)
     rows = docs.select("doc_id", common.utf8(F.col("text")).alias("text"))
     schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {SCHEMA}"
 
-    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-        held: list[pa.RecordBatch] = []
-        for b in batches:
-            held.append(b)
-            if sum(x.nbytes for x in held) >= CHUNK:
-                yield pa.Table.from_batches(held)
-                held = []
-        if held:
-            yield pa.Table.from_batches(held)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, context = encoder(path), TaskContext.get()
         made = (context.partitionId() if context else 0) << 32
@@ -340,7 +324,7 @@ def pack(docs: DataFrame, path: str, end: int, window: int = WINDOW, shard: int
             names = {d: names[d] for d in ids}
             whole, held = [], sum(x[2] for x in items)
 
-        for t in chunks(batches):
+        for t in common.tables(batches, CHUNK):
             kind = t.schema.field("doc_id").type
             found, stops = own.encode(t.column("text").combine_chunks(), end)
             begin = 0
@@ -357,7 +341,7 @@ def pack(docs: DataFrame, path: str, end: int, window: int = WINDOW, shard: int
         if count:
             yield from flush(True)
 
-    return gathered_splits(rows, part).mapInArrow(run, schema)
+    return common.gathered_splits(rows, part).mapInArrow(run, schema)
 
 
 def report(docs: DataFrame, path: str, end: int = 2) -> DataFrame:

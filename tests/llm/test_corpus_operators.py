@@ -255,12 +255,59 @@ def test_language_model_is_normalised(spark):
         p = np.exp((scorer.left[c1] + scorer.right[c2] - scorer.log_z[c1, c2]).astype(float))
         assert abs(p.sum() - 1) < 1e-3
     counts = {bytes(x.word): x.n for x in words.collect()}
-    total = Counter()
-    for w, n in counts.items():
-        c = scorer.first.index(w) if w in scorer.first else lm.group(w)
-        total[c] += 10.0 ** (math.log10(n + lm.SMOOTH) - scorer.spread[c]) if c >= lm.FREQUENT else 1.0
-    for c in [c for c in total if c >= lm.FREQUENT][:20]:
-        assert abs(total[c] + lm.SMOOTH / 10 ** scorer.spread[c] - 1) < 1e-9
+    place = {w: i for i, w in enumerate(scorer.words)}
+    for c1 in (0, 3, 900):
+        total = Counter()
+        for w, n in counts.items():
+            if w not in scorer.first:
+                turn = scorer.r2[c1] @ scorer.q2[place[w]] if w in place else 0.0
+                total[lm.group(w)] += (n + lm.SMOOTH) * math.exp(turn) / 10.0 ** scorer.log_z2[c1, lm.group(w)]
+        for c, p in total.items():  # and a word that was never seen
+            assert abs(p + lm.SMOOTH / 10.0 ** scorer.log_z2[c1, c] - 1) < 1e-4
+
+
+def test_language_model_scores_as_a_plain_pass_does(spark, odd_docs, odd_rows, monkeypatch):
+    monkeypatch.setattr(lm, "DICTIONARY", 1500)  # some words are beyond it
+    r = random.Random(12)
+    odd_rows = [*odd_rows, *[(2000 + i, " ".join(f"v{int(r.paretovariate(0.4)) % 9000}" for _ in range(200)), "en", "a") for i in range(100)]]
+    odd_docs = odd_docs.select("doc_id", "text").unionByName(spark.createDataFrame([x[:2] for x in odd_rows if (x[0] or 0) >= 2000], "doc_id long, text string"))
+    scorer, words = lm.fit(odd_docs, lm.F.col("doc_id") % 10 == 3)
+    assert 767 < len(scorer.words) < words.count()
+    counts = {bytes(x.word): x.n for x in words.collect()}
+    place = {w: i for i, w in enumerate(scorer.words)}
+    kind = lambda w: scorer.first.index(w) if w in scorer.first else lm.group(w)
+    wanted = []
+    for d, t, *_ in odd_rows:
+        before, s = [0, 0], 0.0
+        for w in [*(t or "").encode().lower().split(), b""]:
+            c, (c2, c1) = kind(w), before
+            z = np.exp(scorer.left[c1].astype(float) + scorer.right[c2])
+            s += math.log10(z[c] / z.sum())
+            if c >= lm.FREQUENT:
+                turn = float(scorer.r2[c1] @ scorer.q2[place[w]]) if w in place else 0.0
+                s += math.log10(counts.get(w, 0) + lm.SMOOTH) + turn / math.log(10) - scorer.log_z2[c1, c]
+            before = [c1, c]
+        wanted.append((key(d), s))
+    got = sorted((key(r.doc_id), r.score) for r in lm.score(odd_docs, scorer, words, ["doc_id"]).collect())
+    for (a, x), (b, y) in zip(sorted(wanted), got, strict=True):
+        assert a == b
+        assert abs(x - y) < 1e-3 + 1e-5 * abs(x)
+
+
+def test_words_of_a_group_follow_their_context(spark):
+    """Two words of one group, told apart by the word before them: the second level learns which comes."""
+    r = random.Random(5)
+    rare = [f"w{i}zz" for i in range(2000)]
+    half = lambda i: rare[:1000] if i else rare[1000:]
+    rows = []
+    for d in range(300):
+        sides = [r.randrange(2) for _ in range(150)]
+        rows.append((d, " ".join(f"{'left' if i else 'right'} {r.choice(half(i))}" for i in sides)))
+    df = spark.createDataFrame([*rows, (900, "left w5zz left w6zz"), (901, "right w5zz right w6zz")], "doc_id long, text string").coalesce(1)
+    patched = [f"own{i}" for i in range(lm.FREQUENT)]  # the frequent are other words
+    df = df.unionByName(spark.createDataFrame([(1000 + i, " ".join(patched)) for i in range(60)], "doc_id long, text string")).coalesce(1)
+    out = {x.doc_id: x.score for x in lm.report(df).collect()}
+    assert out[900] > out[901] + 0.3
 
 
 def test_language_model_learns_order(spark):
