@@ -429,7 +429,8 @@ def score(docs: DataFrame, scorer: Scorer, words: DataFrame, kept: list[str]) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         _, _, logs = own.prepare()
-        for b in batches:
+        for b in common.tables(batches, CHUNK):
+            b = b.combine_chunks().to_batches()[0]
             t = own.tokens(b.column("text"))
             texts = b.num_rows
             place, of = t.place[t.code], t.kind[t.code]
