@@ -171,7 +171,7 @@ def fit(docs: DataFrame, held_out: Column, sample: int = SAMPLE, seed: int = 7)
     if len(languages) > sample:
         raise ValueError(f"more than {sample} languages in the training rows")
     each = max(1, sample // len(languages))
-    limits = {k: min(1.0, (1.2 * each + 10 * each**0.5 + 10) / n) for k, n in sizes.items()}
+    limits = {k: min(1.0, (1.08 * each + 5 * each**0.5 + 10) / n) for k, n in sizes.items()}
     most = F.create_map(*[x for k, v in limits.items() for x in (F.lit(k), F.lit(min((1 << 63) - 1, int((v - 0.5) * 2.0**64))))])
     taken = hashed.filter(F.col("_hash") <= F.element_at(most, F.col("lang"))).dropDuplicates(["lang", "_hash"])
 
