@@ -6,9 +6,12 @@ kind orders changes of the same second (ratings before tags), place breaks ties.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from reelgrid.functions import maths, text
 
@@ -20,7 +23,9 @@ TAG_EVENT = 0.3
 VETO = -10.0
 
 #: Dimension to the column of a movie that has its keys, a list or a single value.
-LISTS = {"genre": "genres", "tone": "tone", "tag": "top_tags", "country": "production_countries", "actor": "actors", "director": "directors"}
+LISTS = {"genre": "genres", "tone": "tone", "theme": "themes", "tag": "top_tags", "country": "production_countries", "actor": "actors", "director": "directors"}
+#: Dimensions that can break a deal but are no taste.
+CONTENT_ONLY = ("theme",)
 SINGLE = {"pacing": "pacing", "language": "original_language", "content_rating": "content_rating"}
 
 
@@ -29,7 +34,7 @@ def labelled(keys: Column, dimension: str) -> Column:
 
 
 def movie_terms(movies: DataFrame) -> DataFrame:
-    """movie_id, dimension and key of all that a profile can like about a movie; a key that a movie lists twice counts twice."""
+    """movie_id, dimension and key of all that a profile can like or refuse about a movie; a key that a movie lists twice counts twice."""
     parts = []
     for dimension, column in LISTS.items():
         if column in movies.columns:
@@ -48,7 +53,8 @@ def rating_events(ratings: DataFrame, terms: DataFrame) -> DataFrame:
     """Affinity changes of ratings (user_id, movie_id, rating, rated_at; confidence if there is such a column)."""
     sure = F.col("confidence") if "confidence" in ratings.columns else F.lit(1.0)
     r = ratings.select("user_id", "movie_id", F.col("rated_at").alias("ts"), ((F.col("rating") - 3.0) / 2.0 * sure).alias("weight"))
-    return r.join(terms, "movie_id").select("user_id", "ts", F.lit(0).alias("kind"), F.col("movie_id").cast("string").alias("place"), "dimension", "key", "weight")
+    liked = terms.filter(~F.col("dimension").isin(*CONTENT_ONLY))
+    return r.join(liked, "movie_id").select("user_id", "ts", F.lit(0).alias("kind"), F.col("movie_id").cast("string").alias("place"), "dimension", "key", "weight")
 
 
 def tag_events(tags: DataFrame) -> DataFrame:
@@ -91,9 +97,31 @@ def affinities(events: DataFrame) -> DataFrame:
 
 
 def running_affinities(events: DataFrame) -> DataFrame:
-    """events with the affinity after each of them."""
-    so_far = W.partitionBy("user_id", "dimension", "key").orderBy("ts", "kind", "place", "weight").rowsBetween(W.unboundedPreceding, W.currentRow)
-    return events.withColumn("affinity", F.round(folded(F.collect_list(F.struct("ts", "kind", "place", "weight")).over(so_far)), 6))
+    """events with the affinity after each of them.
+
+    Events of a user and key come one after the other, so a task holds one state and a
+    batch of rows, whatever the length of a history.
+    """
+    key = ["user_id", "dimension", "key"]
+    limit = maths.AFFINITY_LIMIT
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        held, state = None, 0.0
+        for b in batches:
+            out = []
+            for own, weight in zip(zip(*(b.column(c).to_pylist() for c in key), strict=True), b.column("weight").to_pylist(), strict=True):
+                if own != held:
+                    held, state = own, 0.0
+                if weight is not None:
+                    state = min(limit, max(-limit, state + weight))
+                out.append(state)
+            yield b.append_column("_state", pa.array(out, pa.float64()))
+
+    dealt = events.repartition(*key).sortWithinPartitions(*key, "ts", "kind", "place", "weight")
+    schema = T.StructType([*dealt.schema.fields, T.StructField("_state", T.DoubleType())])
+    return dealt.mapInArrow(run, schema).withColumn("affinity", F.round("_state", 6)).drop("_state")
 
 
 def rating_sets(ratings: DataFrame) -> DataFrame:

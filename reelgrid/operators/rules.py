@@ -12,8 +12,8 @@ def likes(ratings: DataFrame, item: str, least: float = 4.0) -> DataFrame:
     return ratings.filter(F.col("rating") >= least).groupBy("user_id", F.col(item).alias("item")).agg(F.max("rating").alias("rating"))
 
 
-def association_rules(liked: DataFrame, per_user: int = 50, min_support: int = 200, min_lift: float = 1.0, per_item: int = 15) -> DataFrame:
-    """item_a, item_b, support (users of both), confidence and lift of the best rules of each item.
+def association_rules(liked: DataFrame, per_user: int = 50, min_support: int = 200, min_lift: float = 1.0, per_item: int = 15, only: DataFrame | None = None) -> DataFrame:
+    """item_a, item_b, support (users of both), confidence and lift of the best rules of each item, or of those in only (item).
 
     Before items are paired, each user has at most per_user of them and each item at least
     min_support users, so that a user makes at most per_user squared pairs and the pairs
@@ -24,7 +24,8 @@ def association_rules(liked: DataFrame, per_user: int = 50, min_support: int = 2
     capped = liked.withColumn("_n", F.row_number().over(mine)).filter(F.col("_n") <= per_user).select("user_id", "item")
     frequent = capped.groupBy("item").agg(F.countDistinct("user_id").alias("n")).filter(F.col("n") >= min_support)
     kept = capped.join(frequent.select("item"), "item", "left_semi")
-    both = kept.alias("a").join(kept.alias("b"), "user_id").filter("a.item <> b.item")
+    left = kept if only is None else kept.join(only.select("item").distinct(), "item", "left_semi")
+    both = left.alias("a").join(kept.alias("b"), "user_id").filter("a.item <> b.item")
     pairs = both.groupBy(F.col("a.item").alias("item_a"), F.col("b.item").alias("item_b")).agg(F.count(F.lit(1)).alias("support")).filter(F.col("support") >= min_support)
     counted = pairs.join(frequent.withColumnsRenamed({"item": "item_a", "n": "_na"}), "item_a").join(frequent.withColumnsRenamed({"item": "item_b", "n": "_nb"}), "item_b")
     scored = counted.crossJoin(F.broadcast(users)).select(  # one row

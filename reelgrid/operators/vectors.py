@@ -40,7 +40,11 @@ def tag_query(queries: DataFrame, tags: DataFrame) -> DataFrame:
     """
     q = queries.select("query_id", F.lower(F.trim("text")).alias("_q"))
     t = tags.select("tag_id", F.lower("tag").alias("_t"))
-    both = q.crossJoin(t)  # the stated queries against the vocabulary, some thousand tags
+    # whatever weighs something shares a word of letters and digits, or else (a tag without any) is looked for as it is
+    word = lambda c: F.explode(F.array_distinct(text.tokens(F.col(c))))
+    met = q.withColumn("_w", word("_q")).join(t.withColumn("_w", word("_t")), "_w").select("query_id", "_q", "tag_id", "_t").distinct()
+    odd = t.filter(F.size(text.tokens(F.col("_t"))) == 0)
+    both = met.unionByName(q.join(odd, F.col("_q").contains(F.col("_t"))))
     shared = F.size(F.array_intersect(text.tokens(F.col("_q")), text.tokens(F.col("_t"))))
     found = text.has_word(F.col("_q"), F.col("_t"))
     weight = F.when(F.col("_q") == F.col("_t"), 3.0).otherwise(0.0) + F.when(found, 2.0).otherwise(0.5 * shared)

@@ -9,6 +9,7 @@ from reelgrid.functions.ordering import latest
 from reelgrid.functions.text import unix_seconds
 from reelgrid.operators import profile
 from reelgrid.operators import ratings as R
+from reelgrid.sources.shared import once
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,7 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """user_id, movie_id, rating, rated_at: of the lines in which a customer took a part, the last."""
+    """user_id, movie_id, rating, rated_at: of the lines in which a customer took a part, the last. Written once, because a query reads them several times."""
+    return once(spark, "ratings", [f"{sf_dir}/{name}.parquet" for name in ("orders", "lineitem")], lambda: last_ratings(spark, sf_dir))
+
+
+def last_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     rows = table(spark, sf_dir, "lineitem").join(o, F.col("l_orderkey") == F.col("o_orderkey"))
     rows = rows.select(
@@ -24,8 +29,7 @@ def ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
         unix_seconds(F.col("l_shipdate")).alias("rated_at"), "l_shipdate", "l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice",
     )
     last = latest(rows, ["user_id", "movie_id"], [F.col(c) for c in ("l_shipdate", "l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice")])
-    # a query reads them several times: for statistics, events, users and what they have seen
-    return last.select("user_id", "movie_id", "rating", "rated_at").cache()
+    return last.select("user_id", "movie_id", "rating", "rated_at")
 
 
 def movies(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -148,9 +148,9 @@ def rules_support(spark: SparkSession, d: str) -> DataFrame:
     SELECT m.movie_id, m.title, r.support, r.confidence, r.lift FROM rules r JOIN source s ON r.item_a = s.movie_id JOIN movies m ON m.movie_id = r.item_b
     WHERE m.genre = s.genre AND (s.genre = 'PROMO' OR m.genre <> 'PROMO') ORDER BY lift DESC, confidence DESC, m.movie_id LIMIT 10""")
 def similar_items(spark: SparkSession, d: str) -> DataFrame:
-    found = rules.association_rules(rules.likes(ratings(spark, d), "movie_id"), min_support=2)
     m = movies(spark, d)
     source = R.best_title(m, stats(spark, d), "blue bolt")
+    found = rules.association_rules(rules.likes(ratings(spark, d), "movie_id"), min_support=2, only=source.select(F.col("movie_id").alias("item")))
     return rules.associated(source, found, m, 10, comedy="PROMO").select("movie_id", "title", "support", "confidence", "lift")
 
 
@@ -294,10 +294,8 @@ def doc_freq(spark: SparkSession, d: str) -> DataFrame:
     scores AS (SELECT query_id, doc_id, round(sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * doc_len / avgdl))), 6) AS score FROM idx JOIN wanted USING (term) JOIN idf USING (term), facts GROUP BY 1, 2)
     SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS lane_rank FROM scores WHERE score > 0) WHERE lane_rank <= 100""")
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    docs = corpus(spark, d)
-    index, facts = lexical.postings(docs), lexical.corpus_facts(docs)
     asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return lexical.bm25(asked, index, facts, lexical.inverse_frequencies(lexical.document_frequencies(index), facts))
+    return lexical.bm25(asked, *lexical.index(corpus(spark, d)))
 
 
 @query("""SELECT vec_id AS movie_id, len(embedding) AS size, round(list_sum(list_transform(embedding, lambda x: CASE WHEN x > 0 THEN CAST(x AS DOUBLE) ELSE 0 END)), 4) AS total,
@@ -367,10 +365,9 @@ for _name in ("genre", "director", "tag", "era"):
 
 
 @query(tables("ratings", "movies", "terms", "events") + f""" SELECT user_id, ts, place, dimension, key, {FOLD.replace('list(CAST(weight AS DOUBLE) ORDER BY ts, place, weight)', 'list(CAST(weight AS DOUBLE)) OVER w')} AS affinity
-    FROM ev WHERE dimension = 'genre' WINDOW w AS (PARTITION BY user_id, dimension, key ORDER BY ts, place, weight ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
+    FROM ev WINDOW w AS (PARTITION BY user_id, dimension, key ORDER BY ts, place, weight ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
 def running_profile(spark: SparkSession, d: str) -> DataFrame:
-    some = events(spark, d).filter("dimension = 'genre'")
-    return profile.running_affinities(some).select("user_id", "ts", "place", "dimension", "key", "affinity")
+    return profile.running_affinities(events(spark, d)).select("user_id", "ts", "place", "dimension", "key", "affinity")
 
 
 @query(tables("ratings") + """ SELECT user_id, len(list_distinct(list(movie_id))) AS n_watched, list_sort(list_distinct(list(movie_id) FILTER (rating >= 4)))[1] AS first_liked, count(DISTINCT movie_id) FILTER (rating >= 4) AS n_liked,
@@ -402,30 +399,34 @@ def point_in_time_profile(spark: SparkSession, d: str) -> DataFrame:
     return profile.affinities(profile.until(events(spark, d), cutoffs))
 
 
-T["pool"] = f"pool AS (SELECT movie_id FROM stats WHERE num_ratings >= {LEAST} ORDER BY popularity_rank, movie_id LIMIT 20)"
-T["pairs"] = "pairs AS (SELECT user_id, movie_id FROM (SELECT DISTINCT user_id FROM ratings), pool)"
+TEXTS = ["dark monster classic red ring", "a quiet blue bolt", "serious obscure old gear", "alien story hot widget"]
+# what a user asks for, and the hundred best titles of the lexical lane for that
+T["lane"] = f"""title_words AS (SELECT movie_id, {TOKENS.format("title")} AS w FROM movies), title_idx AS (SELECT movie_id, term, count(*) AS tf, any_value(n) AS len FROM (SELECT movie_id, len(w) AS n, unnest(w) AS term FROM title_words) GROUP BY 1, 2),
+    title_facts AS (SELECT CAST(count(*) AS DOUBLE) AS n, avg(len(w)) AS avgdl FROM title_words), title_raw AS (SELECT term, ln(any_value(n) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM title_idx, title_facts GROUP BY 1),
+    title_idf AS (SELECT term, CASE WHEN raw < 0 THEN (SELECT avg(raw) * 0.25 FROM title_raw) ELSE raw END AS idf FROM title_raw),
+    asked AS (SELECT q, unnest(string_split({TEXTS!r}[q + 1], ' ')) AS term FROM range(4) r(q)),
+    title_scores AS (SELECT q, movie_id, round(sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / avgdl))), 6) AS score FROM title_idx JOIN asked USING (term) JOIN title_idf USING (term), title_facts GROUP BY 1, 2),
+    lane AS (SELECT q, movie_id FROM title_scores WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY q ORDER BY score DESC, movie_id) <= 100)"""
+T["pairs"] = "pairs AS (SELECT user_id, movie_id FROM (SELECT DISTINCT user_id FROM ratings) JOIN lane ON q = user_id % 4)"
 WEIGHTED = "affinity * CASE dimension WHEN 'genre' THEN 0.6::DOUBLE WHEN 'director' THEN CASE WHEN confidence < 3 THEN 0.4::DOUBLE ELSE 0.8::DOUBLE END WHEN 'tag' THEN 0.9::DOUBLE ELSE 0.3::DOUBLE END"
 T["boosts"] = f"""boosts AS (SELECT p.user_id, p.movie_id, CASE WHEN r.user_id IS NOT NULL THEN -10.0 ELSE round(coalesce(b.s, 0), 6) END AS profile_boost, r.user_id IS NOT NULL AS is_watched FROM pairs p
     LEFT JOIN (SELECT user_id, movie_id, sum({WEIGHTED}) AS s FROM pairs JOIN terms USING (movie_id) JOIN affinity USING (user_id, dimension, key) GROUP BY 1, 2) b USING (user_id, movie_id)
     LEFT JOIN ratings r ON r.user_id = p.user_id AND r.movie_id = p.movie_id)"""
-BOOSTED = ("ratings", "movies", "stats0", "stats", "terms", "events", "affinity", "pool", "pairs", "boosts")
+BOOSTED = ("ratings", "movies", "stats0", "stats", "terms", "events", "affinity", "lane", "pairs", "boosts")
 
 
 def candidate_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Each user with the 20 most popular movies: a stated list of candidates."""
-    pool = R.top_overall(movies(spark, d), stats(spark, d), 20, "popularity", LEAST).select("movie_id")
-    return ratings(spark, d).select("user_id").distinct().crossJoin(F.broadcast(pool))
+    """Each user with the lexical lane of what they ask for: one of four texts."""
+    docs = movies(spark, d).select(F.col("movie_id").alias("doc_id"), F.col("title").alias("text"))
+    asked = spark.createDataFrame(list(enumerate(TEXTS)), "query_id long, text string")
+    lane = lexical.bm25(asked, *lexical.index(docs)).select(F.col("query_id").alias("_q"), F.col("doc_id").alias("movie_id"))
+    users = ratings(spark, d).select("user_id").distinct().withColumn("_q", F.pmod("user_id", F.lit(len(TEXTS))).cast("long"))
+    return users.join(F.broadcast(lane), "_q").select("user_id", "movie_id")  # a hundred rows for each text
 
 
-def whole_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Each user with every movie that shares a term with their affinities or that they have rated."""
-    terms = profile.movie_terms(movies(spark, d)).join(affinity(spark, d).select("user_id", "dimension", "key"), ["dimension", "key"])
-    return terms.select("user_id", "movie_id").unionByName(ratings(spark, d).select("user_id", "movie_id")).distinct()
-
-
-def boosted(spark: SparkSession, d: str, pairs: Query = candidate_pairs) -> DataFrame:
+def boosted(spark: SparkSession, d: str) -> DataFrame:
     seen = ratings(spark, d).select("user_id", "movie_id")
-    return profile.profile_boost(pairs(spark, d), profile.movie_terms(movies(spark, d)), affinity(spark, d), seen)
+    return profile.profile_boost(candidate_pairs(spark, d), profile.movie_terms(movies(spark, d)), affinity(spark, d), seen)
 
 
 @query(tables(*BOOSTED) + " SELECT user_id, movie_id, profile_boost FROM boosts")
@@ -433,21 +434,11 @@ def profile_boost(spark: SparkSession, d: str) -> DataFrame:
     return boosted(spark, d).select("user_id", "movie_id", "profile_boost")
 
 
-@query()
-def profile_boost_whole(spark: SparkSession, d: str) -> DataFrame:
-    return boosted(spark, d, whole_pairs).select("user_id", "movie_id", "profile_boost")
-
-
-@query(tables(*MOVIES_RATED, "pool", "pairs") + """ SELECT user_id, movie_id FROM pairs JOIN movies USING (movie_id) WHERE list_contains(string_split(title, ' '), list_extract(['ring', 'bolt', 'red', 'blue'], 1 + CAST(user_id % 4 AS INTEGER)))""")
+@query(tables(*MOVIES_RATED, "lane", "pairs") + """ SELECT user_id, movie_id FROM pairs JOIN movies USING (movie_id) WHERE list_contains(string_split(title, ' '), list_extract(['ring', 'bolt', 'red', 'blue'], 1 + CAST(user_id % 4 AS INTEGER)))""")
 def dealbreaker_filter(spark: SparkSession, d: str) -> DataFrame:
     return dealbroken(spark, d, candidate_pairs(spark, d))
 
 
-@query()
-def dealbreaker_filter_whole(spark: SparkSession, d: str) -> DataFrame:
-    return dealbroken(spark, d, whole_pairs(spark, d))
-
-
 def dealbroken(spark: SparkSession, d: str, pairs: DataFrame) -> DataFrame:
     bad = pairs.select("user_id", F.get(F.array(*map(F.lit, ("ring", "bolt", "red", "blue"))), (F.col("user_id") % 4).cast("int")).alias("dealbreaker")).distinct()
     return profile.dealbroken(pairs, profile.movie_terms(movies(spark, d)), bad)
@@ -477,11 +468,6 @@ def fast_path_score(spark: SparkSession, d: str) -> DataFrame:
     return fast_path(boosted(spark, d))
 
 
-@query()
-def fast_path_score_whole(spark: SparkSession, d: str) -> DataFrame:
-    return fast_path(boosted(spark, d, whole_pairs))
-
-
 def fast_path(candidates: DataFrame) -> DataFrame:
     place = F.row_number().over(W.partitionBy("user_id").orderBy("movie_id"))
     none = F.lit(None).cast("double")
@@ -489,7 +475,6 @@ def fast_path(candidates: DataFrame) -> DataFrame:
     return scoring.fast_path(rows).select("user_id", "movie_id", "final_score")
 
 
-TEXTS = ["dark monster classic", "a quiet red ring", "serious obscure blue bolt", "alien story"]
 D = "::DOUBLE"
 T["fused"] = f"""inputs AS (SELECT user_id, movie_id, list_extract({TEXTS!r}, 1 + CAST(user_id % 4 AS INTEGER)) AS q, CAST(movie_id % 7 AS DOUBLE) / 2 - 1 AS rr, profile_boost, is_watched, avg_rating AS r, CAST(num_ratings AS DOUBLE) AS n, year, genre
         FROM boosts JOIN movies USING (movie_id) JOIN stats USING (movie_id)),
@@ -501,8 +486,8 @@ T["fused"] = f"""inputs AS (SELECT user_id, movie_id, list_extract({TEXTS!r}, 1
     fused AS (SELECT user_id, movie_id, round(nr, 6) AS norm_rerank_score, CASE WHEN is_watched THEN -10.0 ELSE round(s2 * CASE WHEN contains(q, 'classic') THEN 1 WHEN bayes >= 4.2 THEN greatest(rec, 0.92{D}) ELSE rec END, 6) END AS final_score FROM f)"""
 
 
-def fused(spark: SparkSession, d: str, pairs: Query = candidate_pairs) -> DataFrame:
-    rows = boosted(spark, d, pairs).join(movies(spark, d), "movie_id").join(stats(spark, d), "movie_id")
+def fused(spark: SparkSession, d: str) -> DataFrame:
+    rows = boosted(spark, d).join(movies(spark, d), "movie_id").join(stats(spark, d), "movie_id")
     said = F.get(F.array(*map(F.lit, TEXTS)), (F.col("user_id") % 4).cast("int"))
     # genres as the rules know them: PROMO stands for comedy, ECONOMY for horror
     named = F.transform("genres", lambda g: F.when(g == "PROMO", "Comedy").when(g == "ECONOMY", "Horror").otherwise(g))
@@ -515,11 +500,6 @@ def fusion_score(spark: SparkSession, d: str) -> DataFrame:
     return fused(spark, d).select("user_id", "movie_id", "norm_rerank_score", "final_score")
 
 
-@query()
-def fusion_score_whole(spark: SparkSession, d: str) -> DataFrame:
-    return fused(spark, d, whole_pairs).select("user_id", "movie_id", "norm_rerank_score", "final_score")
-
-
 @query(tables(*MOVIES_RATED) + f""" SELECT movie_id, round((num_ratings * avg_rating + 320.0{D}) / (num_ratings + 100.0{D}), 8) AS bayes,
     round(CASE WHEN avg_rating >= 3.5 THEN 1 WHEN avg_rating >= 2 THEN 0.75{D} + 0.25{D} * ((avg_rating - 2) / 1.5{D}) ELSE 0.20{D} + 0.55{D} * pow(greatest(0.0{D}, (avg_rating - 0.5{D}) / 1.5{D}), 1.5) END, 8) AS weight,
     round(0.75{D} + 0.25{D} / (1 + pow(greatest(0, 2019 - year) / 25.0{D}, 1.5)), 8) AS recency FROM movies JOIN stats USING (movie_id)""")
@@ -536,11 +516,6 @@ def mmr_diversify(spark: SparkSession, d: str) -> DataFrame:
     return diversity.diversified(rows, 10)
 
 
-@query()
-def mmr_diversify_whole(spark: SparkSession, d: str) -> DataFrame:
-    return diversity.diversified(fused(spark, d, whole_pairs).withColumnRenamed("user_id", "query_id"), 10)
-
-
 # Reviews
 
 
@@ -689,9 +664,7 @@ def recommend_semantic(spark: SparkSession, d: str) -> DataFrame:
     """A query in words for one user over the whole catalogue."""
     m, s = movies(spark, d), stats(spark, d)
     docs = m.select(F.col("movie_id").alias("doc_id"), F.concat_ws(" ", "title", F.element_at("genres", 1), F.element_at("directors", 1)).alias("text"))
-    index, facts = lexical.postings(docs), lexical.corpus_facts(docs)
-    idf = lexical.inverse_frequencies(lexical.document_frequencies(index), facts)
-    c = recommend.Catalogue(m, s, index, facts, idf)
+    c = recommend.Catalogue(m, s, *lexical.index(docs))
     r = ratings(spark, d)
     person = recommend.Person(affinity(spark, d).withColumn("user_id", F.col("user_id").cast("string")), r.select(F.col("user_id").cast("string").alias("user_id"), "movie_id"))
     rules_of = understanding.Understanding(understanding.titles_of(m, s))

@@ -112,7 +112,7 @@ def direct(rows: DataFrame, user: str, person: Person, top: int) -> DataFrame:
 
 def search(query: str, c: Catalogue, user: str, person: Person, understanding: Understanding, top: int = 10, **limits) -> DataFrame:
     """Recommendations for a query: from a direct list if its wording asks for one, else through the semantic pipeline."""
-    for r in route(query):
+    for r in route(c.movies.sparkSession, query):
         rows = answer(r, c.movies, c.stats, c.rules, **limits)
         if rows is not None:
             return direct(rows, user, person, top)

@@ -33,18 +33,22 @@ def rows(df, *columns):
         ("a film about trains", []),
     ],
 )
-def test_routes(query, kinds):
-    assert [r.kind for r in router.route(query)] == kinds
+def test_routes(spark, query, kinds):
+    assert [r.kind for r in router.route(spark, query)] == kinds
 
 
-def test_a_rated_word_is_taken_for_a_genre():
-    r = router.route("top 10 rated movies")[0]
+def test_a_rated_word_is_taken_for_a_genre(spark):
+    r = router.route(spark, "top 10 rated movies")[0]
     assert (r.kind, r.genre, r.limit) == ("top_by_genre", "rated", 10)
 
 
-def test_associated_needs_an_unmodified_title():
-    assert router.route("similar to alien with less gore")[0].title == "alien with less gore"
-    assert router.route("movies like heat, but funny") == []
+def test_associated_needs_an_unmodified_title(spark):
+    assert router.route(spark, "similar to alien with less gore")[0].title == "alien with less gore"
+    assert router.route(spark, "movies like heat, but funny") == []
+    assert [(r.limit, r.genre, r.by) for r in router.route(spark, "trending horror movies")] == [(10, "horror", "popularity")]
+    assert [(r.kind, r.limit) for r in router.route(spark, "top all movies")] == [("top_overall", 10)]
+    assert router.route(spark, "find me movies like Heat")[0].title == "heat"
+    assert router.route(spark, "sad movies like heat") == []
 
 
 # understanding
@@ -68,21 +72,28 @@ def test_understanding(spark, titles):
     assert "demons" in u.parse("dark magic").expanded_query
 
 
-def test_understanding_of_batches_agrees(spark, titles):
-    queries = ["Movies like Alien but not slow", "obscure korean horror", "dark magic", "heat", "no ghosts, no war"]
-    df = spark.createDataFrame(list(enumerate(queries)), "query_id long, text string")
-    u = understanding.Understanding(titles)
-    for r in understanding.parse_many(df, titles).collect():
-        one = u.parse(r.text)
-        assert (r.genres, r.pace, r.negations, r.is_obscure, r.intent_type, r.matched_movie_id) == (one.genres, one.pace, one.negations, one.is_obscure, one.intent_type, one.matched_movie_id)
-        assert r.expanded_query == one.expanded_query
+def test_understanding_of_batches(spark, titles):
+    """The rules by hand, for a batch with titles that are named in part, tags of several words and cards."""
+    asked = ["if i liked the heat", "similar to lien", "movies like it", "neo-noir with neo noir", "no ghosts, no war", "dark magic heat", None]
+    df = spark.createDataFrame(list(enumerate(asked)), "query_id long, text string")
+    tags = spark.createDataFrame([("Neo-Noir",), ("noir with",), ("it",), ("noi",)], "tag string")
+    cards = spark.createDataFrame([(2, ["Crime"], ["a"] * 9)], "movie_id long, genres array<string>, top_tags array<string>")
+    got = {r.query_id: r for r in understanding.parse_many(df, titles, tags, cards).collect()}
+    assert len(got) == len(asked)
+    assert (got[0].matched_movie_id, got[0].detected_title, got[0].expanded_query) == (2, "The Heat", "if i liked the heat Crime" + " a" * 8)
+    assert (got[1].matched_movie_id, got[1].intent_type) == (3, "title_reference")
+    assert (got[2].matched_movie_id, got[2].intent_type, got[2].tags) == (None, "title_reference", [])
+    assert got[3].tags == ["Neo-Noir", "noir with"]
+    assert got[4].negations == ["ghosts", "war"]
+    assert (got[5].matched_movie_id, got[5].expanded_query) == (None, "dark magic heat demons supernatural occult dark fantasy magic exorcism hell supernatural fantasy wizards sorcery magic")
+    assert (got[6].intent_type, got[6].matched_movie_id) == ("general_search", None)
 
 
 # diversity
 
 
 def item(key, *genres):
-    return key, frozenset(genres)
+    return diversity.item(key, genres)
 
 
 def test_likeness():
