@@ -107,3 +107,8 @@ def packed_vector(vector: Column) -> Column:
     from pyspark.sql.functions import ArrowUDFType
 
     return F.arrow_udf(run, "binary", ArrowUDFType.SCALAR_ITER)(vector)
+
+
+def cache_key(address: Column) -> Column:
+    """The name under which what lies at an address is kept."""
+    return F.md5(address.cast("binary"))

@@ -162,8 +162,8 @@ def year_in(text: Column) -> Column:
 
 
 def review_text(summary: Column, body: Column) -> Column:
-    """Summary, blank line and body; null if both are empty."""
-    both = F.trim(F.concat_ws("\n\n", summary, body))
+    """Summary, blank line and body, without white space around them; null if nothing is left."""
+    both = F.regexp_replace(F.concat_ws("\n\n", summary, body), r"^\s+|\s+$", "")
     return F.when(both != "", both)
 
 
@@ -190,3 +190,8 @@ def unescape_html(text: Column) -> Column:
     # texts without an ampersand never leave the JVM
     found = F.arrow_udf(run, "string", ArrowUDFType.SCALAR_ITER)(F.when(text.contains("&"), text))
     return F.coalesce(found, text)
+
+
+def bar(share: Column, width: int) -> Column:
+    """A bar of blocks, as long as the share of width, rounded down."""
+    return F.repeat(F.lit("█"), F.floor(F.round(share * width, 9)).cast("int"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -103,3 +103,33 @@ def health(tables: dict[str, DataFrame | None]) -> DataFrame:
         row = spark.range(1).select(F.lit(name).alias("name"), F.lit(None).cast("long").alias("n_rows")) if t is None else t.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("name"), "n_rows")
         found = row if found is None else found.unionByName(row)
     return found
+
+
+# Labels of a card's lines, the column each shows, and how many entries at most.
+CARD_LISTS = [("Genres", "genres", None), ("Directors", "directors", None), ("Starring", "actors", 6)]
+CARD_MORE = [("Themes", "themes", None), ("Tone", "tone", None), ("Pacing", "pacing", None), ("Similar Titles", "comparable_films", 5)]
+
+
+def inspector(cards: DataFrame) -> Column:
+    """A card as lines of marked-up text; what the catalogue doesn't know is N/A, and later lines are left out."""
+    kinds = dict(cards.dtypes)
+
+    def shown(name: str, most: int | None) -> Column:
+        if name not in kinds:
+            return F.lit(None).cast("string")
+        x = F.col(name)
+        if kinds[name].startswith("array"):
+            x = F.array_join(F.slice(x, 1, most) if most else x, ", ")
+        return F.nullif(x.cast("string"), F.lit(""))
+
+    unknown = lambda name: F.coalesce(shown(name, None), F.lit("N/A"))
+    rated = F.coalesce(F.col("avg_rating"), F.lit(0.0)) > 0
+    stars = F.when(rated, F.concat(F.lit("★ "), F.format_string("%.2f", "avg_rating"))).otherwise("★ Unrated")
+    counted = F.when(F.coalesce("num_ratings", F.lit(0)) > 0, F.concat(F.lit("("), F.format_number("num_ratings", 0), F.lit(" ratings)"))).otherwise("")
+    tier = F.coalesce(shown("tier", None), F.lit("Tier C"))
+    title = F.coalesce(shown("title", None), F.lit("Unknown Title"))
+    head = [F.concat(F.lit("# "), title, F.lit(" ("), unknown("year"), F.lit(")")), F.concat(F.lit("**Rating**: "), stars, F.lit(" "), counted, F.lit(" | **Tier**: `"), tier, F.lit("`"))]
+    lists = [F.concat(F.lit(f"**{label}**: "), F.coalesce(shown(name, most), F.lit("N/A"))) for label, name, most in CARD_LISTS]
+    plot = F.concat(F.lit("### Plot Overview\n"), shown("overview", None), F.lit("\n"))
+    more = [F.concat(F.lit(f"**{label}**: "), shown(name, most)) for label, name, most in CARD_MORE]
+    return F.concat_ws("\n", *head, *lists, F.lit("---"), plot, *more)

@@ -128,4 +128,16 @@ def first_titles(movies: DataFrame, stats: DataFrame) -> DataFrame:
 
 def vocabulary(movies: DataFrame, column: str) -> DataFrame:
     """Distinct lower-case entries of a list column."""
-    return movies.select(F.lower(F.trim(F.explode(column))).alias("term")).filter("term <> ''").distinct()
+    return movies.select(F.explode(column).alias("term")).select(F.lower(F.trim("term")).alias("term")).filter("term <> ''").distinct()
+
+
+def enrichment_targets(movies: DataFrame, wanted: DataFrame, limit: int | None = None) -> DataFrame:
+    """Rows of movies that are in wanted (movie_id) and have an outside id to ask by, the first `limit` of them if there is one."""
+    found = movies.filter(F.col("tmdb_id").isNotNull()).join(wanted.select("movie_id").distinct(), "movie_id", "left_semi")
+    return found if limit is None else found.orderBy("movie_id").limit(limit)
+
+
+def attached(rows: DataFrame, links: DataFrame, key: str, column: str) -> DataFrame:
+    """rows with the column's value from links where they have none; the smallest of several."""
+    found = links.filter(F.col(column).isNotNull()).groupBy(key).agg(F.min(column).alias("_new"))
+    return rows.join(found, key, "left").withColumn(column, F.coalesce(column, "_new")).select(*rows.columns)

@@ -149,6 +149,11 @@ def franchise_tolerance(rated: DataFrame, start: float = 0.5, step: float = 0.03
     return rows.select("user_id", F.round(F.aggregate(F.sort_array("e"), F.lit(start), lambda a, x: maths.clamp(a + x["w"], 0.0, 1.0)), 6).alias("franchise_tolerance"))
 
 
+def clamped_weights(weights: dict[str, float]) -> dict[str, float]:
+    """Weights that a user has set, each inside 0 and 1."""
+    return {k: min(1.0, max(0.0, v)) for k, v in weights.items()}
+
+
 def weighted_terms(candidates: DataFrame, terms: DataFrame, affinity: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
     """user_id, movie_id, dimension and boost of each key of a candidate that the user has an affinity to: that times weight, halved for a key that is not sure yet."""
     w = WEIGHTS | (weights or {})

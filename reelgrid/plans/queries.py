@@ -510,7 +510,15 @@ def rating_and_recency(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("movie_id", F.round(damped, 8).alias("bayes"), F.round(weight, 8).alias("weight"), F.round(maths.recency(F.col("year"), F.lit(False), F.lit(0.0)), 8).alias("recency"))
 
 
-@query()
+T["listed"] = """listed AS (SELECT user_id, movie_id, final_score, director AS c, genre AS g, min(final_score) OVER u AS lo, max(final_score) OVER u AS hi FROM fused JOIN movies USING (movie_id) WINDOW u AS (PARTITION BY user_id)),
+    lists AS (SELECT user_id, list({'id': movie_id, 's': final_score, 'rel': CASE WHEN hi - lo < 1e-9 THEN 1.0::DOUBLE ELSE (final_score - lo) / (hi - lo) END, 'c': c, 'g': g, 'm': 0.0::DOUBLE} ORDER BY final_score DESC, movie_id) AS rem FROM listed GROUP BY 1),
+    steps AS (SELECT user_id, 0 AS k, rem, []::VARCHAR[] AS held, rem[1] AS p FROM lists UNION ALL
+        SELECT user_id, k + 1, list_transform(list_filter(rem, lambda x: x.id <> p.id), lambda x: {'id': x.id, 's': x.s, 'rel': x.rel, 'c': x.c, 'g': x.g, 'm': greatest(x.m, CASE WHEN x.c = p.c THEN 0.97::DOUBLE WHEN x.g = p.g THEN 0.3::DOUBLE ELSE 0.0::DOUBLE END)}), list_append(held, p.c), p
+        FROM (SELECT user_id, k, rem, held, CASE WHEN k = 0 OR len(open) = 0 THEN rem[1] ELSE list_filter(open, lambda x: 0.75::DOUBLE * x.rel - 0.25::DOUBLE * x.m = list_max(list_transform(open, lambda y: 0.75::DOUBLE * y.rel - 0.25::DOUBLE * y.m)))[1] END AS p
+            FROM (SELECT *, list_filter(rem, lambda x: len(list_filter(held, lambda h: h = x.c)) < 2) AS open FROM steps WHERE k < 10 AND len(rem) > 0)))"""
+
+
+@query(tables(*BOOSTED, "fused", "listed").replace("WITH ", "WITH RECURSIVE ", 1) + " SELECT user_id AS query_id, p.id AS movie_id, p.s AS final_score, k AS final_rank FROM steps WHERE k > 0")
 def mmr_diversify(spark: SparkSession, d: str) -> DataFrame:
     rows = fused(spark, d).withColumnRenamed("user_id", "query_id")
     return diversity.diversified(rows, 10)

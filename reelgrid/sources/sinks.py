@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
+import hashlib
+import time
 import uuid
+from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reelgrid.functions import documents
 from reelgrid.functions.ordering import latest
 
+from .shared import exists, remove, written
+
+# Fixed value: what a preset uses where it says nothing readable.
+PRESET_SETTINGS = '{"watch_history": true, "ratings": true, "reviews": true}'
+
 
 def append(df: DataFrame, path: str, by: list[str] | None = None) -> None:
     writer = df.write.mode("append")
@@ -56,32 +65,65 @@ def table_statistics(spark: SparkSession, name: str) -> None:
 
 
 class ProfileStore:
-    """Profile documents as an append-only log of versions; the current one is the latest row of a user."""
+    """Profile documents as an append-only log of versions; the current one is the latest row of a user.
+
+    Each save is a folder with a number of its own. A saver writes its rows beside the log,
+    claims the next number by creating a file that must not exist yet, and only then moves
+    its rows in; who finds the number taken compares again with what is current by then. A
+    number whose saver was lost stays empty and holds others up for WAIT seconds.
+    """
+
+    SCHEMA = "user_id string, profile_json string, version long, updated_at timestamp"
+    WAIT = 30
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path
 
+    def _fs(self, path: str):
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
+
+    def _claimed(self) -> int:
+        """The last number that a saver has taken; its rows are there, or its saver is taken for lost."""
+        fs, p = self._fs(f"{self.path}/claims")
+        last = max((int(x.getPath().getName()) for x in fs.listStatus(p)), default=0) if fs.exists(p) else 0
+        fs, rows = self._fs(f"{self.path}/log/save={last}")
+        ends = time.monotonic() + self.WAIT
+        while last and not fs.exists(rows) and time.monotonic() < ends:
+            time.sleep(0.05)
+        return last
+
     def log(self) -> DataFrame:
-        return self.spark.read.schema("user_id string, profile_json string, version long, updated_at timestamp").parquet(self.path)
+        fs, p = self._fs(f"{self.path}/log")
+        if not fs.exists(p):
+            return self.spark.createDataFrame([], self.SCHEMA)
+        return self.spark.read.schema(f"{self.SCHEMA}, save int").parquet(f"{self.path}/log").drop("save")
 
     def current(self) -> DataFrame:
         return latest(self.log(), ["user_id"], [F.col("version"), F.col("updated_at")])
 
-    def save(self, profiles: DataFrame, based_on: DataFrame | None) -> DataFrame:
-        """Append profiles (user_id, profile_json, version as read) whose version is still current; return those that were refused.
-
-        based_on: the current rows, or None where there is no log yet.
-        """
-        if based_on is None:
-            accepted, refused = profiles, profiles.limit(0)
-        else:
-            now = based_on.select("user_id", F.col("version").alias("_now"))
-            compared = profiles.join(now, "user_id", "left")
-            fresh = F.col("_now").isNull() | F.col("_now").eqNullSafe(F.col("version"))
-            accepted, refused = compared.filter(fresh).drop("_now"), compared.filter(~fresh).drop("_now")
-        rows = accepted.select("user_id", "profile_json", (F.coalesce("version", F.lit(0)) + 1).alias("version"), F.current_timestamp().alias("updated_at"))
-        append(rows, self.path)
-        return refused
+    def save(self, profiles: DataFrame) -> DataFrame:
+        """Append profiles (user_id, profile_json, version as read, null if new) whose version is still current; return those that were refused."""
+        while True:
+            taken = self._claimed()
+            now = self.current().select("user_id", F.col("version").alias("_now"))
+            compared = written(profiles.join(now, "user_id", "left").withColumn("_fresh", F.col("_now").isNull() | F.col("_now").eqNullSafe(F.col("version"))).drop("_now"), "compared")
+            accepted, refused = (compared.filter(F.col("_fresh") == x).drop("_fresh") for x in (True, False))
+            rows = accepted.select("user_id", "profile_json", (F.coalesce("version", F.lit(0)) + 1).alias("version"), F.current_timestamp().alias("updated_at"))
+            staged = f"{self.path}/staged/{uuid.uuid4().hex}"
+            rows.write.parquet(staged)
+            fs, claim = self._fs(f"{self.path}/claims/{taken + 1}")
+            try:
+                fs.create(claim, False).close()
+            except Py4JJavaError:  # another saver was first
+                remove(self.spark, staged)
+                continue
+            _, source = self._fs(staged)
+            _, target = self._fs(f"{self.path}/log/save={taken + 1}")
+            fs.mkdirs(target.getParent())
+            if not fs.rename(source, target):
+                raise OSError(f"{staged} can't be moved to {target}")
+            return refused
 
     def readable(self) -> tuple[DataFrame, DataFrame]:
         """Current profiles parsed, and the rows to set aside because they are no documents."""
@@ -114,11 +156,50 @@ def merged_profile(fresh, local) -> dict:
     return out
 
 
-def activated(presets: DataFrame, user: str, name: str | None) -> DataFrame:
-    """Presets with exactly the named one of a user active (none if name is None)."""
-    own = F.col("user_id") == user
-    return presets.withColumn("is_active", F.when(own, F.col("name").eqNullSafe(F.lit(name)) & F.lit(name is not None)).otherwise(F.col("is_active")))
+def activated_presets(presets: DataFrame, chosen: DataFrame) -> DataFrame:
+    """presets with exactly the chosen one (user_id, name) of those users active; none where name is null."""
+    rows = presets.join(chosen.select("user_id", F.col("name").alias("_name"), F.lit(True).alias("_asked")), "user_id", "left")
+    active = F.when(F.col("_asked"), F.coalesce(F.col("name") == F.col("_name"), F.lit(False))).otherwise(F.col("is_active"))
+    return rows.withColumn("is_active", active).select(*presets.columns)
+
+
+def updated_presets(presets: DataFrame, changes: DataFrame) -> DataFrame:
+    """presets with the slider and settings of changes (user_id, name, lambda_val, settings)."""
+    new = changes.select("user_id", "name", F.col("lambda_val").alias("_l"), F.col("settings").alias("_s"), F.lit(True).alias("_new"))
+    rows = presets.join(new, ["user_id", "name"], "left")
+    return rows.withColumns({"lambda_val": F.when(F.col("_new"), F.col("_l")).otherwise(F.col("lambda_val")), "settings": F.when(F.col("_new"), F.col("_s")).otherwise(F.col("settings"))}).select(*presets.columns)
+
+
+def without_presets(presets: DataFrame, gone: DataFrame) -> DataFrame:
+    """presets but those in gone (user_id, name)."""
+    return presets.join(gone.select("user_id", "name"), ["user_id", "name"], "left_anti").select(*presets.columns)
+
+
+def listed_presets(presets: DataFrame) -> DataFrame:
+    """user_id and presets: name, lambda_val, settings (the defaults where they are no document) and is_active, in the order in which they were made."""
+    settings = F.when(F.coalesce(documents.is_document(F.col("settings")), F.lit(False)), F.col("settings")).otherwise(F.lit(PRESET_SETTINGS))
+    row = F.struct("created_at", "name", "lambda_val", settings.alias("settings"), "is_active")
+    return presets.groupBy("user_id").agg(F.array_sort(F.collect_list(row)).alias("presets"))
+
+
+def active_presets(presets: DataFrame) -> DataFrame:
+    """The active preset of each user that has one."""
+    return presets.filter("is_active").groupBy("user_id").agg(F.min(F.struct("name", "lambda_val", "settings")).alias("_p")).select("user_id", "_p.*")
+
+
+class Results:
+    """Results of searches, kept under what was asked by whom."""
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path = spark, path
 
+    def get(self, make: Callable[[], DataFrame], user: str, query: str, top: int, slider: float = 0.7, unseen: bool = True) -> DataFrame:
+        """The kept result, else what make returns, which is kept then."""
+        key = hashlib.sha256(repr((user, query.strip().lower(), top, slider, unseen)).encode()).hexdigest()
+        if not exists(self.spark, f"{self.path}/{key}"):
+            publish(make(), f"{self.path}/{key}")
+        return self.spark.read.parquet(f"{self.path}/{key}")
 
-def without_preset(presets: DataFrame, user: str, name: str) -> DataFrame:
-    return presets.filter(~((F.col("user_id") == user) & (F.col("name") == name)))
+    def forget(self) -> None:
+        """Drop all: for when a profile or the catalogue has changed."""
+        remove(self.spark, self.path)

@@ -272,20 +272,42 @@ def test_sinks(spark, tmp_path):
 def test_profile_versions(spark, tmp_path):
     store = sinks.ProfileStore(spark, str(tmp_path / "profiles"))
     first = spark.createDataFrame([("u", '{"user_id": "u", "watch_history": [1]}', None), ("v", "broken", None)], "user_id string, profile_json string, version long")
-    assert store.save(first, None).count() == 0
+    assert store.save(first).count() == 0
     change = spark.createDataFrame([("u", '{"user_id": "u"}', 1), ("v", "{}", 0)], "user_id string, profile_json string, version long")
-    refused = store.save(change, store.current())
+    refused = store.save(change)
     assert rows(refused, "user_id") == [("v",)]
     assert rows(store.current(), "user_id", "version") == [("u", 2), ("v", 1)]
     good, bad = store.readable()
     assert (rows(good, "user_id"), rows(bad, "user_id")) == ([("u",)], [("v",)])
 
 
+def test_one_of_two_savers_of_a_version_is_refused(spark, tmp_path):
+    """Another saver comes in after the comparison and before the claim: the first compares again."""
+    row = lambda name, version: spark.createDataFrame([("u", name, version)], "user_id string, profile_json string, version long")
+    store = sinks.ProfileStore(spark, str(tmp_path / "profiles"))
+    store.save(row("first", None))
+
+    class Slow(sinks.ProfileStore):
+        met = False
+
+        def current(self):
+            found = super().current()
+            if not self.met:
+                self.met = True
+                found = spark.createDataFrame(found.collect(), found.schema)
+                assert store.save(row("other", 1)).count() == 0
+            return found
+
+    assert rows(Slow(spark, store.path).save(row("late", 1)), "profile_json") == [("late",)]
+    assert rows(store.current(), "profile_json", "version") == [("other", 2)]
+
+
 def test_presets(spark):
     p = spark.createDataFrame([("u", "a", True), ("u", "b", False), ("w", "a", True)], "user_id string, name string, is_active boolean")
-    assert rows(sinks.activated(p, "u", "b"), "user_id", "name", "is_active") == [("u", "a", False), ("u", "b", True), ("w", "a", True)]
-    assert rows(sinks.activated(p, "u", None).filter("is_active"), "user_id") == [("w",)]
-    assert sinks.without_preset(p, "u", "a").count() == 2
+    chosen = lambda *x: spark.createDataFrame(x, "user_id string, name string")
+    assert rows(sinks.activated_presets(p, chosen(("u", "b"))), "user_id", "name", "is_active") == [("u", "a", False), ("u", "b", True), ("w", "a", True)]
+    assert rows(sinks.activated_presets(p, chosen(("u", None))).filter("is_active"), "user_id") == [("w",)]
+    assert sinks.without_presets(p, chosen(("u", "a"))).count() == 2
 
 
 # retrieval
