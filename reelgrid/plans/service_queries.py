@@ -51,7 +51,7 @@ def route_queries(spark: SparkSession, d: str) -> DataFrame:
 @query(tables(*MOVIES_RATED) + f""", {ASKED}, keys AS (SELECT lower(title) AS key, arg_max(movie_id, (coalesce(num_ratings, 0), -movie_id)) AS movie_id FROM movies LEFT JOIN stats USING (movie_id) GROUP BY 1)
     SELECT query_id, m.movie_id AS matched_movie_id, CASE WHEN c IN (1, 2, 3, 8) THEN 'title_reference' ELSE 'general_search' END AS intent_type, c = 11 AS is_obscure, CASE WHEN c = 11 THEN 'War' ELSE '' END AS genres, CASE WHEN c = 11 THEN 'ko' END AS lang,
     CASE WHEN c = 10 THEN kind ELSE '' END AS negations, CASE WHEN c = 11 AND contains(name, 'hot') THEN 'hot' ELSE '' END AS tags,
-    CASE c WHEN 10 THEN name || ' without' WHEN 11 THEN 'an obscure korean ' || name || ' war south korea korean' ELSE lower(text) END AS expanded
+    CASE c WHEN 10 THEN CASE WHEN starts_with(name, kind || ' ') THEN substr(name, length(kind) + 2) ELSE name END || ' without' WHEN 11 THEN 'an obscure korean ' || name || ' war south korea korean' ELSE lower(text) END AS expanded
     FROM asked LEFT JOIN keys m ON c IN (1, 3, 8) AND m.key = name""")
 def parsed_queries(spark: SparkSession, d: str) -> DataFrame:
     """Titles named by likeness, nations, genres, negations and tags of the same ways to ask."""
@@ -388,7 +388,7 @@ def table_health(spark: SparkSession, d: str) -> DataFrame:
     return account.health({"part": part(spark, d), "events": table(spark, d, "events"), "gone": None})
 
 
-ANSWERS = """a AS (SELECT l_orderkey AS user_id, l_partkey AS movie_id, l_linenumber AS ts, ceil(l_quantity / 10) AS stars, l_linenumber % 2 = 0 AS sarcasm, l_linestatus, l_returnflag FROM lineitem WHERE l_linenumber <= 2), s AS (SELECT *, (stars - 3) / 2 AS w, CASE WHEN sarcasm THEN 0.2::DOUBLE ELSE 1.0::DOUBLE END AS sure FROM a)"""
+ANSWERS = """a AS (SELECT l_orderkey AS user_id, l_partkey AS movie_id, l_linenumber AS ts, ceil(l_quantity / 10) AS stars, l_linenumber % 2 = 0 AS sarcasm, l_linestatus, l_returnflag FROM (SELECT l_orderkey, l_partkey, l_linenumber, max(l_quantity) AS l_quantity, max(l_linestatus) AS l_linestatus, max(l_returnflag) AS l_returnflag FROM lineitem WHERE l_linenumber <= 2 GROUP BY 1, 2, 3)), s AS (SELECT *, (stars - 3) / 2 AS w, CASE WHEN sarcasm THEN 0.2::DOUBLE ELSE 1.0::DOUBLE END AS sure FROM a)"""
 
 
 @query(f"""WITH {ANSWERS}, ev AS (SELECT user_id, ts, movie_id, 'tag' AS dimension, 'pace' AS key, w * 0.5::DOUBLE * sure AS weight FROM s UNION ALL SELECT user_id, ts, movie_id, 'tag', lower(l_linestatus) || ' look', sure * 0.4::DOUBLE FROM s UNION ALL SELECT user_id, ts, movie_id, 'tag', 'cast', sure * -0.4::DOUBLE FROM s
@@ -396,7 +396,7 @@ ANSWERS = """a AS (SELECT l_orderkey AS user_id, l_partkey AS movie_id, l_linenu
     SELECT user_id, ts, CAST(movie_id AS VARCHAR) AS place, dimension, key, round(sum(weight), 6) AS weight, count(*) AS n FROM ev GROUP BY ALL""")
 def service_changes(spark: SparkSession, d: str) -> DataFrame:
     """What a review service's answers change: of one aspect in several lists the first kind counts."""
-    a = table(spark, d, "lineitem").filter("l_linenumber <= 2")
+    a = table(spark, d, "lineitem").filter("l_linenumber <= 2").groupBy("l_orderkey", "l_partkey", "l_linenumber").agg(*[F.max(c).alias(c) for c in ("l_quantity", "l_linestatus", "l_returnflag")])
     answers = a.select(
         F.col("l_orderkey").alias("user_id"), F.col("l_partkey").alias("movie_id"), F.col("l_linenumber").alias("ts"), F.ceil(F.col("l_quantity") / 10).cast("double").alias("stars"), (F.col("l_linenumber") % 2 == 0).alias("sarcasm"),
         F.lit(None).cast("double").alias("sentiment"), F.array(F.concat("l_linestatus", F.lit(" Look ")), F.lit("pace")).alias("liked"), F.array(F.lit("cast")).alias("disliked"), F.array(F.lit("Cast"), F.lit(" ")).alias("tags"), F.array(F.lit("Pace")).alias("chosen"),
