@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-import atexit
 import contextlib
 import ctypes
 import os
-import shutil
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -20,6 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import ArrowUDFType
 
+from reelgrid.sources.shared import remove, shared_dir
+
 #: Documents in an Arrow batch and bytes in one, so that a Python worker holds a bounded piece of a partition.
 BATCH_ROWS = 256
 BATCH_BYTES = 8 << 20
@@ -33,21 +32,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; in local mode, where it is unset, a folder of our own."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        if not spark.sparkContext.master.startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        own = tempfile.mkdtemp(prefix="reelgrid-")
-        atexit.register(shutil.rmtree, own, ignore_errors=True)
-        named = f"file://{own}"
-        spark.conf.set("spark.checkpoint.dir", named)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(named)
-    return named
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: lineage ends there, and a lost executor loses none of it."""
     spark = df.sparkSession
@@ -132,13 +116,6 @@ def clear(spark: SparkSession, since: tuple[int, int] = (0, 0)) -> None:
     del _made[since[0] :]
 
 
-def remove(spark: SparkSession, *paths: str) -> None:
-    """Delete folders, as far as they are there."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    for p in map(path, paths):
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def bounded_batches(spark: SparkSession) -> None:
     """Few documents in an Arrow batch: whole texts may be long.
 
