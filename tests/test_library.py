@@ -48,3 +48,23 @@ def test_profiles(library):
     got = library.summary("2").first()
     assert got.n_rated == library.tables["ratings"].filter("user_id = '2'").count()
     assert got.genres[0] in ("Horror", "Sci-Fi") and len(got.directors) > 0
+
+
+def test_tables_written_once_follow_their_sources(spark, tmp_path):
+    from reelgrid.sources import shared
+
+    source = str(tmp_path / "numbers")
+    spark.range(3).write.parquet(source)
+    made = []
+
+    def make():
+        made.append(1)
+        return spark.read.parquet(source)
+
+    before = len(shared._made)
+    assert [shared.once(spark, "numbers", [source], make).count() for _ in range(2)] == [3, 3]
+    assert len(made) == 1
+    shared.clear(spark, before)
+    assert shared.once(spark, "numbers", [source], make).count() == 3
+    assert len(made) == 2
+    shared.clear(spark, before)
