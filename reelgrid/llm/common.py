@@ -166,6 +166,7 @@ def empty(spark: SparkSession, schema: str) -> DataFrame:
 
 def give_back() -> None:
     """Return freed memory to the system: a worker that keeps the peak of one task takes it from the next."""
+    pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # another C library
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 

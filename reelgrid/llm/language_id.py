@@ -214,6 +214,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
         for text, known in texts:
             found = [own.predict(x.decode(errors="replace")) if k and own else (UNKNOWN, 0.0) for x, k in zip(text, known, strict=True)]
             yield pd.DataFrame(found, columns=["lang_pred", "score"])
+        common.give_back()
 
     udf = F.pandas_udf(run, "lang_pred string, score double", F.PandasUDFType.SCALAR_ITER)
     text = F.col("text")

@@ -41,7 +41,7 @@ UNITS = 32
 DEPTH = 6
 #: Tokens that a task plans at once, bytes of text that it encodes at once, and the smallest gap for which a document is cut.
 SHARD = 1 << 22
-CHUNK = 12 << 20
+CHUNK = 3 << 20
 GAP = 16
 #: Bytes of text that a task packs on average, at least.
 PART = 8 << 20
@@ -305,6 +305,7 @@ def pack(docs: DataFrame, path: str, end: int, window: int = WINDOW, shard: int
     schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {SCHEMA}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.give_back()  # what the worker's last task has left
         own, context = encoder(path), TaskContext.get()
         made = (context.partitionId() if context else 0) << 32
         ids: dict[int, np.ndarray] = {}
@@ -323,6 +324,7 @@ def pack(docs: DataFrame, path: str, end: int, window: int = WINDOW, shard: int
             ids = {d: ids[d].copy() for d, *_ in items}
             names = {d: names[d] for d in ids}
             whole, held = [], sum(x[2] for x in items)
+            common.give_back()
 
         for t in common.tables(batches, CHUNK):
             kind = t.schema.field("doc_id").type
