@@ -26,6 +26,9 @@ BATCH_BYTES = 8 << 20
 SPREAD_ROWS = 4096
 #: Bits of the filter that says which rows need to meet others at all.
 FILTER = 1 << 25
+#: Capitals, and the ASCII characters that part words.
+_CAPITALS = "".join(map(chr, range(65, 91)))
+_GAPS = "".join(chr(c) for c in range(128) if not chr(c).isalnum())
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -154,6 +157,27 @@ def utf8(text) -> F.Column:
     return F.coalesce(text.cast("string"), F.lit("")).cast("binary")
 
 
+def words(text: Column) -> Column:
+    """The text's runs of letters and digits, A-Z in lower case; every character beyond ASCII belongs to a word. Null has none."""
+    plain = F.translate(text.cast("string"), _CAPITALS + _GAPS, _CAPITALS.lower() + " " * len(_GAPS))
+    return F.array_remove(F.split(F.coalesce(plain, F.lit("")), " "), "")
+
+
+def ranked(rows: DataFrame, order: list[Column], out: str) -> DataFrame:
+    """rows, written, with out: 1, 2, 3... in an order that knows no ties.
+
+    Ranges of the order are sorted each by itself; a row's rank is its place in its
+    range and the sizes of the ranges before, one number for each partition.
+    """
+    parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    at = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    placed = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    placed = written(placed.select("*", F.spark_partition_id().alias("_part"), at.alias("_at")), "ranges")
+    sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.withColumn("_base", F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).drop("_n")
+    return placed.join(F.broadcast(before), "_part").withColumn(out, F.col("_base") + F.col("_at") + 1).drop("_part", "_at", "_base")
+
+
 def single_thread() -> None:
     """A task has one core: libraries with thread pools of their own keep to it."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
