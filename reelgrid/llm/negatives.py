@@ -264,8 +264,9 @@ def mined(rows: DataFrame, anchors: DataFrame, positives: int, negatives: int, l
     like = search(index, asked.select(F.col("row").alias("qid"), "row", "label", F.lit(True).alias("same"), *whole, "home", "v"), positives)
     like = common.written(like.select(F.col("qid").alias("row"), F.col("place").alias("nth"), F.col("id").alias("positive_id"), F.col("score").alias("positive_score")), "positives")
     # whole scores within per cent of the positive's: the lower bound rounded up, the upper one down
-    floor = lambda x: F.expr(f"({x} - pmod({x}, 100L)) div 100L")
-    least, most = -floor(f"(positive_score * {-low}L)"), floor(f"(positive_score * {high}L)")
+    rest = F.pmod("positive_score", F.lit(100))  # per cents are taken of hundreds and of the rest, so that none overflows
+    hundreds = F.expr("(positive_score - pmod(positive_score, 100L)) div 100L")
+    least, most = hundreds * low + F.ceil(rest * low / 100), hundreds * high + F.floor(rest * high / 100)
     windows = like.withColumns({"low": least, "high": most}).filter("low <= high").join(asked, "row")
     windows = windows.withColumn("qid", F.col("row") * positives + F.col("nth") - 1)
     unlike = search(index, windows.select("qid", "row", "label", F.lit(False).alias("same"), "low", "high", "home", "v"), negatives)
