@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from reelgrid.functions import documents, maths, text
 from reelgrid.operators import catalog, diversity, fusion, learning, lexical, metrics, profile, reviews, rules, scoring, vectors
 from reelgrid.operators import ratings as R
+from reelgrid.operators.vector_index import VectorIndex, recall
+from reelgrid.sources.shared import fresh
 from reelgrid.streaming import events as streams
 
 from . import recommend, understanding
@@ -323,6 +325,45 @@ def cosine_topk(spark: SparkSession, d: str) -> DataFrame:
     return vectors.nearest(asked_vectors(spark, d), item_vectors(spark, d), 20)
 
 
+def built_index(spark: SparkSession, d: str) -> VectorIndex:
+    """An index of every second vector, to which the others have been added since."""
+    items = item_vectors(spark, d)
+    name = f"vectors_{uuid.uuid4().hex}"
+    index = VectorIndex.create(items.filter("item_id % 2 = 0"), fresh(spark, name), name)
+    index.add(items.filter("item_id % 2 <> 0 OR item_id IS NULL"))
+    return index
+
+
+@query("WITH items AS (SELECT vec_id AS id, embedding AS v FROM embeddings), asked AS (SELECT * FROM items WHERE id % 100 = 0), " + cosine_sql("found", "asked", "items", 20) + " SELECT * FROM found")
+def vector_index_whole(spark: SparkSession, d: str) -> DataFrame:
+    """All lists of an index that was added to are probed: the rows of cosine_topk."""
+    index = built_index(spark, d)
+    return index.search(asked_vectors(spark, d), 20, len(index.centroids.value))
+
+
+def probed(spark: SparkSession, d: str) -> tuple[VectorIndex, DataFrame, int]:
+    """The index, the exact neighbours, and the probes that find 95 % of those."""
+    index, exact = built_index(spark, d), vectors.nearest(asked_vectors(spark, d), item_vectors(spark, d), 20)
+    return index, exact, index.probes_for(asked_vectors(spark, d), exact, 0.95)
+
+
+@query()
+def vector_index_topk(spark: SparkSession, d: str) -> DataFrame:
+    index, _, probes = probed(spark, d)
+    found = index.search(asked_vectors(spark, d), 20, probes)
+    return found.join(index.visited(asked_vectors(spark, d), probes), "query_id")
+
+
+@query("SELECT count(*) AS n_queries, true AS reached, true AS fewer_rows FROM embeddings WHERE vec_id % 100 = 0")
+def vector_index_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the probed lists hold 95 % of the exact neighbours, and no more rows than there are."""
+    index, exact, probes = probed(spark, d)
+    asked = asked_vectors(spark, d)
+    share = recall(index.search(asked, 20, probes), exact).join(index.visited(asked, probes), "query_id")
+    total = index.table().count()
+    return share.agg(F.count(F.lit(1)).alias("n_queries"), (F.round(F.avg("recall"), 9) >= 0.95).alias("reached"), (F.max("n_scored") <= total).alias("fewer_rows"))
+
+
 def half(df: DataFrame, start: int) -> DataFrame:
     return df.withColumn("vector", F.slice("vector", start, 32))
 
