@@ -1,6 +1,6 @@
 """Packing token sequences into windows by non-negative least squares.
 
-Each task packs its own documents, a shard of a few million tokens at a time, so
+Each task packs its own documents, a shard of some two million tokens at a time, so
 nothing is shuffled and memory is bounded by the shard. A document longer than a
 window gives whole windows; what is left of it, and each shorter document, has a
 length in units of a fraction of the window. All combinations of at most DEPTH unit
@@ -40,13 +40,13 @@ WINDOW = 4096
 UNITS = 32
 DEPTH = 6
 #: Tokens that a task plans at once, bytes of text that it encodes at once, and the smallest gap for which a document is cut.
-SHARD = 1 << 22
-CHUNK = 3 << 20
+SHARD = 1 << 21
+CHUNK = 1 << 20
 GAP = 16
 #: Bytes of text that a task packs on average, at least.
 PART = 8 << 20
 #: Stems whose ids a worker keeps twice over: a full table is put behind a new one, to which stems move as they are met again.
-CACHE = 400_000
+CACHE = 100_000
 #: Words in whose form normalisation changes nothing but case: a stem of letters, with signs behind it or none; and how many are encoded as one text.
 PLAIN = r"^(?P<stem>[a-zß-öø-ÿ]+)(?P<signs>[.,;:!?*#$%&]*)$"
 JOINED = 500
