@@ -6,15 +6,14 @@ kind orders changes of the same second (ratings before tags), place breaks ties.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from reelgrid.functions import maths, text
 
+from . import folds
+
 # How much each dimension counts in a boost.
 WEIGHTS = {"actor": 0.50, "director": 0.80, "genre": 0.60, "tone": 0.40, "tag": 0.90, "pacing": 0.75, "era": 0.30, "language": 0.50, "country": 0.40, "content_rating": 0.30}
 #: Dimensions whose weight is halved until a user has met a key so often.
@@ -80,48 +79,18 @@ def until(events: DataFrame, cutoffs: DataFrame, ts: str = "ts") -> DataFrame:
     return events.join(cutoffs, "user_id").filter(F.col(ts) <= F.col("cutoff_ts")).drop("cutoff_ts")
 
 
-def folded(changes: Column) -> Column:
-    """Affinity after an array of (ts, kind, place, weight) changes: a clamped sum in order."""
+def affinities(events: DataFrame, most: int | None = None) -> DataFrame:
+    """user_id, dimension, key, affinity and confidence (number of changes). A long history of one user with one key is folded in pieces."""
     limit = maths.AFFINITY_LIMIT
-    return F.aggregate(F.sort_array(changes), F.lit(0.0), lambda a, x: maths.clamp(a + x["weight"], -limit, limit))
-
-
-def affinities(events: DataFrame) -> DataFrame:
-    """user_id, dimension, key, affinity and confidence (number of changes).
-
-    A clamped sum depends on the order, so all changes of a key meet in one row: the
-    history of one user with one key.
-    """
-    changes = F.collect_list(F.struct("ts", "kind", "place", "weight"))
-    return events.groupBy("user_id", "dimension", "key").agg(F.round(folded(changes), 6).alias("affinity"), F.count(F.lit(1)).alias("confidence"))
+    sums = folds.clamped_sum(events, ["user_id", "dimension", "key"], ["ts", "kind", "place"], "weight", -limit, limit, most=most)
+    return sums.select("user_id", "dimension", "key", F.round("value", 6).alias("affinity"), F.col("n").alias("confidence"))
 
 
 def running_affinities(events: DataFrame) -> DataFrame:
-    """events with the affinity after each of them.
-
-    Events of a user and key come one after the other, so a task holds one state and a
-    batch of rows, whatever the length of a history.
-    """
-    key = ["user_id", "dimension", "key"]
+    """events with the affinity after each of them; a history of any length is dealt over tasks."""
     limit = maths.AFFINITY_LIMIT
-
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        held, state = None, 0.0
-        for b in batches:
-            out = []
-            for own, weight in zip(zip(*(b.column(c).to_pylist() for c in key), strict=True), b.column("weight").to_pylist(), strict=True):
-                if own != held:
-                    held, state = own, 0.0
-                if weight is not None:
-                    state = min(limit, max(-limit, state + weight))
-                out.append(state)
-            yield b.append_column("_state", pa.array(out, pa.float64()))
-
-    dealt = events.repartition(*key).sortWithinPartitions(*key, "ts", "kind", "place", "weight")
-    schema = T.StructType([*dealt.schema.fields, T.StructField("_state", T.DoubleType())])
-    return dealt.mapInArrow(run, schema).withColumn("affinity", F.round("_state", 6)).drop("_state")
+    rows = folds.running_clamped(events, ["user_id", "dimension", "key"], ["ts", "kind", "place", "weight"], "weight", -limit, limit, "affinity")
+    return rows.withColumn("affinity", F.round("affinity", 6))
 
 
 def rating_sets(ratings: DataFrame) -> DataFrame:
@@ -145,8 +114,9 @@ def taste(ratings: DataFrame, affinity: DataFrame) -> DataFrame:
 def franchise_tolerance(rated: DataFrame, start: float = 0.5, step: float = 0.03) -> DataFrame:
     """user_id and tolerance after ratings of movies with a collection, in order, within [0, 1]."""
     move = F.when(F.col("rating") >= 4.0, step).when(F.col("rating") <= 2.0, -step).otherwise(0.0)
-    rows = rated.filter(F.coalesce("collection", F.lit("")) != "").groupBy("user_id").agg(F.collect_list(F.struct("rated_at", "movie_id", move.alias("w"))).alias("e"))
-    return rows.select("user_id", F.round(F.aggregate(F.sort_array("e"), F.lit(start), lambda a, x: maths.clamp(a + x["w"], 0.0, 1.0)), 6).alias("franchise_tolerance"))
+    rows = rated.filter(F.coalesce("collection", F.lit("")) != "").select("user_id", "rated_at", "movie_id", move.alias("w"))
+    sums = folds.clamped_sum(rows, ["user_id"], ["rated_at", "movie_id"], "w", 0.0, 1.0, start)
+    return sums.select("user_id", F.round("value", 6).alias("franchise_tolerance"))
 
 
 def clamped_weights(weights: dict[str, float]) -> dict[str, float]:

@@ -14,7 +14,7 @@ from reelgrid.functions import documents, maths, text
 from reelgrid.operators import catalog, diversity, fusion, learning, lexical, metrics, profile, reviews, rules, scoring, vectors
 from reelgrid.operators import ratings as R
 from reelgrid.operators.vector_index import VectorIndex, recall
-from reelgrid.sources.shared import fresh
+from reelgrid.sources.shared import fresh, once
 from reelgrid.streaming import events as streams
 
 from . import recommend, understanding
@@ -64,7 +64,8 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def affinity(spark: SparkSession, d: str) -> DataFrame:
-    return profile.affinities(events(spark, d))
+    """Profiles of all users, written once, because they follow from tables that stay."""
+    return once(spark, "affinity", [f"{d}/{name}.parquet" for name in ("orders", "lineitem", "part")], lambda: profile.affinities(events(spark, d)))
 
 
 # Statistics and lists
