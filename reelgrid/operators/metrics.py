@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -44,6 +46,29 @@ def ndcg_at_k(ranked: DataFrame, truth: DataFrame, k: int = 10) -> DataFrame:
     return gains.select("user_id", F.round(F.coalesce("_dcg", F.lit(0.0)) / ideal, 6).alias("ndcg"))
 
 
+def discounted(rows: DataFrame, score: str, k: int) -> DataFrame:
+    """user_id and _dcg: the expected discounted gain of rows (user_id, gain and score) if rows of one score come in any order.
+
+    Rows of a score share their places, so each has the mean discount of those, from
+    prefix sums of discounts; nothing is permuted, and a tie is one row once it is summed.
+    """
+    sums = [0.0]
+    for i in range(1, k + 1):
+        sums.append(sums[-1] + 1 / math.log2(i + 1))
+    upto = lambda n: F.get(F.array(*map(F.lit, sums)), F.least(n, F.lit(k)).cast("int"))
+    ties = rows.groupBy("user_id", F.col(score).alias("_s")).agg(F.count(F.lit(1)).alias("_n"), F.sum("gain").alias("_gain"))
+    last = F.sum("_n").over(W.partitionBy("user_id").orderBy(F.desc_nulls_last("_s")).rowsBetween(W.unboundedPreceding, W.currentRow))
+    placed = ties.withColumn("_last", last)
+    share = (upto(F.col("_last")) - upto(F.col("_last") - F.col("_n"))) / F.col("_n")
+    return placed.groupBy("user_id").agg(F.sum(F.col("_gain") * share).alias("_dcg"))
+
+
+def ndcg_tied(scored: DataFrame, k: int = 10) -> DataFrame:
+    """user_id and NDCG of scored (user_id, score, gain), averaged over all orders of equal scores; a null score comes last, and users without any gain are left out."""
+    best = discounted(scored, "gain", k).withColumnRenamed("_dcg", "_ideal").filter("_ideal > 0")
+    return discounted(scored, "score", k).join(best, "user_id").select("user_id", F.round(F.col("_dcg") / F.col("_ideal"), 6).alias("ndcg"))
+
+
 def intra_list_distance(lists: DataFrame, vectors: DataFrame, k: int = 10) -> DataFrame:
     """list_id and the mean of 1 - cosine over pairs of its first k items; items without a vector are left out, 0 below two.
 

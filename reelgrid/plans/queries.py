@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from reelgrid.functions import documents, maths, text
-from reelgrid.operators import catalog, diversity, fusion, learning, lexical, metrics, profile, reviews, rules, scoring, vectors
+from reelgrid.operators import catalog, diversity, fusion, lambdarank, learning, lexical, metrics, profile, reviews, rules, scoring, vectors
 from reelgrid.operators import ratings as R
 from reelgrid.operators.vector_index import VectorIndex, recall
 from reelgrid.sources.shared import fresh, once
@@ -688,6 +688,28 @@ def ltr_closed_pool(spark: SparkSession, d: str) -> DataFrame:
     return reduce(DataFrame.unionByName, [learning.closed_pool(df, truth, c).select(F.lit(k).alias("model"), "ndcg") for k, (df, c) in scores.items()])
 
 
+@query(tables(*MOVIES_RATED) + """, pool AS (SELECT user_id, num_ratings AS score, CAST(rating * 2 AS DOUBLE) AS gain FROM ratings JOIN stats USING (movie_id)),
+    placed AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC) AS p, row_number() OVER (PARTITION BY user_id ORDER BY gain DESC) AS best FROM pool),
+    shared AS (SELECT user_id, gain, best, avg(CASE WHEN p <= 10 THEN 1 / log2(p + 1) ELSE 0 END) OVER (PARTITION BY user_id, score) AS discount FROM placed)
+    SELECT user_id, round(sum(gain * discount) / sum(CASE WHEN best <= 10 THEN gain / log2(best + 1) ELSE 0 END), 6) AS ndcg FROM shared GROUP BY 1""")
+def ndcg_tied(spark: SparkSession, d: str) -> DataFrame:
+    """How well popularity orders what a user rated; equally popular movies in any order."""
+    pool = ratings(spark, d).join(stats(spark, d), "movie_id").select("user_id", F.col("num_ratings").alias("score"), (F.col("rating") * 2).cast("double").alias("gain"))
+    return metrics.ndcg_tied(pool, 10)
+
+
+@query()
+def ltr_ranker(spark: SparkSession, d: str) -> DataFrame:
+    """Mean NDCG, averaged over ties, of the linear score and of the pairwise ranker, over users that training doesn't see; and the ranker's importances."""
+    rows = training_rows(spark, d)
+    eval_part = F.pmod(F.xxhash64("user_id"), F.lit(5)) == 0
+    test = rows.filter(eval_part)
+    model = lambdarank.train(rows.filter(~eval_part), learning.FEATURES, trees=10, depth=3)
+    gain = (F.pow(F.lit(2.0), F.col("label")) - 1).alias("gain")
+    means = [metrics.ndcg_tied(df.select("user_id", F.col(c).alias("score"), gain)).agg(F.lit(k).alias("name"), F.round(F.avg("ndcg"), 6).alias("value")) for k, (df, c) in {"linear": (test, "composite"), "ranker": (model.transform(test), "prediction")}.items()]
+    return reduce(DataFrame.unionByName, [*means, spark.createDataFrame([(f"gain of {k}", v) for k, v in model.importances().items()], "name string, value double")])
+
+
 @query(tables("ratings") + " SELECT user_id, count(*) AS n FROM ratings GROUP BY 1 HAVING count(*) >= 40")
 def eligible_users(spark: SparkSession, d: str) -> DataFrame:
     return learning.eligible_users(ratings(spark, d))
