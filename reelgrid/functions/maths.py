@@ -97,3 +97,15 @@ def unit(a: Column, least: float = 1e-10) -> Column:
 
 def cosine(a: Column, b: Column) -> Column:
     return clamp(dot(unit(a), unit(b)), -1.0, 1.0)
+
+
+def two_digits(x: Column) -> Column:
+    """A value from 2^-7 to some millions with two digits behind the point, by the double's exact value, halves to the even digit."""
+    whole = F.floor(x)
+    part = ((x - whole) * float(1 << 60)).cast("long").cast("decimal(20,0)") * 100  # exact: a double's digits moved by a power of two
+    one = F.lit(1 << 60).cast("decimal(20,0)")
+    rest = part % one
+    down = ((part - rest) / one).cast("long")
+    up = (rest * 2 > one) | ((rest * 2 == one) & (down % 2 == 1))
+    n = whole * 100 + down + up.cast("long")
+    return F.concat(F.floor(n / 100).cast("string"), F.lit("."), F.lpad((n % 100).cast("string"), 2, "0"))

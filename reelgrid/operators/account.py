@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from reelgrid.functions import text
+from reelgrid.functions import maths, text
 
 MATCHES = 3
 ANCHOR_TAGS = 5
@@ -124,7 +124,7 @@ def inspector(cards: DataFrame) -> Column:
 
     unknown = lambda name: F.coalesce(shown(name, None), F.lit("N/A"))
     rated = F.coalesce(F.col("avg_rating"), F.lit(0.0)) > 0
-    stars = F.when(rated, F.concat(F.lit("★ "), F.format_string("%.2f", "avg_rating"))).otherwise("★ Unrated")
+    stars = F.when(rated, F.concat(F.lit("★ "), maths.two_digits(F.col("avg_rating")))).otherwise("★ Unrated")
     counted = F.when(F.coalesce("num_ratings", F.lit(0)) > 0, F.concat(F.lit("("), F.format_number("num_ratings", 0), F.lit(" ratings)"))).otherwise("")
     tier = F.coalesce(shown("tier", None), F.lit("Tier C"))
     title = F.coalesce(shown("title", None), F.lit("Unknown Title"))

@@ -62,6 +62,14 @@ def ordered(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     return written(dealt.select("*", F.struct(*key).alias("_key"), F.spark_partition_id().alias("_part"), at), "ordered")
 
 
+def numbered(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+    """ordered(), with _at counted on through all partitions, from 0."""
+    cut = ordered(rows, key, order)
+    sizes = cut.groupBy("_part").agg(F.max("_at").alias("_last"))  # a row for each partition
+    base = sizes.select("_part", (F.sum(F.col("_last") + 1).over(W.orderBy("_part")) - F.col("_last") - 1).alias("_base"))
+    return cut.join(F.broadcast(base), "_part").withColumn("_at", F.col("_base") + F.col("_at")).drop("_base")
+
+
 def clamped_sum(rows: DataFrame, key: list[str], order: list[str], weight: str, low: float, high: float, start: float = 0.0, most: int | None = None) -> DataFrame:
     """key, value and n (changes): weights added in order from start, clamped each time.
 
@@ -107,10 +115,7 @@ def before(pieces: DataFrame) -> DataFrame:
 
 def running_clamped(rows: DataFrame, key: list[str], order: list[str], weight: str, low: float, high: float, out: str, start: float = 0.0) -> DataFrame:
     """rows with out: the clamped sum of their key's weights up to and with their own."""
-    cut = ordered(rows, key, order)
-    sizes = cut.groupBy("_part").agg(F.max("_at").alias("_last"))  # a row for each partition
-    base = sizes.select("_part", (F.sum(F.col("_last") + 1).over(W.orderBy("_part")) - F.col("_last") - 1).alias("_base"))
-    placed = cut.join(F.broadcast(base), "_part").withColumn("_at", F.col("_base") + F.col("_at"))
+    placed = numbered(rows, key, order)
     step = F.struct(F.col("_at").alias("place"), change(F.col(weight), low, high).alias("f"), F.struct(*rows.columns).alias("row"))
     pieces = placed.groupBy("_key", F.expr(f"_at div {RUN}").alias("place")).agg(F.sort_array(F.collect_list(step)).alias("steps"))
     pieces = written(pieces.withColumn("f", F.aggregate("steps", nothing(), lambda a, x: composed(a, x["f"]))), "pieces")

@@ -39,17 +39,28 @@ def with_confidence(reviews: DataFrame) -> DataFrame:
     return reviews.withColumn("sarcasm_risk", risk).withColumn("confidence", F.round(F.greatest(F.lit(0.1), 1 - F.col("sarcasm_risk")), 6))
 
 
+def grams(low: Column, n: int) -> Column:
+    """The distinct runs of n characters."""
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - (n - 1), F.lit(1))), lambda i: low.substr(i, F.lit(n)))
+    return F.when(F.length(low) >= n, F.array_distinct(runs))
+
+
 def found_tags(reviews: DataFrame, tags: DataFrame) -> DataFrame:
     """review_id, tag of vocabulary tags that a review names: as a word, or anywhere if longer than four characters.
 
-    Single-word tags join on the review's words; the vocabulary's other tags (fixed, some
-    thousand) are sought in the text.
+    Tags join on the review's words; a long one on that of its runs of five characters
+    which the fewest tags have, and only what shares it is compared. So no review meets
+    a tag of which it has nothing, and texts are sent once for each candidate at most.
     """
+    least = 5
     low = F.lower(F.coalesce("review_text", F.lit("")))
     words = reviews.select("review_id", F.explode(text.letter_words(low)).alias("_w"))
     t = tags.select("tag", F.lower("tag").alias("_t"))
     exact = words.join(t, F.col("_w") == F.col("_t")).select("review_id", "tag")
-    long = reviews.select("review_id", low.alias("_low")).join(t.filter(F.length("_t") > 4), F.col("_low").contains(F.col("_t"))).select("review_id", "tag")
+    runs = t.select("tag", "_t", F.explode(grams(F.col("_t"), least)).alias("_g")).distinct()
+    rare = runs.join(runs.groupBy("_g").agg(F.count(F.lit(1)).alias("_n")), "_g").groupBy("tag", "_t").agg(F.min(F.struct("_n", "_g"))["_g"].alias("_g"))
+    met = reviews.select("review_id", F.explode(grams(low, least)).alias("_g")).join(rare, "_g").select("review_id", "tag", "_t").distinct()
+    long = met.join(reviews.select("review_id", low.alias("_low")), "review_id").filter(F.col("_low").contains(F.col("_t"))).select("review_id", "tag")
     return exact.unionByName(long).distinct()
 
 

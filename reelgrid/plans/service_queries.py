@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reelgrid.functions import documents, maths, text
-from reelgrid.operators import account, catalog, fusion, learning, metrics, profile, reviews, vectors
+from reelgrid.operators import account, catalog, folds, fusion, learning, metrics, profile, reviews, vectors
 
 from . import router, understanding
 from .adapters import events, movies, ratings, stats, table
@@ -94,8 +94,8 @@ TAGGED = """tags AS (SELECT row_number() OVER (ORDER BY tag) AS tag_id, tag FROM
 def tagged(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The queries, the tags of the parts' names and how relevant each is to a part."""
     p = part(spark, d)
-    names = sorted(r[0] for r in p.select(F.explode(F.split("p_name", " ")).alias("tag")).distinct().collect())  # a vocabulary of a few words
-    tags = spark.createDataFrame([(i + 1, t) for i, t in enumerate(names)], "tag_id long, tag string")
+    names = p.select(F.explode(F.split("p_name", " ")).alias("tag")).distinct()
+    tags = folds.numbered(names, ["tag"], []).select((F.col("_at") + 1).alias("tag_id"), "tag")
     scores = p.select(F.col("p_partkey").alias("movie_id"), "p_size", F.explode(F.split("p_name", " ")).alias("tag")).join(tags, "tag").select("movie_id", "tag_id", ((1 + F.col("p_size") % (F.col("tag_id") + 1)) / 20.0).alias("relevance"))
     said = spark.createDataFrame([(0, "red ring"), (1, "an old widget"), (2, "gear")], "query_id long, text string")
     return said, tags, scores
@@ -257,22 +257,20 @@ def movie_terms(spark: SparkSession, d: str) -> DataFrame:
     return profile.movie_terms(rows)
 
 
-@query("""WITH u AS (SELECT DISTINCT user_id FROM events) SELECT user_id, p_partkey AS movie_id FROM u, part WHERE p_size <= 5 AND CASE WHEN user_id % 2 = 0 THEN p_type = 'PROMO' ELSE contains(' ' || p_name || ' ', ' old ') END""")
+@query(tables("ratings") + " SELECT user_id, movie_id FROM ratings JOIN part ON p_partkey = movie_id WHERE CASE WHEN user_id % 2 = 0 THEN p_type = 'PROMO' ELSE contains(' ' || p_name || ' ', ' old ') END")
 def dealbreaker_themes(spark: SparkSession, d: str) -> DataFrame:
-    """Candidates that themes rule out, and words in tags; a theme is no taste."""
-    rows = part(spark, d).filter("p_size <= 5").select(F.col("p_partkey").alias("movie_id"), F.array("p_type").alias("themes"), F.array("p_name").alias("top_tags"))
-    users = table(spark, d, "events").select("user_id").distinct()
-    bad = users.select("user_id", F.when(F.col("user_id") % 2 == 0, " Promo").otherwise("old").alias("dealbreaker"))
-    asked_for = users.crossJoin(F.broadcast(rows.select("movie_id")))  # small parts: a stated list
-    return profile.dealbroken(asked_for, profile.movie_terms(rows), bad)
+    """What users rated and their themes rule out, and words in tags; a theme is no taste."""
+    rows = part(spark, d).select(F.col("p_partkey").alias("movie_id"), F.array("p_type").alias("themes"), F.array("p_name").alias("top_tags"))
+    rated = ratings(spark, d).select("user_id", "movie_id")
+    bad = rated.select("user_id").distinct().select("user_id", F.when(F.col("user_id") % 2 == 0, " Promo").otherwise("old").alias("dealbreaker"))
+    return profile.dealbroken(rated, profile.movie_terms(rows), bad)
 
 
 @query(tables(*MOVIES_RATED) + """ SELECT movie_id, '# ' || title || ' (' || year || ')' AS head, '**Rating**: ★ ' || printf('%.2f', avg_rating) || ' (' || num_ratings || ' ratings) | **Tier**: `A`' AS rating, '**Directors**: ' || director AS directors, 6 + CASE WHEN movie_id % 2 = 0 THEN 1 ELSE 0 END AS n_lines
-    FROM movies JOIN stats USING (movie_id) WHERE abs(avg_rating * 100 - floor(avg_rating * 100) - 0.5) > 0.001""")
+    FROM movies JOIN stats USING (movie_id)""")
 def inspector_text(spark: SparkSession, d: str) -> DataFrame:
     """A card as text for showing, cut into its lines."""
     rows = movies(spark, d).join(stats(spark, d), "movie_id").withColumns({"tier": F.lit("A"), "pacing": F.when(F.col("movie_id") % 2 == 0, "slow")})
-    rows = rows.filter(F.abs(F.col("avg_rating") * 100 - F.floor(F.col("avg_rating") * 100) - 0.5) > 0.001)  # halves are rounded in different ways
     lines = F.split(account.inspector(rows), "\n")
     return rows.select("movie_id", lines[0].alias("head"), lines[1].alias("rating"), lines[3].alias("directors"), F.size(lines).alias("n_lines"))
 
@@ -388,7 +386,7 @@ def table_health(spark: SparkSession, d: str) -> DataFrame:
     return account.health({"part": part(spark, d), "events": table(spark, d, "events"), "gone": None})
 
 
-ANSWERS = """a AS (SELECT l_orderkey AS user_id, l_partkey AS movie_id, l_linenumber AS ts, ceil(l_quantity / 10) AS stars, l_linenumber % 2 = 0 AS sarcasm, l_linestatus, l_returnflag FROM (SELECT l_orderkey, l_partkey, l_linenumber, max(l_quantity) AS l_quantity, max(l_linestatus) AS l_linestatus, max(l_returnflag) AS l_returnflag FROM lineitem WHERE l_linenumber <= 2 GROUP BY 1, 2, 3)), s AS (SELECT *, (stars - 3) / 2 AS w, CASE WHEN sarcasm THEN 0.2::DOUBLE ELSE 1.0::DOUBLE END AS sure FROM a)"""
+ANSWERS = """a AS (SELECT l_orderkey AS user_id, l_partkey AS movie_id, l_linenumber AS ts, ceil(l_quantity / 10) AS stars, l_linenumber % 2 = 0 AS sarcasm, l_linestatus, l_returnflag FROM (SELECT l_orderkey, l_partkey, l_linenumber, max(l_quantity) AS l_quantity, max(l_linestatus) AS l_linestatus, max(l_returnflag) AS l_returnflag FROM lineitem GROUP BY 1, 2, 3)), s AS (SELECT *, (stars - 3) / 2 AS w, CASE WHEN sarcasm THEN 0.2::DOUBLE ELSE 1.0::DOUBLE END AS sure FROM a)"""
 
 
 @query(f"""WITH {ANSWERS}, ev AS (SELECT user_id, ts, movie_id, 'tag' AS dimension, 'pace' AS key, w * 0.5::DOUBLE * sure AS weight FROM s UNION ALL SELECT user_id, ts, movie_id, 'tag', lower(l_linestatus) || ' look', sure * 0.4::DOUBLE FROM s UNION ALL SELECT user_id, ts, movie_id, 'tag', 'cast', sure * -0.4::DOUBLE FROM s
@@ -396,7 +394,7 @@ ANSWERS = """a AS (SELECT l_orderkey AS user_id, l_partkey AS movie_id, l_linenu
     SELECT user_id, ts, CAST(movie_id AS VARCHAR) AS place, dimension, key, round(sum(weight), 6) AS weight, count(*) AS n FROM ev GROUP BY ALL""")
 def service_changes(spark: SparkSession, d: str) -> DataFrame:
     """What a review service's answers change: of one aspect in several lists the first kind counts."""
-    a = table(spark, d, "lineitem").filter("l_linenumber <= 2").groupBy("l_orderkey", "l_partkey", "l_linenumber").agg(*[F.max(c).alias(c) for c in ("l_quantity", "l_linestatus", "l_returnflag")])
+    a = table(spark, d, "lineitem").groupBy("l_orderkey", "l_partkey", "l_linenumber").agg(*[F.max(c).alias(c) for c in ("l_quantity", "l_linestatus", "l_returnflag")])
     answers = a.select(
         F.col("l_orderkey").alias("user_id"), F.col("l_partkey").alias("movie_id"), F.col("l_linenumber").alias("ts"), F.ceil(F.col("l_quantity") / 10).cast("double").alias("stars"), (F.col("l_linenumber") % 2 == 0).alias("sarcasm"),
         F.lit(None).cast("double").alias("sentiment"), F.array(F.concat("l_linestatus", F.lit(" Look ")), F.lit("pace")).alias("liked"), F.array(F.lit("cast")).alias("disliked"), F.array(F.lit("Cast"), F.lit(" ")).alias("tags"), F.array(F.lit("Pace")).alias("chosen"),
@@ -406,20 +404,20 @@ def service_changes(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy("user_id", "ts", "place", "dimension", "key").agg(F.round(F.sum("weight"), 6).alias("weight"), F.count(F.lit(1)).alias("n"))
 
 
-@query("""WITH r AS (SELECT conv_id * 1000 + turn AS review_id, conv_id AS user_id, CAST(1 + length(text) % 5 AS DOUBLE) AS stars FROM conversations WHERE role = 'user' AND text = '' OR role = 'user' AND turn % 2 = 0), x AS (SELECT review_id, user_id, (stars - 3) / 2 AS w FROM r)
+@query("""WITH r AS (SELECT conv_id * 1000 + turn AS review_id, conv_id AS user_id, CAST(1 + length(text) % 5 AS DOUBLE) AS stars FROM conversations WHERE role = 'user'), x AS (SELECT review_id, user_id, (stars - 3) / 2 AS w FROM r)
     SELECT review_id, user_id, 'pace' AS tag, round(w * 0.4::DOUBLE, 6) AS delta FROM x""")
 def review_aspects(spark: SparkSession, d: str) -> DataFrame:
     """Changes by aspects that users chose; a tag of the same name in the text changes nothing more."""
-    r = table(spark, d, "conversations").filter("role = 'user' and (text = '' or turn % 2 = 0)")
+    r = table(spark, d, "conversations").filter("role = 'user'")
     said = r.select((F.col("conv_id") * 1000 + F.col("turn")).alias("review_id"), F.col("conv_id").alias("user_id"), F.col("text").alias("review_text"), (1 + F.length("text") % 5).cast("double").alias("stars"))
     aspects = said.select("review_id", F.lit(" Pace").alias("aspect")).unionByName(said.select("review_id", F.lit(" ").alias("aspect")))
     return reviews.tag_changes(said, said.select("review_id", F.lit("pace ").alias("tag")), aspects)
 
 
-@query(tables(*PROFILES) + f""", pairs AS (SELECT user_id, movie_id FROM ratings WHERE movie_id % 5 = 0) SELECT user_id, movie_id, round(sum({WEIGHTED.replace("WHEN 'genre' THEN 0.6", "WHEN 'genre' THEN 1.0").replace("WHEN 'tag' THEN 0.9", "WHEN 'tag' THEN 0.0")}), 6) AS boost FROM pairs JOIN terms USING (movie_id) JOIN affinity USING (user_id, dimension, key) GROUP BY 1, 2""")
+@query(tables(*PROFILES) + f""", pairs AS (SELECT user_id, movie_id FROM ratings) SELECT user_id, movie_id, round(sum({WEIGHTED.replace("WHEN 'genre' THEN 0.6", "WHEN 'genre' THEN 1.0").replace("WHEN 'tag' THEN 0.9", "WHEN 'tag' THEN 0.0")}), 6) AS boost FROM pairs JOIN terms USING (movie_id) JOIN affinity USING (user_id, dimension, key) GROUP BY 1, 2""")
 def weighted_boosts(spark: SparkSession, d: str) -> DataFrame:
     """Boosts under weights that users set, each kept inside 0 and 1."""
-    pairs = ratings(spark, d).filter("movie_id % 5 = 0").select("user_id", "movie_id")
+    pairs = ratings(spark, d).select("user_id", "movie_id")
     found = profile.term_boosts(pairs, profile.movie_terms(movies(spark, d)), affinity(spark, d), profile.clamped_weights({"genre": 3.0, "tag": -1.0}))
     return found.groupBy("user_id", "movie_id").agg(F.round(F.sum("boost"), 6).alias("boost"))
 
@@ -435,11 +433,10 @@ def mean_ndcg(spark: SparkSession, d: str) -> DataFrame:
     return learning.closed_pool(scored, metrics.relevant(test), "score").select(F.lit("popularity").alias("model"), "ndcg")
 
 
-@query(tables("ratings") + " SELECT part, n FROM (VALUES ('train', 60), ('eval', 20)) t(part, n)")
+@query()
 def user_sample(spark: SparkSession, d: str) -> DataFrame:
-    """How many users a sample of stated size puts in each part."""
-    users = learning.sampled_users(ratings(spark, d).select("user_id").distinct(), 60, 20)
-    return users.groupBy("part").agg(F.countDistinct("user_id").cast("int").alias("n"))
+    """The users of a sample of stated size, and their parts."""
+    return learning.sampled_users(ratings(spark, d).select("user_id").distinct(), 60, 20)
 
 
 # Texts

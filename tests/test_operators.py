@@ -1,9 +1,11 @@
 """Operators on small hand-made frames, for what SQL comparison doesn't reach."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
-from reelgrid.functions import documents
+from reelgrid.functions import documents, maths
 from reelgrid.functions.ordering import rank_descending
 from reelgrid.operators import account, catalog, diversity, fusion, learning, metrics, profile, ratings, reviews, rules, scoring, vectors
 from reelgrid.plans import recommend, router, understanding
@@ -387,6 +389,7 @@ def test_reviews(spark):
     assert (got[2].sarcasm_risk, got[2].confidence, got[3].sarcasm_risk) == (0.0, 1.0, 0.0)
     found = reviews.found_tags(r, spark.createDataFrame([("noir",), ("Amazing N",), ("oir",)], "tag string"))
     assert rows(found, "review_id", "tag") == [(3, "Amazing N"), (3, "noir")]
+    assert "Cartesian" not in (plan := found._jdf.queryExecution().executedPlan().toString()) and "NestedLoop" not in plan
     aspects = spark.createDataFrame([(3, " Noir ")], "review_id long, aspect string")
     assert rows(reviews.tag_changes(r, found, aspects), "tag", "delta") == [("amazing n", 0.3), ("noir", 0.4)]
     answers = spark.createDataFrame([(1, 0, 5.0), (1, 1, 2.0), (2, 0, None)], "review_id long, place int, score double")
@@ -472,3 +475,19 @@ def test_profiles_merge(spark):
     df = spark.createDataFrame(raw, "f string, l string").select(documents.parsed_profile(F.col("f")).alias("f"), documents.parsed_profile(F.col("l")).alias("l"))
     got = df.select(*[c.alias(k) for k, c in sinks.merged_profile(F.col("f"), F.col("l")).items()]).first()
     assert (got.genre_affinity, sorted(got.watch_history), got.query_history) == ({"a": 1.0, "b": 2.0}, [1, 2], ["x", "y"])
+
+
+def test_two_digits_as_the_double_says(spark):
+    r = random.Random(2)
+    values = [r.uniform(0.5, 5) for _ in range(300)] + [i / 8 for i in range(4, 41)] + [i / 200 for i in range(100, 1001)] + [0.005, 0.015, 3.0, 4.995, 4.999999]
+    found = spark.createDataFrame([(v,) for v in values], "v double").select(maths.two_digits(F.col("v")).alias("s")).collect()
+    assert [x["s"] for x in found] == [f"{v:.2f}" for v in values]
+
+
+def test_sample_of_users(spark):
+    """Users by a seeded hash: those of the smallest, in parts of the stated sizes, whatever the order of rows."""
+    users = spark.range(500).select(F.col("id").alias("user_id"))
+    got = {r["user_id"]: r["part"] for r in learning.sampled_users(users, 60, 20).collect()}
+    assert got == {r["user_id"]: r["part"] for r in learning.sampled_users(users.orderBy(F.desc("user_id")).repartition(5), 60, 20).collect()}
+    order = [r[0] for r in users.orderBy(F.xxhash64(F.col("user_id").cast("string"), F.lit(42)), "user_id").collect()]
+    assert got == {u: "train" if i < 60 else "eval" for i, u in enumerate(order[:80])}
