@@ -23,7 +23,7 @@ from reelgrid.sources.shared import written
 #: Changes or triples of one key that are folded in one row when a history is cut.
 PIECE = 1024
 #: Rows of a piece whose running states are asked for.
-RUN = 16
+RUN = 32
 #: A history is cut when it has more rows than this, and than a share of an average partition.
 WHOLE, SHARE = 4096, 8
 

@@ -162,7 +162,7 @@ def train(rows: DataFrame, features: list[str], group: str = "user_id", label: s
         made.append(tree)
         if "value" in tree and not tree["value"]:
             break
-        state = written(pulled.withColumn("_score", F.col("_score") + on_bins(tree, cuts)).drop("_g", "_h"), "scores")
+        state = pulled.withColumn("_score", F.col("_score") + on_bins(tree, cuts)).drop("_g", "_h")
     return Ranker(list(features), made)
 
 
