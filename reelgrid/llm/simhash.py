@@ -14,7 +14,9 @@ linear number of edges. Components come from alternating star contractions.
 Defined results: null and empty texts have fingerprint zero; a text with fewer words
 than a shingle has its whole word sequence as its only shingle; equal fingerprints
 are linked; a null doc_id is ignored in the smallest id of its component (which is
-null if it has no other).
+null if it has no other). Texts of any length are read
+whole, and bytes that are no UTF-8 as they are; repeated rows are rows of their own; an empty
+table gives no rows; other columns may have any name.
 """
 
 from __future__ import annotations

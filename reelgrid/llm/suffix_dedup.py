@@ -23,7 +23,9 @@ hot ones as 64 bits), so a passage's end may reach one word too far with probabi
 Defined results: no rows give no passage; a text of any length is cut into its own
 suffixes; other columns are not read, whatever their names; words are runs of other than ASCII white space, compared as they
 are; null, empty and shorter texts have no passage; rows are documents, so repeated
-rows with one id count as two; a passage that only one row repeats is none.
+rows with one id count as two; a passage that only one row repeats is none; bytes that
+are no UTF-8 are parts of words as they are. Of equal minimisers in a window the leftmost
+counts, so ties change nothing.
 """
 
 from __future__ import annotations
