@@ -757,3 +757,36 @@ def stream_event_counts(spark: SparkSession, d: str) -> DataFrame:
     stream = streams.counts(streams.event_stream(spark, f"{d}/events.parquet*", schema))
     found = streams.drained(stream, f"{run}/table", f"{run}/checkpoint")
     return found.select(F.unix_timestamp("start").alias("day"), "event_type", "n", "total")
+
+
+def feed(rows: DataFrame, sign: float) -> DataFrame:
+    """Affinity changes of events: a page's ten stands for a topic."""
+    topic = F.expr("CAST(get_json_object(props, '$.k') AS INT) div 10").cast("string")
+    weight = F.round(F.col("value") * sign / 20, 6)
+    return rows.select("user_id", "ts", F.lit(0).alias("kind"), F.lpad(F.col("event_id").cast("string"), 20, "0").alias("place"), F.lit("topic").alias("dimension"), topic.alias("key"), weight.alias("weight"))
+
+
+@query("""WITH ev AS (SELECT user_id, ts, lpad(CAST(event_id AS VARCHAR), 20, '0') AS place, 'topic' AS dimension, CAST(CAST(json_extract_string(props, '$.k') AS INTEGER) // 10 AS VARCHAR) AS key,
+        event_type = 'error' AS bad, round(value * (CASE WHEN event_type = 'error' THEN -1.0 ELSE 1.0 END) / 20, 6) AS weight FROM events),
+    passed AS (SELECT min(last) - INTERVAL 1 DAY AS wm FROM (SELECT date_trunc('milliseconds', max(ts)) AS last FROM ev GROUP BY bad))
+    SELECT user_id, dimension, key, """ + FOLD + """ AS affinity, count(*) AS confidence FROM ev, passed WHERE ts <= wm GROUP BY ALL""")
+def live_profiles(spark: SparkSession, d: str) -> DataFrame:
+    """Two feeds, each in four arrivals that are out of order by up to a day, folded in event order."""
+    from reelgrid.sources.shared import shared_dir
+
+    run = f"{shared_dir(spark)}/live-{uuid.uuid4().hex}"
+    rows = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    first, last = rows.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
+    # a row arrives up to a day after it happened
+    arrival = F.unix_micros("ts") + F.pmod(F.xxhash64("event_id"), F.lit(86_400_000_000))
+    wave = F.least(F.lit(3), F.floor((arrival - F.lit(first)) * 4 / F.lit(max(1, (last or 0) - (first or 0) + 86_400_000_000)))).cast("int")
+    dealt = rows.withColumn("_wave", wave)
+    feeds = []
+    for name, chosen, sign in (("liked", "event_type <> 'error'", 1.0), ("refused", "event_type = 'error'", -1.0)):
+        for i in range(4):  # one file an arrival: a stream takes files by age
+            dealt.filter(chosen).filter(F.col("_wave") == i).drop("_wave").coalesce(1).write.mode("append").parquet(f"{run}/{name}")
+        stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{run}/{name}")
+        feeds.append(feed(stream, sign))
+    with streams.stores_of_state(spark):
+        found = streams.drained(streams.live_affinities(feeds, "1 day"), f"{run}/table", f"{run}/checkpoint")
+    return streams.current(found)

@@ -1,6 +1,7 @@
 """Operators on small hand-made frames, for what SQL comparison doesn't reach."""
 
 import random
+from datetime import datetime, timezone
 
 import pytest
 from pyspark.sql import functions as F
@@ -421,14 +422,38 @@ def test_search_routes_and_pipeline(spark, sf_dir):
 # streams
 
 
-def test_live_affinities_agree_with_the_batch(spark, tmp_path):
-    schema = "user_id string, ts long, dimension string, key string, weight double"
-    data = [("u", i, "genre", "g", w) for i, w in enumerate([1.0, 1.0, 1.0, 1.0, -1.0])] + [("u", 9, "genre", "h", 0.3)]
-    spark.createDataFrame(data, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = streams.live_affinities(spark.readStream.schema(schema).parquet(str(tmp_path / "in")))
-    q = stream.writeStream.outputMode("update").format("memory").queryName("live").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
-    q.awaitTermination()
-    assert rows(spark.table("live"), "key", "affinity") == [("g", 2.0), ("h", 0.3)]
+LIVE = "user_id string, ts timestamp, kind int, place string, dimension string, key string, weight double"
+
+
+def lived(spark, folder, feeds, late="10 seconds"):
+    """What live_affinities settles of feeds, each a list of arrivals (lists of user, second, place, key, weight)."""
+    parts = []
+    for n, arrivals in enumerate(feeds):
+        for arrival in arrivals:
+            found = [(u, datetime.fromtimestamp(s, timezone.utc), 0, p, "genre", k, w) for u, s, p, k, w in arrival]
+            spark.createDataFrame(found, LIVE).coalesce(1).write.mode("append").parquet(str(folder / f"in{n}"))
+        parts.append(spark.readStream.schema(LIVE).option("maxFilesPerTrigger", 1).parquet(str(folder / f"in{n}")))
+    with streams.stores_of_state(spark):
+        return streams.drained(streams.live_affinities(parts, late), str(folder / "out"), str(folder / "checkpoint"))
+
+
+def test_live_affinities_agree_with_the_batch_in_any_order_of_arrival(spark, tmp_path):
+    draw = random.Random(5)
+    happened = [(draw.choice("uv"), s, str(i), draw.choice("gh"), draw.choice([2.0, -2.0, 0.5, None])) for i, s in enumerate(sorted(draw.randrange(100, 160) for _ in range(120)))]
+    arrived = sorted(happened, key=lambda r: r[1] + draw.random() * 9)
+    arrived.append(("u", 200, "end", "g", 1.0))
+    feeds = [[arrived[i : i + 30 + j] for i in range(0, len(arrived), 30 + j)] for j in (0, 7)]
+    feeds[1] = [[(u, s, p + "b", k, w) for u, s, p, k, w in a] for a in feeds[1]]
+    settled = lived(spark, tmp_path, feeds)
+    past = [(u, s, 0, p, "genre", k, w) for f in feeds for a in f for u, s, p, k, w in a if s <= 190]
+    batch = profile.affinities(spark.createDataFrame(past, LIVE.replace("timestamp", "long")))
+    assert settled.count() > 4
+    assert rows(streams.current(settled), "user_id", "key", "affinity", "confidence") == rows(batch, "user_id", "key", "affinity", "confidence")
+
+
+def test_live_affinities_leave_out_what_comes_behind_the_watermark(spark, tmp_path):
+    got = lived(spark, tmp_path, [[[("u", 100, "a", "g", 1.0)], [("u", 150, "b", "g", 1.0)], [("u", 151, "c", "g", 0.0)], [("u", 101, "d", "g", -3.0), ("u", 200, "e", "g", 9.0)]]])
+    assert rows(streams.current(got), "affinity", "confidence") == [(2.0, 3)]
 
 
 # accounts
