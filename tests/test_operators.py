@@ -6,13 +6,15 @@ from datetime import datetime, timezone
 import pytest
 from pyspark.sql import functions as F
 
-from reelgrid.functions import documents, maths
+from reelgrid.functions import documents, maths, text
 from reelgrid.functions.ordering import rank_descending
 from reelgrid.operators import account, catalog, diversity, fusion, learning, metrics, profile, ratings, reviews, rules, scoring, vectors
 from reelgrid.plans import recommend, router, understanding
 from reelgrid.sources import readers, sinks
 from reelgrid.streaming import events as streams
 
+from . import plain_mmr
+
 
 def rows(df, *columns):
     return sorted(tuple(r) for r in df.select(*columns).collect())
@@ -96,25 +98,25 @@ def test_understanding_of_batches(spark, titles):
 
 
 def item(key, *genres):
-    return diversity.item(key, genres)
+    return plain_mmr.item(key, genres)
 
 
 def test_likeness():
-    assert diversity.similarity(item("coll:x"), item("coll:x")) == 0.97
-    assert diversity.similarity(item("stem:alien"), item("stem:aliens")) == 0.90
-    assert diversity.similarity(item("stem:toy story"), item("coll:toy stories")) == 0.0
-    assert diversity.similarity(item("stem:evil dead"), item("stem:return evil dead")) == 0.90
-    assert abs(diversity.similarity(item("stem:a", "x", "y"), item("stem:b", "y", "z")) - 0.1) < 1e-12
-    assert diversity.similarity(item("stem:a"), item("stem:b", "y")) == 0.0
+    assert plain_mmr.similarity(item("coll:x"), item("coll:x")) == 0.97
+    assert plain_mmr.similarity(item("stem:alien"), item("stem:aliens")) == 0.90
+    assert plain_mmr.similarity(item("stem:toy story"), item("coll:toy stories")) == 0.0
+    assert plain_mmr.similarity(item("stem:evil dead"), item("stem:return evil dead")) == 0.90
+    assert abs(plain_mmr.similarity(item("stem:a", "x", "y"), item("stem:b", "y", "z")) - 0.1) < 1e-12
+    assert plain_mmr.similarity(item("stem:a"), item("stem:b", "y")) == 0.0
 
 
 def test_franchises_are_capped_until_only_they_are_left():
     items = [item("coll:x"), item("coll:x"), item("coll:x"), item("stem:b", "g")]
-    assert diversity.select([0.9, 0.8, 0.7, 0.1], items, 4, 0.75, 2) == [0, 1, 3, 2]
+    assert plain_mmr.select([0.9, 0.8, 0.7, 0.1], items, 4, 0.75, 2) == [0, 1, 3, 2]
 
 
 def test_equal_scores_keep_their_order():
-    assert diversity.select([1.0, 1.0, 1.0], [item(f"stem:{c}") for c in "abc"], 3, 0.75, 2) == [0, 1, 2]
+    assert plain_mmr.select([1.0, 1.0, 1.0], [item(f"stem:{c}") for c in "abc"], 3, 0.75, 2) == [0, 1, 2]
 
 
 def test_diversified_lists(spark):
@@ -123,6 +125,31 @@ def test_diversified_lists(spark):
     assert got == [(1, 1, 10), (1, 2, 12), (2, 1, 10)]
 
 
+def test_diversified_lists_are_those_of_the_plain_version(spark):
+    draw = random.Random(3)
+    titles = ["Alien", "Aliens", "Alien: Covenant", "The Heat", "Heat 2", "Return of Evil Dead", "Evil Dead", "S", "ss", "The", "", "A b", "B a b", None, "Toy  Story"]
+    data = []
+    for q in range(60):
+        for i in range(draw.randrange(1, 40)):
+            genres = draw.choice([None, [], ["x"], ["x", "y", "x"], ["y", None], ["z"]])
+            data.append((q, i, draw.choice([None, 0.5, draw.random()]), draw.choice(titles), draw.choice([None, "", "Alien Collection", "Toys"]), genres))
+    df = spark.createDataFrame(data, "query_id long, movie_id long, final_score double, title string, collection string, genres array<string>")
+    keys = {(r.query_id, r.movie_id): r.k for r in df.select("query_id", "movie_id", text.franchise_key(F.col("collection"), F.col("title")).alias("k")).collect()}
+    for n, weight, cap in ((10, 0.75, 2), (5, 0.3, 1), (50, 1.0, 3)):
+        want = []
+        for q in range(60):
+            group = sorted((r for r in data if r[0] == q), key=lambda r: (-(r[2] or 0.0), r[1]))
+            places = plain_mmr.select([r[2] or 0.0 for r in group], [plain_mmr.item(keys[q, r[1]], r[5] or []) for r in group], n, weight, cap)
+            want += [(q, k + 1, group[p][1]) for k, p in enumerate(places)]
+        assert rows(diversity.diversified(df, n, weight, cap), "query_id", "final_rank", "movie_id") == want
+
+
+def test_diversifying_needs_no_python_worker(spark):
+    df = spark.createDataFrame([], "query_id long, movie_id long, final_score double, title string, collection string, genres array<string>")
+    plan = diversity.diversified(df)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "InArrow" not in plan
+
+
 # scores
 
 
