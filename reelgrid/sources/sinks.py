@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-import time
+import os
 import uuid
 from collections.abc import Callable
 
@@ -64,40 +64,89 @@ def table_statistics(spark: SparkSession, name: str) -> None:
     spark.sql(f"ANALYZE TABLE {name} COMPUTE STATISTICS FOR ALL COLUMNS")
 
 
+def created(spark: SparkSession, path: str, lines: list[str]) -> bool:
+    """Whether this call has made the file at path, with all lines in it; False where there was one already.
+
+    Of several callers one is told True, and nobody finds a part of a file: on a local or
+    network disk by a hard link, on HDFS by a rename that doesn't replace, elsewhere by a create
+    that doesn't, which an object store has to carry out as a conditional put.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    fs, content = target.getFileSystem(conf), "".join(f"{x}\n" for x in lines).encode()
+    scheme, aside = fs.getUri().getScheme(), f".{target.getName()}-{uuid.uuid4().hex}"
+    fs.mkdirs(target.getParent())
+    if scheme == "file":
+        own = os.path.join(target.getParent().toUri().getPath(), aside)
+        with open(own, "xb") as f:
+            f.write(content)
+        try:
+            os.link(own, target.toUri().getPath())
+        except FileExistsError:
+            return False
+        finally:
+            os.unlink(own)
+        return True
+    renames = scheme in ("hdfs", "viewfs")
+    place = jvm.org.apache.hadoop.fs.Path(target.getParent(), aside) if renames else target
+    try:
+        out = fs.create(place, False)
+        out.write(content)
+        out.close()
+        if renames:
+            rename = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+            how = spark.sparkContext._gateway.new_array(rename, 1)
+            how[0] = rename.NONE
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), conf).rename(place, target, how)
+    except Py4JJavaError:
+        if renames:
+            fs.delete(place, False)
+        if fs.exists(target):
+            return False
+        raise
+    return True
+
+
 class ProfileStore:
     """Profile documents as an append-only log of versions; the current one is the latest row of a user.
 
-    Each save is a folder with a number of its own. A saver writes its rows beside the log,
-    claims the next number by creating a file that must not exist yet, and only then moves
-    its rows in; who finds the number taken compares again with what is current by then. A
-    number whose saver was lost stays empty and holds others up for WAIT seconds.
+    Rows lie in folders that are written once and never moved. State n of the log is a file
+    that lists its folders. A saver compares with what is current, writes its rows, and asks
+    to make state n + 1, which one saver alone can (see created); the others compare again. So a saver
+    that has stalled holds nobody up, and is compared anew, or refused, when it goes on. A folder
+    that no state lists is never read.
     """
 
     SCHEMA = "user_id string, profile_json string, version long, updated_at timestamp"
-    WAIT = 30
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path
 
-    def _fs(self, path: str):
-        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
-
-    def _claimed(self) -> int:
-        """The last number that a saver has taken; its rows are there, or its saver is taken for lost."""
-        fs, p = self._fs(f"{self.path}/claims")
-        last = max((int(x.getPath().getName()) for x in fs.listStatus(p)), default=0) if fs.exists(p) else 0
-        fs, rows = self._fs(f"{self.path}/log/save={last}")
-        ends = time.monotonic() + self.WAIT
-        while last and not fs.exists(rows) and time.monotonic() < ends:
-            time.sleep(0.05)
-        return last
+    def _state(self, n: int) -> str:
+        return f"{self.path}/states/{n:012d}"
+
+    def _last(self) -> tuple[int, list[str]]:
+        """The number of the last state and its folders."""
+        jvm = self.spark.sparkContext._jvm
+        p = jvm.org.apache.hadoop.fs.Path(f"{self.path}/states")
+        fs = p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        names = [x.getPath().getName() for x in fs.listStatus(p)] if fs.exists(p) else []
+        n = max((int(x) for x in names if x.isdigit()), default=0)
+        if not n:
+            return 0, []
+        stream = fs.open(jvm.org.apache.hadoop.fs.Path(self._state(n)))
+        try:
+            return n, jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").split()
+        finally:
+            stream.close()
+
+    def _rows(self, folders: list[str]) -> DataFrame:
+        if not folders:
+            return self.spark.createDataFrame([], self.SCHEMA)
+        return self.spark.read.schema(self.SCHEMA).parquet(*[f"{self.path}/rows/{x}" for x in folders])
 
     def log(self) -> DataFrame:
-        fs, p = self._fs(f"{self.path}/log")
-        if not fs.exists(p):
-            return self.spark.createDataFrame([], self.SCHEMA)
-        return self.spark.read.schema(f"{self.SCHEMA}, save int").parquet(f"{self.path}/log").drop("save")
+        return self._rows(self._last()[1])
 
     def current(self) -> DataFrame:
         return latest(self.log(), ["user_id"], [F.col("version"), F.col("updated_at")])
@@ -105,25 +154,27 @@ class ProfileStore:
     def save(self, profiles: DataFrame) -> DataFrame:
         """Append profiles (user_id, profile_json, version as read, null if new) whose version is still current; return those that were refused."""
         while True:
-            taken = self._claimed()
+            n, folders = self._last()
             now = self.current().select("user_id", F.col("version").alias("_now"))
             compared = written(profiles.join(now, "user_id", "left").withColumn("_fresh", F.col("_now").isNull() | F.col("_now").eqNullSafe(F.col("version"))).drop("_now"), "compared")
             accepted, refused = (compared.filter(F.col("_fresh") == x).drop("_fresh") for x in (True, False))
             rows = accepted.select("user_id", "profile_json", (F.coalesce("version", F.lit(0)) + 1).alias("version"), F.current_timestamp().alias("updated_at"))
-            staged = f"{self.path}/staged/{uuid.uuid4().hex}"
-            rows.write.parquet(staged)
-            fs, claim = self._fs(f"{self.path}/claims/{taken + 1}")
-            try:
-                fs.create(claim, False).close()
-            except Py4JJavaError:  # another saver was first
-                remove(self.spark, staged)
-                continue
-            _, source = self._fs(staged)
-            _, target = self._fs(f"{self.path}/log/save={taken + 1}")
-            fs.mkdirs(target.getParent())
-            if not fs.rename(source, target):
-                raise OSError(f"{staged} can't be moved to {target}")
-            return refused
+            if self._append(rows, n, folders):
+                return refused
+
+    def _append(self, rows: DataFrame, n: int, folders: list[str]) -> bool:
+        """Whether folders and one of rows have become state n + 1."""
+        own = uuid.uuid4().hex
+        rows.write.parquet(f"{self.path}/rows/{own}")
+        if created(self.spark, self._state(n + 1), [*folders, own]):
+            return True
+        remove(self.spark, f"{self.path}/rows/{own}")
+        return False
+
+    def compact(self) -> bool:
+        """Put all folders of the log together into one, with all versions; False if a saver came between. Folders that were read stay for who still reads them."""
+        n, folders = self._last()
+        return len(folders) < 2 or self._append(self._rows(folders), n, [])
 
     def readable(self) -> tuple[DataFrame, DataFrame]:
         """Current profiles parsed, and the rows to set aside because they are no documents."""

@@ -1,6 +1,7 @@
 """Operators on small hand-made frames, for what SQL comparison doesn't reach."""
 
 import random
+from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime, timezone
 
 import pytest
@@ -332,6 +333,61 @@ def test_one_of_two_savers_of_a_version_is_refused(spark, tmp_path):
     assert rows(store.current(), "profile_json", "version") == [("other", 2)]
 
 
+def saving(profile, version):
+    return [("u", profile, version)], "user_id string, profile_json string, version long"
+
+
+def test_a_saver_that_stalls_before_its_commit_is_refused_later(spark, tmp_path):
+    store = sinks.ProfileStore(spark, str(tmp_path / "profiles"))
+    store.save(spark.createDataFrame(*saving("first", None)))
+
+    class Stalled(sinks.ProfileStore):
+        def _append(self, *found):
+            if not hasattr(self, "woken"):
+                self.woken = True
+                for version in (1, 2):  # nobody waits for the stalled saver
+                    assert store.save(spark.createDataFrame(*saving(f"other {version}", version))).count() == 0
+            return super()._append(*found)
+
+    assert rows(Stalled(spark, store.path).save(spark.createDataFrame(*saving("stalled", 1))), "profile_json") == [("stalled",)]
+    assert rows(store.current(), "profile_json", "version") == [("other 2", 3)]
+    assert rows(store.log(), "version") == [(1,), (2,), (3,)]
+
+
+def test_rows_of_a_saver_that_was_lost_are_not_read(spark, tmp_path):
+    store = sinks.ProfileStore(spark, str(tmp_path / "profiles"))
+    store.save(spark.createDataFrame(*saving("first", None)))
+    spark.createDataFrame([("u", "lost", 2)], "user_id string, profile_json string, version long").write.parquet(f"{store.path}/rows/lost")
+    assert rows(store.current(), "profile_json") == [("first",)]
+
+
+def test_of_many_savers_at_once_one_commits_each_state(spark, tmp_path):
+    path = str(tmp_path / "state")
+    with ThreadPoolExecutor(16) as pool:
+        made = list(pool.map(lambda i: sinks.created(spark, path, [str(i)] * 50), range(64)))
+    assert made.count(True) == 1
+    assert (tmp_path / "state").read_text().split() == [str(made.index(True))] * 50
+    assert [p.name for p in tmp_path.iterdir()] == ["state"]
+
+
+def test_a_log_put_together_keeps_all_versions(spark, tmp_path):
+    store = sinks.ProfileStore(spark, str(tmp_path / "profiles"))
+    for version in (None, 1, 2):
+        store.save(spark.createDataFrame(*saving(f"after {version}", version)))
+    before = rows(store.log(), *store.log().columns)
+    assert store.compact() and len(store._last()[1]) == 1
+    assert rows(store.log(), *store.log().columns) == before
+    assert store.save(spark.createDataFrame(*saving("more", 3))).count() == 0
+    assert rows(store.current(), "profile_json", "version") == [("more", 4)]
+
+
+def test_users_are_listed_newest_first(spark, tmp_path):
+    store = sinks.ProfileStore(spark, str(tmp_path / "profiles"))
+    for name, seen in (("u", "[1]"), ("v", "[1, 2]"), ("w", "[]")):
+        store.save(spark.createDataFrame([(name, f'{{"user_id": "{name}", "watch_history": {seen}}}', None)], "user_id string, profile_json string, version long"))
+    assert [(r.user_id, r.num_watched) for r in store.summaries().collect()] == [("w", 0), ("v", 2), ("u", 1)]
+
+
 def test_presets(spark):
     p = spark.createDataFrame([("u", "a", True), ("u", "b", False), ("w", "a", True)], "user_id string, name string, is_active boolean")
     chosen = lambda *x: spark.createDataFrame(x, "user_id string, name string")
