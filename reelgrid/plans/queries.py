@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from reelgrid.functions import documents, maths, text
 from reelgrid.operators import catalog, diversity, fusion, lambdarank, learning, lexical, metrics, profile, reviews, rules, scoring, vectors
 from reelgrid.operators import ratings as R
+from reelgrid.operators.maintained import Maintained
 from reelgrid.operators.vector_index import VectorIndex, recall
 from reelgrid.sources.shared import fresh, once
 from reelgrid.streaming import events as streams
@@ -157,6 +158,28 @@ def similar_items(spark: SparkSession, d: str) -> DataFrame:
     return rules.associated(source, found, m, 10, comedy="PROMO").select("movie_id", "title", "support", "confidence", "lift")
 
 
+def followed(spark: SparkSession, d: str) -> Maintained:
+    """The ratings of all lines, which arrive in three batches, in no order of time."""
+    store = Maintained(spark, fresh(spark, "maintained"), shards=32)
+    o = table(spark, d, "orders").select("o_orderkey", "o_custkey")
+    lines = table(spark, d, "lineitem").join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+    at = F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice")
+    rows = lines.select(F.col("o_custkey").alias("user_id"), F.col("l_partkey").alias("movie_id"), (F.ceil(F.col("l_quantity") / 5) * F.lit(0.5)).alias("rating"), at.alias("at"), F.pmod(F.xxhash64("l_orderkey", "l_linenumber"), F.lit(20)).alias("_b"))
+    for batch in ("_b < 18", "_b = 18", "_b = 19"):
+        store.update(rows.filter(batch))
+    return store
+
+
+@query(tables("ratings", "stats0") + " SELECT * FROM stats0")
+def followed_stats(spark: SparkSession, d: str) -> DataFrame:
+    return followed(spark, d).movie_stats()
+
+
+@query(tables("ratings", "movies") + f", {rule_sql('movie_id', 2)} SELECT * FROM rules")
+def followed_rules(spark: SparkSession, d: str) -> DataFrame:
+    return followed(spark, d).association_rules(min_support=2)
+
+
 # Merging and matching
 
 

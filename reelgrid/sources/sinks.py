@@ -107,26 +107,22 @@ def created(spark: SparkSession, path: str, lines: list[str]) -> bool:
     return True
 
 
-class ProfileStore:
-    """Profile documents as an append-only log of versions; the current one is the latest row of a user.
+class States:
+    """A table that grows by folders: state n is a file that lists them, made by one writer alone (see created).
 
-    Rows lie in folders that are written once and never moved. State n of the log is a file
-    that lists its folders. A saver compares with what is current, writes its rows, and asks
-    to make state n + 1, which one saver alone can (see created); the others compare again. So a saver
-    that has stalled holds nobody up, and is compared anew, or refused, when it goes on. A folder
-    that no state lists is never read.
+    A writer reads the last state, writes a folder beside those it lists, and asks to make the
+    next state; who comes second starts again. So a writer that has stalled holds nobody up and
+    can't override anybody when it goes on. A folder that no state lists is never read.
     """
 
-    SCHEMA = "user_id string, profile_json string, version long, updated_at timestamp"
-
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path
 
-    def _state(self, n: int) -> str:
+    def _file(self, n: int) -> str:
         return f"{self.path}/states/{n:012d}"
 
-    def _last(self) -> tuple[int, list[str]]:
-        """The number of the last state and its folders."""
+    def last(self) -> tuple[int, list[str]]:
+        """The number of the last state, 0 if there is none, and its folders."""
         jvm = self.spark.sparkContext._jvm
         p = jvm.org.apache.hadoop.fs.Path(f"{self.path}/states")
         fs = p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
@@ -134,19 +130,44 @@ class ProfileStore:
         n = max((int(x) for x in names if x.isdigit()), default=0)
         if not n:
             return 0, []
-        stream = fs.open(jvm.org.apache.hadoop.fs.Path(self._state(n)))
+        stream = fs.open(jvm.org.apache.hadoop.fs.Path(self._file(n)))
         try:
             return n, jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").split()
         finally:
             stream.close()
 
+    def append(self, write: Callable[[str], None], n: int, folders: list[str]) -> bool:
+        """Whether folders and one more, which write fills, have become state n + 1."""
+        own = uuid.uuid4().hex
+        write(self.paths([own])[0])
+        if created(self.spark, self._file(n + 1), [*folders, own]):
+            return True
+        remove(self.spark, *self.paths([own]))
+        return False
+
+    def paths(self, folders: list[str]) -> list[str]:
+        return [f"{self.path}/rows/folder={x}" for x in folders]
+
+
+class ProfileStore:
+    """Profile documents as an append-only log of versions; the current one is the latest row of a user.
+
+    Each save is a folder of States. A saver whose state was made by another in the meantime
+    compares again with what is current by then.
+    """
+
+    SCHEMA = "user_id string, profile_json string, version long, updated_at timestamp"
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path, self.states = spark, path, States(spark, path)
+
     def _rows(self, folders: list[str]) -> DataFrame:
         if not folders:
             return self.spark.createDataFrame([], self.SCHEMA)
-        return self.spark.read.schema(self.SCHEMA).parquet(*[f"{self.path}/rows/{x}" for x in folders])
+        return self.spark.read.schema(self.SCHEMA).parquet(*self.states.paths(folders))
 
     def log(self) -> DataFrame:
-        return self._rows(self._last()[1])
+        return self._rows(self.states.last()[1])
 
     def current(self) -> DataFrame:
         return latest(self.log(), ["user_id"], [F.col("version"), F.col("updated_at")])
@@ -154,27 +175,18 @@ class ProfileStore:
     def save(self, profiles: DataFrame) -> DataFrame:
         """Append profiles (user_id, profile_json, version as read, null if new) whose version is still current; return those that were refused."""
         while True:
-            n, folders = self._last()
+            n, folders = self.states.last()
             now = self.current().select("user_id", F.col("version").alias("_now"))
             compared = written(profiles.join(now, "user_id", "left").withColumn("_fresh", F.col("_now").isNull() | F.col("_now").eqNullSafe(F.col("version"))).drop("_now"), "compared")
             accepted, refused = (compared.filter(F.col("_fresh") == x).drop("_fresh") for x in (True, False))
             rows = accepted.select("user_id", "profile_json", (F.coalesce("version", F.lit(0)) + 1).alias("version"), F.current_timestamp().alias("updated_at"))
-            if self._append(rows, n, folders):
+            if self.states.append(rows.write.parquet, n, folders):
                 return refused
 
-    def _append(self, rows: DataFrame, n: int, folders: list[str]) -> bool:
-        """Whether folders and one of rows have become state n + 1."""
-        own = uuid.uuid4().hex
-        rows.write.parquet(f"{self.path}/rows/{own}")
-        if created(self.spark, self._state(n + 1), [*folders, own]):
-            return True
-        remove(self.spark, f"{self.path}/rows/{own}")
-        return False
-
     def compact(self) -> bool:
         """Put all folders of the log together into one, with all versions; False if a saver came between. Folders that were read stay for who still reads them."""
-        n, folders = self._last()
-        return len(folders) < 2 or self._append(self._rows(folders), n, [])
+        n, folders = self.states.last()
+        return len(folders) < 2 or self.states.append(self._rows(folders).write.parquet, n, [])
 
     def readable(self) -> tuple[DataFrame, DataFrame]:
         """Current profiles parsed, and the rows to set aside because they are no documents."""

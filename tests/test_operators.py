@@ -341,15 +341,19 @@ def test_a_saver_that_stalls_before_its_commit_is_refused_later(spark, tmp_path)
     store = sinks.ProfileStore(spark, str(tmp_path / "profiles"))
     store.save(spark.createDataFrame(*saving("first", None)))
 
-    class Stalled(sinks.ProfileStore):
-        def _append(self, *found):
-            if not hasattr(self, "woken"):
+    class Stalled(sinks.States):
+        woken = False
+
+        def append(self, *found):
+            if not self.woken:
                 self.woken = True
                 for version in (1, 2):  # nobody waits for the stalled saver
                     assert store.save(spark.createDataFrame(*saving(f"other {version}", version))).count() == 0
-            return super()._append(*found)
+            return super().append(*found)
 
-    assert rows(Stalled(spark, store.path).save(spark.createDataFrame(*saving("stalled", 1))), "profile_json") == [("stalled",)]
+    late = sinks.ProfileStore(spark, store.path)
+    late.states = Stalled(spark, store.path)
+    assert rows(late.save(spark.createDataFrame(*saving("stalled", 1))), "profile_json") == [("stalled",)]
     assert rows(store.current(), "profile_json", "version") == [("other 2", 3)]
     assert rows(store.log(), "version") == [(1,), (2,), (3,)]
 
@@ -375,7 +379,7 @@ def test_a_log_put_together_keeps_all_versions(spark, tmp_path):
     for version in (None, 1, 2):
         store.save(spark.createDataFrame(*saving(f"after {version}", version)))
     before = rows(store.log(), *store.log().columns)
-    assert store.compact() and len(store._last()[1]) == 1
+    assert store.compact() and len(store.states.last()[1]) == 1
     assert rows(store.log(), *store.log().columns) == before
     assert store.save(spark.createDataFrame(*saving("more", 3))).count() == 0
     assert rows(store.current(), "profile_json", "version") == [("more", 4)]
