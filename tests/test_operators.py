@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from reelgrid.functions import documents, maths, text
 from reelgrid.functions.ordering import rank_descending
 from reelgrid.operators import account, catalog, diversity, fusion, learning, metrics, profile, ratings, reviews, rules, scoring, vectors
-from reelgrid.plans import recommend, router, understanding
+from reelgrid.plans import adapters, recommend, router, understanding
 from reelgrid.sources import readers, sinks
 from reelgrid.streaming import events as streams
 
@@ -603,3 +603,14 @@ def test_sample_of_users(spark):
     assert got == {r["user_id"]: r["part"] for r in learning.sampled_users(users.orderBy(F.desc("user_id")).repartition(5), 60, 20).collect()}
     order = [r[0] for r in users.orderBy(F.xxhash64(F.col("user_id").cast("string"), F.lit(42)), "user_id").collect()]
     assert got == {u: "train" if i < 60 else "eval" for i, u in enumerate(order[:80])}
+
+
+def test_exploded_terms_are_not_broadcast(spark, sf_dir):
+    """A part's file looks small whatever it is exploded to; no join may take it whole through the driver."""
+    rows = adapters.events(spark, sf_dir)
+    terms = profile.movie_terms(adapters.movies(spark, sf_dir))
+    pairs = adapters.ratings(spark, sf_dir).select("user_id", "movie_id")
+    boosts = profile.term_boosts(pairs, terms, profile.affinities(rows))
+    for df in (rows, boosts, pairs.join(adapters.movies(spark, sf_dir), "movie_id")):
+        joins = [x for x in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in x]
+        assert joins and not any("Broadcast" in x and "movie_id" in x for x in joins)
