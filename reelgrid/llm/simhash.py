@@ -200,6 +200,16 @@ def deduplicated(docs: DataFrame, width: int, radius: int) -> DataFrame:
     return rows.join(first.select("_row"), "_row", "left_semi").select("_doc.*")
 
 
+def row_pairs(rows: DataFrame, radius: int) -> DataFrame:
+    """Pairs a < b of _row in rows (_row, fp) that hold every component of linked fingerprints together: copies of a fingerprint to its smallest row, and the smallest rows along its links."""
+    ids = common.written(rows.groupBy("fp").agg(F.min("_row").alias("first"), F.count(F.lit(1)).alias("n")), "ids")
+    copies = common.spread_join(rows, ids, "fp", "n", "_row").filter("_row > first").select(F.col("first").alias("a"), F.col("_row").alias("b"))
+    found = edges(ids.select("fp"), radius)
+    of = lambda c: ids.select(F.col("fp").alias(c), F.col("first").alias(f"row_{c}"))
+    met = found.join(of("a"), "a").join(of("b"), "b")
+    return copies.unionByName(met.select(F.least("row_a", "row_b").alias("a"), F.greatest("row_a", "row_b").alias("b")))
+
+
 def report(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFrame:
     found = near_duplicates(docs, width, radius)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -87,3 +87,19 @@ def test_crowded_buckets_lose_no_near_copy(spark, sf_dir):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     left = {x.doc_id for x in corpus_pipeline.STAGES[2][1](spark, docs, sf_dir).collect()}
     assert left == {d for d, _ in rows} - gone
+
+
+def test_the_near_duplicate_stage_links_by_simhash(spark, monkeypatch):
+    """Near copies within 4 bits are dropped without any MinHash candidate; what SimHash links and texts don't bear out stays."""
+    from reelgrid.llm import minhash, simhash
+
+    base = [f"w{i}" for i in range(400)]
+    rows = [(0, " ".join(base)), (1, " ".join([*base[:399], "other"])), (2, " ".join(f"v{i}" for i in range(400)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.component_id for r in simhash.report(docs).collect()} == {0, 2}
+    monkeypatch.setattr(minhash, "candidates", lambda r: spark.createDataFrame([], "a long, b long"))
+    assert corpus_pipeline.STAGES[2][0] == "simhash_dedup"
+    assert {x.doc_id for x in corpus_pipeline.STAGES[2][1](spark, docs, "").collect()} == {0, 2}
+    apart = spark.createDataFrame([(0, "a b c d"), (1, "e f g h")], "doc_id long, text string")
+    monkeypatch.setattr(simhash, "fingerprint", lambda raw, width: 7)
+    assert corpus_pipeline.STAGES[2][1](spark, apart, "").count() == 2
