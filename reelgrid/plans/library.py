@@ -79,7 +79,7 @@ class Library:
         rated, tagged = self.tables["ratings"], self.tables["user_tags"]
         if user is not None:
             rated, tagged = (x.filter(F.col("user_id") == user) for x in (rated, tagged))
-        return profile.affinities(profile.rating_events(rated, profile.movie_terms(self.movies())).unionByName(profile.tag_events(tagged)))
+        return profile.rated_affinities(rated, profile.movie_terms(self.movies()), tagged)
 
     def person(self, user: str, slider: float = 0.7, dealbreakers: list[str] | None = None) -> recommend.Person:
         seen = profile.watched(*(self.tables[n].filter(F.col("user_id") == user) for n in ("ratings", "user_tags")))

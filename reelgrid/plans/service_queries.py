@@ -9,7 +9,7 @@ from reelgrid.functions import documents, maths, text
 from reelgrid.operators import account, catalog, folds, fusion, learning, metrics, profile, reviews, vectors
 
 from . import router, understanding
-from .adapters import events, movies, ratings, stats, table
+from .adapters import movies, ratings, stats, table
 from .queries import D, EVALUATED, FOLD, MOVIES_RATED, PROFILES, T, WEIGHTED, affinity, brand_likes, query, tables, test_pool
 
 
@@ -288,7 +288,7 @@ def user_tags(spark: SparkSession, d: str) -> DataFrame:
     SELECT user_id, dimension, key, {FOLD.replace("ORDER BY ts, place, weight", "ORDER BY ts, kind, place, weight")} AS affinity, count(*) AS confidence FROM mingled GROUP BY ALL""")
 def tagged_profile(spark: SparkSession, d: str) -> DataFrame:
     """Affinities after ratings and tags in their order; of the same second ratings come first."""
-    return profile.affinities(events(spark, d).unionByName(profile.tag_events(user_tags(spark, d))))
+    return profile.rated_affinities(ratings(spark, d), profile.movie_terms(movies(spark, d)), user_tags(spark, d))
 
 
 @query("""SELECT c_custkey AS user_id, 'genre' AS dimension, c_mktsegment AS key, 0.8::DOUBLE AS affinity, 3 AS confidence FROM customer UNION ALL SELECT c_custkey, 'era', '1990s', 0.8::DOUBLE, 1 FROM customer UNION ALL SELECT c_custkey, 'language', 'ko', 0.8::DOUBLE, 1 FROM customer WHERE c_nationkey > 10""")

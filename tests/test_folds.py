@@ -73,3 +73,19 @@ def test_long_histories_of_profiles(spark):
     events = [(1, t, 0, f"m{t}", "genre", r.choice(["war", "war", "war", "art"]), r.choice([1.0, -0.5, 0.25])) for t in range(200)]
     df = spark.createDataFrame(events, "user_id long, ts long, kind int, place string, dimension string, key string, weight double")
     assert sorted(map(tuple, profile.affinities(df, most=10).collect())) == sorted(map(tuple, profile.affinities(df).collect()))
+
+
+@pytest.mark.parametrize("most", [None, 30])
+def test_rated_affinities_are_those_of_events(spark, most):
+    """Lists of terms folded for each user: nulls, ties of time, terms twice, tags, and users whose history is too long for a row."""
+    r = random.Random(7)
+    ratings = spark.createDataFrame([(r.choice([1, 2, 3, None]), m % 25, r.choice([None, 1.0, 2.0, 4.5, 5.0]), r.choice([None, *range(9)])) for m in range(90)] + [(9, m % 25, 5.0, m) for m in range(60)], "user_id long, movie_id long, rating double, rated_at long")
+    terms = spark.createDataFrame([(m, d, k) for m in range(20) for d, k in (("genre", f"g{m % 3}"), ("tag", f"t{m % 4}"), ("tag", f"t{m % 2}"), ("theme", "x"))], "movie_id long, dimension string, key string")
+    tags = spark.createDataFrame([(r.choice([1, 4, None]), i % 5, r.choice(["t1", "g1", None]), r.choice([None, 2, 3])) for i in range(40)], "user_id long, movie_id long, tag string, tagged_at long")
+    for t in (None, tags):
+        events = profile.rating_events(ratings, terms)
+        want = profile.affinities(events if t is None else events.unionByName(profile.tag_events(t)))
+        got = profile.rated_affinities(ratings, terms, t, most=most)
+        assert got.dtypes == want.dtypes
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert profile.rated_affinities(ratings.limit(0), terms).count() == 0
