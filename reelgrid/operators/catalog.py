@@ -80,12 +80,16 @@ def banded_match(rows: DataFrame, candidates: DataFrame, offsets: tuple[int, ...
 
 
 def strict_else_relaxed(rows: DataFrame, candidates: DataFrame) -> DataFrame:
-    """rows (id, title, year) with the candidate_id that agrees in title and year, else in title alone; the smallest id of several."""
-    left = rows.select("id", text.normalised_title(F.col("title")).alias("_t"), F.col("year").alias("_y"))
-    right = candidates.select("candidate_id", text.normalised_title(F.col("title")).alias("_t"), F.col("year").alias("_cy"))
-    best = right.groupBy("_t", "_cy").agg(F.min("candidate_id").alias("candidate_id"))
-    hits = left.join(best, "_t").groupBy("id").agg(F.min(F.struct((~F.col("_y").eqNullSafe(F.col("_cy"))).alias("relaxed"), "candidate_id")).alias("h"))
-    return rows.join(hits.select("id", F.col("h.candidate_id").alias("candidate_id"), F.col("h.relaxed").alias("relaxed")), "id", "left")
+    """rows (id, title, year) with the candidate_id that agrees in title and year, else in title alone; the smallest id of several.
+
+    A row meets at most one candidate of its title and year and one of its title, whatever number a title has.
+    """
+    keyed = rows.withColumns({"_t": text.normalised_title(F.col("title")), "_y": F.col("year")})
+    strict = candidates.select("candidate_id", text.normalised_title(F.col("title")).alias("_st"), F.col("year").alias("_sy")).groupBy("_st", "_sy").agg(F.min("candidate_id").alias("_strict"))
+    loose = strict.groupBy(F.col("_st").alias("_lt")).agg(F.min("_strict").alias("_loose"))
+    met = keyed.join(strict, (F.col("_t") == F.col("_st")) & F.col("_y").eqNullSafe(F.col("_sy")), "left").join(loose, F.col("_t") == F.col("_lt"), "left")
+    relaxed = F.when(F.col("_strict").isNotNull(), False).when(F.col("_loose").isNotNull(), True)
+    return met.select(*rows.columns, F.coalesce("_strict", "_loose").alias("candidate_id"), relaxed.alias("relaxed"))
 
 
 def without_credits(movies: DataFrame) -> DataFrame:
