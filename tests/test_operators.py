@@ -5,9 +5,10 @@ from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime, timezone
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from reelgrid.functions import documents, maths, text
+from reelgrid.functions import documents, maths, ordering, text
 from reelgrid.functions.ordering import rank_descending
 from reelgrid.operators import account, catalog, diversity, fusion, learning, metrics, profile, ratings, reviews, rules, scoring, vectors
 from reelgrid.plans import adapters, recommend, router, understanding
@@ -614,3 +615,20 @@ def test_exploded_terms_are_not_broadcast(spark, sf_dir):
     for df in (rows, boosts, pairs.join(adapters.movies(spark, sf_dir), "movie_id")):
         joins = [x for x in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in x]
         assert joins and not any("Broadcast" in x and "movie_id" in x for x in joins)
+
+
+def test_a_title_of_many_years_meets_each_row_once(spark):
+    """Rows are matched one by one, also those of one id, and no row is paired with all years of its title."""
+    c = spark.createDataFrame([(y, "The Red Ring", 1900 + y) for y in range(50)] + [(70, "Red Ring", None), (80, "Blue Bolt", 1950)], "candidate_id long, title string, year int")
+    r = spark.createDataFrame([(1, "red ring", 1907), (1, "blue bolt", 1999), (2, "red ring", 1800), (None, "red ring", 1949), (4, "red ring", None), (5, "gone", 1907), (6, None, 1907)], "id long, title string, year int")
+    got = sorted(((x.id, x.title, x.year, x.candidate_id, x.relaxed) for x in catalog.strict_else_relaxed(r, c).collect()), key=str)
+    assert got == sorted([(1, "red ring", 1907, 7, False), (1, "blue bolt", 1999, 80, True), (2, "red ring", 1800, 0, True), (None, "red ring", 1949, 49, False), (4, "red ring", None, 70, False), (5, "gone", 1907, None, None), (6, None, 1907, None, None)], key=str)
+
+
+def test_latest_carries_named_columns_once(spark):
+    """A column that the order names isn't kept beside itself, in results the same."""
+    df = spark.createDataFrame([(1, 2, "a", 5), (1, 3, "b", 4), (1, 3, "c", 4), (2, None, "d", 1), (None, 1, "e", 2)], "k long, at long, x string, n long")
+    named, free = ordering.latest(df, ["k"], ["at", "n"]), ordering.latest(df, ["k"], [F.col("at"), F.col("n")])
+    assert named.columns == df.columns
+    assert sorted(map(str, named.collect())) == sorted(map(str, free.collect())) == sorted(map(str, [Row(k=1, at=3, x="c", n=4), Row(k=2, at=None, x="d", n=1), Row(k=None, at=1, x="e", n=2)]))
+    assert ordering.latest(df.select("k", "at"), ["k"], ["at"]).count() == 3
