@@ -78,7 +78,10 @@ def service_changes(answers: DataFrame, movies: DataFrame) -> DataFrame:
     def entries(name: str, place: int, delta):
         return F.transform(F.coalesce(name, none), lambda x: F.struct(F.lit(place).alias("p"), F.lower(F.trim(x)).alias("key"), delta.alias("weight")))
 
-    words = d.select("user_id", "movie_id", "ts", F.explode(F.concat(*[entries(n, i, w) for i, (n, w) in enumerate(kinds)])).alias("e")).select("user_id", "movie_id", "ts", "e.*").filter("key <> ''")
+    # an answer's later words on an aspect are dropped in its row, before they are sorted with all others
+    said = d.select("user_id", "movie_id", "ts", F.filter(F.concat(*[entries(n, i, w) for i, (n, w) in enumerate(kinds)]), lambda x: x["key"] != "").alias("said"))
+    once = F.filter("said", lambda x, i: F.array_position(F.transform("said", lambda y: y["key"]), x["key"]) == i + 1)
+    words = said.select("user_id", "movie_id", "ts", F.explode(once).alias("e")).select("user_id", "movie_id", "ts", "e.*")
     first = words.groupBy("user_id", "movie_id", "ts", "key").agg(F.min_by("weight", "p").alias("weight")).withColumn("dimension", F.lit("tag"))
     people = d.filter(F.col("director_sentiment").isNotNull()).join(movies.select("movie_id", F.explode(F.array_distinct("directors")).alias("key")), "movie_id")
     directors = people.select("user_id", "movie_id", "ts", "key", (F.col("director_sentiment") * 0.8 * F.col("_sure")).alias("weight"), F.lit("director").alias("dimension"))
