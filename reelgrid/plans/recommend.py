@@ -1,7 +1,8 @@
 """The whole way of a query: route, or retrieve, fuse, hydrate, rerank, score and diversify.
 
-Everything from the lanes to the final scores is one lazy plan; queries come in batches
-as rows, and a single query is a batch of one.
+Queries come in batches as rows, and a single query is a batch of one. What the lanes find, and what
+it scores, is written, a few hundred rows a query: later steps read either several times, and a plan that
+repeated all before it would outgrow the driver.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from reelgrid.functions import maths, text
 from reelgrid.operators import catalog, diversity, fusion, lexical, profile, scoring, vectors
+from reelgrid.sources.shared import written
 
 from .router import answer, route
 from .understanding import Understanding, Understood
@@ -68,8 +70,11 @@ def passages(candidates: DataFrame) -> DataFrame:
 def personalised(candidates: DataFrame, user: str, person: Person, terms: DataFrame) -> DataFrame:
     """candidates with profile_boost, is_watched and likes_era of the user."""
     rows = candidates.withColumn("user_id", F.lit(user).cast(dict(person.affinity.dtypes)["user_id"]))
-    boosts = profile.profile_boost(rows.select("user_id", "movie_id").distinct(), terms, person.affinity, person.watched, person.dealbreakers, person.weights)
-    eras = person.affinity.filter((F.col("dimension") == "era") & (F.col("affinity") > 0)).select("user_id", F.col("key").alias("_era"), F.lit(True).alias("likes_era"))
+    # all joins below ask for the user; tables of many users aren't shuffled for one
+    mine = lambda df: None if df is None else df.filter(F.col("user_id") == F.lit(user))
+    affinity = mine(person.affinity)
+    boosts = profile.profile_boost(rows.select("user_id", "movie_id").distinct(), terms, affinity, mine(person.watched), mine(person.dealbreakers), person.weights)
+    eras = affinity.filter((F.col("dimension") == "era") & (F.col("affinity") > 0)).select("user_id", F.col("key").alias("_era"), F.lit(True).alias("likes_era"))
     rows = rows.join(boosts, ["user_id", "movie_id"], "left").withColumn("_era", maths.era(F.col("year")))
     rows = rows.join(eras, ["user_id", "_era"], "left")
     return rows.withColumn("likes_era", F.coalesce("likes_era", F.lit(False))).drop("_era", "user_id")
@@ -83,6 +88,7 @@ def semantic(query: Understood, c: Catalogue, user: str, person: Person, top: in
     found = catalog.hydrate(hits, c.movies, c.stats, c.cards).withColumn("query", F.lit(query.raw_query))
     if "directors" in c.movies.columns and "directors" not in found.columns:
         found = found.join(c.movies.select("movie_id", *[x for x in ("directors", "top_tags", "collection") if x in c.movies.columns and x not in found.columns]), "movie_id", "left")
+    found = written(found, "candidates")
     scores = (reranked or fusion.lexical_rerank)(passages(found))
     ready = fusion.with_rerank(found.withColumnRenamed("movie_id", "item_id"), scores).withColumnRenamed("item_id", "movie_id")
     terms = profile.movie_terms(ready.dropDuplicates(["movie_id"]))
@@ -91,7 +97,7 @@ def semantic(query: Understood, c: Catalogue, user: str, person: Person, top: in
         "matched_genres": F.array(*[F.lit(g) for g in query.genres]).cast("array<string>"), "genre_strictness": F.lit(query.genre_strictness), "is_obscure": F.lit(query.is_obscure),
         "demonym_lang": F.lit(lang).cast("string"), "demonym_country": F.lit(country).cast("string"),
     })
-    return chosen(scoring.semantic(mine, person.slider, include_watched), top)
+    return chosen(written(scoring.semantic(mine, person.slider, include_watched), "scored"), top)
 
 
 def chosen(scored: DataFrame, top: int) -> DataFrame:
@@ -107,7 +113,7 @@ def direct(rows: DataFrame, user: str, person: Person, top: int) -> DataFrame:
     place = F.row_number().over(W.partitionBy("query_id").orderBy(*order, "movie_id"))  # a list of the router's limit
     found = found.withColumn("place", place).withColumns({c: F.lit(None).cast("double") for c in ("lift", "confidence") if c not in found.columns})
     mine = personalised(found, user, person, profile.movie_terms(found)).withColumn("user_id", F.lit(user))
-    return chosen(scoring.fast_path(mine, person.slider), top)
+    return chosen(written(scoring.fast_path(mine, person.slider), "scored"), top)
 
 
 def search(query: str, c: Catalogue, user: str, person: Person, understanding: Understanding, top: int = 10, **limits) -> DataFrame:
