@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from reelgrid.operators import folds, profile
 
@@ -89,3 +90,16 @@ def test_rated_affinities_are_those_of_events(spark, most):
         assert got.dtypes == want.dtypes
         assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
     assert profile.rated_affinities(ratings.limit(0), terms).count() == 0
+
+
+def test_shared_boosts_are_those_of_pairs(spark):
+    r = random.Random(3)
+    users = spark.createDataFrame([(u,) for u in [*range(6), None]], "user_id long")
+    lists = spark.createDataFrame([(q, m) for q in range(2) for m in range(q, 8, q + 1)], "list_id long, movie_id long")
+    terms = spark.createDataFrame([(m, d, k) for m in range(9) for d, k in (("genre", f"g{m % 3}"), ("director", f"d{m % 2}"), ("tag", f"t{m % 4}"), ("tag", f"t{m % 2}"))], "movie_id long, dimension string, key string")
+    affinity = spark.createDataFrame([(u, d, k, r.choice([-1.5, 0.25, 2.0]), r.choice([1, 3])) for u in range(7) for d, k in (("genre", "g0"), ("director", "d1"), ("tag", "t1"), ("era", "x")) if r.random() < 0.8], "user_id long, dimension string, key string, affinity double, confidence long")
+    watched = spark.createDataFrame([(1, 1), (2, 0), (3, 8), (7, 1)], "user_id long, movie_id long")
+    list_of = F.pmod("user_id", F.lit(2)).cast("long")
+    pairs = users.withColumn("list_id", list_of).join(lists, "list_id").select("user_id", "movie_id")
+    want, got = profile.profile_boost(pairs, terms, affinity, watched), profile.shared_boosts(users, lists, list_of, terms, affinity, watched)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() > 30
