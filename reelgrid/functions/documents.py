@@ -61,19 +61,26 @@ def profile_document(fields: dict[str, Column]) -> Column:
 
 
 def parsed_profile(document: Column) -> Column:
-    """A profile document with every missing list and map empty and the slider at 0.7; null if it is no JSON object."""
-    raw = F.from_json(document, PROFILE, {"mode": "PERMISSIVE"})
+    """A profile document with every missing list and map empty and the slider at 0.7; null if it is no JSON object.
+
+    Fields are taken inside a function of the parsed document: outside, each of them would parse the text again.
+    """
     empty = lambda kind: F.from_json(F.lit("[]" if kind.startswith("array") else "{}"), kind)
-    parts = []
-    for field in PROFILE.split(", "):
-        name, kind = field.split(" ", 1)
-        value = raw.getField(name)
-        if name == "lambda":
-            value = F.coalesce(value, F.lit(0.7))
-        elif kind != "string":
-            value = F.coalesce(value, empty(kind))
-        parts.append(value.alias(name))
-    return F.when(is_document(document), F.struct(*parts))
+
+    def filled(raw: Column) -> Column:
+        parts = []
+        for field in PROFILE.split(", "):
+            name, kind = field.split(" ", 1)
+            value = raw.getField(name)
+            if name == "lambda":
+                value = F.coalesce(value, F.lit(0.7))
+            elif kind != "string":
+                value = F.coalesce(value, empty(kind))
+            parts.append(value.alias(name))
+        return F.struct(*parts)
+
+    raw = F.from_json(document, PROFILE, {"mode": "PERMISSIVE"})
+    return F.when(is_document(document), F.get(F.transform(F.array(raw), filled), F.lit(0)))
 
 
 def is_document(document: Column) -> Column:

@@ -245,7 +245,9 @@ def profile_merge(spark: SparkSession, d: str) -> DataFrame:
         fields = {"watch_history": watched, "genre_affinity": F.create_map(genre, F.lit(value)), "query_history": asked}
         return documents.parsed_profile(F.to_json(F.struct(*[v.alias(k) for k, v in fields.items()])))
 
-    c = table(spark, d, "customer").select(
+    # a small file is one task, whatever is done to its rows
+    users = table(spark, d, "customer").select("c_custkey", "c_nationkey").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    c = users.select(
         F.col("c_custkey").alias("user_id"), version(F.array(F.lit(1), n), F.lit("1"), 1.0, queries(n, 40)).alias("fresh"), version(F.array(F.lit(2), n), n.cast("string"), 2.0, queries(n + 30, 30)).alias("local")
     )
     merged = sinks.merged_profile(F.col("fresh"), F.col("local"))

@@ -118,3 +118,13 @@ def test_service_answers(spark, value):
     assert value(documents.us_certification(results)) == "R"
     packed = spark.createDataFrame([([1.0, -2.5],), (None,)], "v array<float>").select(documents.packed_vector(F.col("v")).alias("b"))
     assert [r[0] for r in packed.select(documents.unpacked_vector(F.col("b"))).collect()] == [[1.0, -2.5], None]
+
+
+def test_profile_is_parsed_once(spark, sf_dir):
+    """Each field of a profile would parse the whole text again; and the rows of a small file are dealt over tasks."""
+    from reelgrid.plans import file_queries
+
+    df = spark.createDataFrame([('{"watch_history": [1], "genre_affinity": {"1": 2.0}}',), ("[1]",), (None,)], "t string").select(documents.parsed_profile(F.col("t")).alias("p"))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
+    assert [r.p and (r.p.watch_history, r.p.genre_affinity, r.p.watchlist, r.p["lambda"], r.p.user_id) for r in df.collect()] == [([1], {"1": 2.0}, [], 0.7, None), None, None]
+    assert "RoundRobinPartitioning" in file_queries.profile_merge(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
