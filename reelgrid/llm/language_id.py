@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import sys
 import unicodedata
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
@@ -29,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import ArrowUDFType
 
 from . import common
 
@@ -66,12 +68,40 @@ def counts(text: str) -> np.ndarray:
     return out
 
 
+def weighted(at: np.ndarray, n: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """Weights of the unit TF-IDF vector with n n-grams in the columns at."""
+    x = ((1 + np.log(n)) * idf[at]).astype(np.float32)
+    return x / max(float(np.sqrt(x @ x)), 1e-12)
+
+
 def features(text: str, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Columns and weights of the text's unit TF-IDF vector."""
     n = counts(text)
     at = np.flatnonzero(n)
-    x = ((1 + np.log(n[at])) * idf[at]).astype(np.float32)
-    return at, x / max(float(np.sqrt(x @ x)), 1e-12)
+    return at, weighted(at, n[at], idf)
+
+
+def packed(text: str) -> bytes:
+    """The text's columns and counts, compressed: a quarter of its vector, because steps between columns and counts are small."""
+    n = counts(text)
+    at = np.flatnonzero(n)
+    return zlib.compress(np.diff(at, prepend=0).astype("<u2").tobytes() + n[at].astype("<i8").tobytes())
+
+
+class Rows:
+    """Vectors of packed texts, each unpacked when it is asked for."""
+
+    def __init__(self, texts: list[bytes], idf: np.ndarray) -> None:
+        self.texts, self.idf = texts, idf
+
+    def __len__(self) -> int:
+        return len(self.texts)
+
+    def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        raw = zlib.decompress(self.texts[i])
+        size = len(raw) // 10
+        at = np.cumsum(np.frombuffer(raw, "<u2", size), dtype=np.int64)
+        return at.astype("<u2"), weighted(at, np.frombuffer(raw, "<i8", size, 2 * size), self.idf)
 
 
 @dataclass
@@ -93,7 +123,7 @@ class Model:
         return self.languages[best], float(p[best] / p.sum())
 
 
-def follow_the_leader(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, k: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+def follow_the_leader(rows: list[tuple[np.ndarray, np.ndarray]] | Rows, labels: np.ndarray, k: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """Weights (DIM, k) and bias by FTRL-proximal with elastic net, one row at a time."""
     z, n = np.zeros((DIM + 1, k), np.float32), np.zeros((DIM + 1, k), np.float32)
 
@@ -177,12 +207,11 @@ def fit(docs: DataFrame, held_out: Column, sample: int = SAMPLE, seed: int = 7)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [features(x.decode(errors="replace"), idf) for x in b.column("text").to_pylist()]
-            columns = [b.column("lang"), b.column("_hash"), pa.array([a.astype("<u2").tobytes() for a, _ in got], pa.binary()), pa.array([x.astype("<f4").tobytes() for _, x in got], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["lang", "_hash", "at", "x"])
+            got = pa.array([packed(x.decode(errors="replace")) for x in b.column("text").to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column("lang"), b.column("_hash"), got], names=["lang", "_hash", "packed"])
 
-    made = taken.select("lang", "_hash", common.utf8(F.col("text")).alias("text")).mapInArrow(run, "lang string, _hash long, at binary, x binary")
-    rows = sorted(made.collect(), key=lambda r: (r[1], r[0], bytes(r[2])))
+    made = taken.select("lang", "_hash", common.utf8(F.col("text")).alias("text")).mapInArrow(run, "lang string, _hash long, packed binary")
+    rows = sorted(made.collect(), key=lambda r: (r[1], r[0]))
     seen: dict[str, int] = {}
     kept = []
     for r in rows:
@@ -190,13 +219,14 @@ def fit(docs: DataFrame, held_out: Column, sample: int = SAMPLE, seed: int = 7)
         if seen[r[0]] <= each:
             kept.append(r)
     index = {k: i for i, k in enumerate(languages)}
-    x = [(np.frombuffer(r[2], "<u2"), np.frombuffer(r[3], "<f4")) for r in kept]
     y = np.array([index[r[0]] for r in kept])
     apart = np.arange(len(y)) % 5 == 4 if len(y) >= 50 else np.zeros(len(y), bool)
-    weights, bias = follow_the_leader([v for v, a in zip(x, apart, strict=True) if not a], y[~apart], len(languages), seed)
+    seen_rows, others = (Rows([bytes(r[2]) for r, a in zip(kept, apart, strict=True) if a == which], idf) for which in (False, True))
+    del rows, kept
+    weights, bias = follow_the_leader(seen_rows, y[~apart], len(languages), seed)
     model = Model(languages, idf, weights, bias, 1.0)
     if apart.any():
-        logits = np.stack([v[1] @ weights[v[0]] + bias for v, a in zip(x, apart, strict=True) if a])
+        logits = np.stack([x @ weights[at] + bias for at, x in others])
         model.temperature = fit_temperature(logits, y[apart])
     return model
 
@@ -208,15 +238,13 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     shared = spark.sparkContext.broadcast(model)  # DIM rows at most
 
     def run(texts: Iterator[tuple]) -> Iterator:
-        import pandas as pd
-
         own = shared.value
         for text, known in texts:
-            found = [own.predict(x.decode(errors="replace")) if k and own else (UNKNOWN, 0.0) for x, k in zip(text, known, strict=True)]
-            yield pd.DataFrame(found, columns=["lang_pred", "score"])
+            found = [own.predict(x.decode(errors="replace")) if k and own else (UNKNOWN, 0.0) for x, k in zip(text.to_pylist(), known.to_pylist(), strict=True)]
+            yield pa.StructArray.from_arrays([pa.array([x for x, _ in found], pa.string()), pa.array([p for _, p in found], pa.float64())], ["lang_pred", "score"])
         common.give_back()
 
-    udf = F.pandas_udf(run, "lang_pred string, score double", F.PandasUDFType.SCALAR_ITER)
+    udf = F.arrow_udf(run, "lang_pred string, score double", ArrowUDFType.SCALAR_ITER)
     text = F.col("text")
     got = docs.withColumn("_language", udf(common.utf8(text), F.coalesce(text.rlike(r"\p{L}"), F.lit(False))))
     return got.select("*", "_language.lang_pred", "_language.score").drop("_language")

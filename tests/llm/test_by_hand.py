@@ -83,3 +83,19 @@ def test_rules_find_bad_held_out_rows_and_keep_good_ones(judged):
     assert lost <= 0.02 * len(good)
     if size == "0.1":  # the smaller table has too few labels for rules that find most; its figures are in the README
         assert len(bad) > 100 and caught >= 0.9 * len(bad)
+
+
+def test_packed_texts_unpack_to_their_vectors():
+    """What the driver holds of a sampled text is a fraction of its vector, and gives that vector bit for bit."""
+    import numpy as np
+
+    from reelgrid.llm import language_id
+
+    texts = ["", "x", "Über die Brücke " * 40, " ".join(f"word{i} {i * 7919 % 1000:x}" for i in range(900))]
+    idf = (1 + np.arange(language_id.DIM) % 7 / 7).astype(np.float32)
+    rows = language_id.Rows([language_id.packed(t) for t in texts], idf)
+    assert len(rows) == 4
+    for i, t in enumerate(texts):
+        (at, x), (want_at, want) = rows[i], language_id.features(t, idf)
+        assert at.tolist() == want_at.tolist() and x.tobytes() == want.tobytes()
+    assert len(rows.texts[3]) < 6 * len(rows[3][0]) / 2
