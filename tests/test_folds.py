@@ -103,3 +103,39 @@ def test_shared_boosts_are_those_of_pairs(spark):
     pairs = users.withColumn("list_id", list_of).join(lists, "list_id").select("user_id", "movie_id")
     want, got = profile.profile_boost(pairs, terms, affinity, watched), profile.shared_boosts(users, lists, list_of, terms, affinity, watched)
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() > 30
+
+
+@pytest.mark.parametrize("most", [4096, 30])
+def test_rated_running_is_that_of_events(spark, most):
+    """States in a user's row: nulls, ties of time, terms twice, no ratings, and users whose history is too long for a row; no event is shuffled by itself."""
+    r = random.Random(7)
+    ratings = spark.createDataFrame([(r.choice([1, 2, 3, None]), m % 25, r.choice([None, 1.0, 2.0, 4.5, 5.0]), r.choice([None, *range(9)])) for m in range(90)] + [(9, m % 25, 5.0, m) for m in range(60)], "user_id long, movie_id long, rating double, rated_at long")
+    terms = spark.createDataFrame([(m, d, k) for m in range(20) for d, k in (("genre", f"g{m % 3}"), ("tag", f"t{m % 4}"), ("tag", f"t{m % 2}"), ("theme", "x"))], "movie_id long, dimension string, key string")
+    got = profile.rated_running(ratings, terms, most)
+    want = profile.running_affinities(profile.rating_events(ratings, terms)).select(got.columns)
+    assert got.dtypes == want.dtypes
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() > 200
+    assert profile.rated_running(ratings.limit(0), terms).count() == 0
+
+
+def test_running_profile_sorts_no_ranges_of_events(spark, sf_dir):
+    from reelgrid.plans import queries
+
+    plan = queries.running_profile(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" in plan and "pieces" not in plan and plan.index("Generate") < plan.index("Exchange")
+
+
+@pytest.mark.parametrize("most", [4096, 2, 0])
+def test_boosts_that_are_looked_up_are_those_of_joins(spark, most):
+    """Candidates twice, terms twice, nulls, dimensions without a weight, users without affinities or with too many for a row; a candidate isn't joined once a term."""
+    r = random.Random(5)
+    pairs = spark.createDataFrame([(r.choice([*range(6), None]), r.choice([*range(10), None])) for _ in range(120)], "user_id long, movie_id long")
+    terms = spark.createDataFrame([(m, d, k) for m in range(9) for d, k in (("genre", f"g{m % 3}"), ("director", f"d{m % 2}"), ("tag", f"t{m % 4}"), ("tag", f"t{m % 2}"))], "movie_id long, dimension string, key string")
+    affinity = spark.createDataFrame([(u, d, k, r.choice([-1.5, 0.25, 2.0]), r.choice([1, 3])) for u in range(1, 7) for d, k in (("genre", "g0"), ("director", "d1"), ("tag", "t1"), ("era", "x")) if r.random() < 0.8], "user_id long, dimension string, key string, affinity double, confidence long")
+    want = profile.weighted_terms(pairs, terms, affinity).groupBy("user_id", "movie_id", "dimension").agg(F.sum("boost").alias("boost"))
+    got = profile.term_boosts(pairs, terms, affinity, most=most)
+    assert got.dtypes == want.dtypes
+    near = [sorted(map(str, df.withColumn("boost", F.round("boost", 9)).collect())) for df in (got, want)]  # sums in any order
+    assert near[0] == near[1] and len(near[0]) > 30
+    by_term = [x for x in got._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in x and "dimension" in x]
+    assert bool(by_term) == (most < 4096)
