@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from reelgrid.functions import documents, maths, ordering, text
 from reelgrid.functions.ordering import rank_descending
-from reelgrid.operators import account, catalog, diversity, fusion, learning, metrics, profile, ratings, reviews, rules, scoring, vectors
+from reelgrid.operators import account, catalog, diversity, fusion, learning, lexical, metrics, profile, ratings, reviews, rules, scoring, vectors
 from reelgrid.plans import adapters, recommend, router, understanding
 from reelgrid.sources import readers, sinks
 from reelgrid.streaming import events as streams
@@ -552,6 +552,35 @@ def test_live_affinities_count_equal_changes_and_keep_state_in_spark(spark, tmp_
     assert "Aggregate" in plan and "TransformWithState" not in plan  # no call between Python and the JVM for a key
 
 
+# lexical index
+
+
+DOCS = [(1, "a b a, c a"), (2, None), (3, ""), (4, "B"), (5, "c " * 50)]
+
+
+def test_postings_are_counted_in_rows_unless_an_id_has_several(spark):
+    docs = spark.createDataFrame(DOCS, "doc_id long, text string")
+    found = lexical.postings(docs)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert rows(found, "doc_id", "term", "tf", "doc_len") == [(1, "a", 3, 5), (1, "b", 1, 5), (1, "c", 1, 5), (4, "b", 1, 1), (5, "c", 50, 50)]
+    twice = lexical.postings(docs.unionByName(spark.createDataFrame([(4, "b b")], docs.schema)))
+    assert (4, "b", 3) in rows(twice, "doc_id", "term", "tf")
+
+
+def test_bm25_sums_pairs_without_a_shuffle_of_them(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"red w{i % 7} ring w{i % 3}") for i in range(200)], "doc_id long, text string")
+    asked = spark.createDataFrame([(q, f"w{q} ring red red") for q in range(5)] + [(9, None)], "query_id long, text string")
+    index = lexical.index(docs)
+    found = lexical.bm25(asked, *index, top=10)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(query_id" in plan and ", doc_id" not in "".join(x for x in plan.splitlines() if "Exchange hashpartitioning(query_id" in x)
+    assert found.schema["lane_rank"].dataType.simpleString() == "bigint"
+    columns = ("query_id", "doc_id", "score", "lane_rank")
+    monkeypatch.setattr(lexical, "WORDS", 0)
+    assert rows(found, *columns) == rows(lexical.bm25(asked, *index, top=10), *columns)
+    assert found.count() == 50
+
+
 # accounts
 
 
