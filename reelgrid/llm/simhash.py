@@ -200,14 +200,23 @@ def deduplicated(docs: DataFrame, width: int, radius: int) -> DataFrame:
     return rows.join(first.select("_row"), "_row", "left_semi").select("_doc.*")
 
 
-def row_pairs(rows: DataFrame, radius: int) -> DataFrame:
-    """Pairs a < b of _row in rows (_row, fp) that hold every component of linked fingerprints together: copies of a fingerprint to its smallest row, and the smallest rows along its links."""
+def stars_of(rows: DataFrame, radius: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs a < b of _row in rows (_row, fp) that hold every component of linked fingerprints together, and key and _row of the stars that those come from.
+
+    The pairs: copies of a fingerprint to its smallest row, and the smallest rows along its links. Any two rows with
+    linked fingerprints share a star: that of the smallest fingerprint which they meet on a value.
+    """
     ids = common.written(rows.groupBy("fp").agg(F.min("_row").alias("first"), F.count(F.lit(1)).alias("n")), "ids")
-    copies = common.spread_join(rows, ids, "fp", "n", "_row").filter("_row > first").select(F.col("first").alias("a"), F.col("_row").alias("b"))
-    found = edges(ids.select("fp"), radius)
+    placed = common.written(common.spread_join(rows, ids, "fp", "n", "_row").select("_row", "fp", "first"), "placed")
+    copies = placed.filter("_row > first").select(F.col("first").alias("a"), F.col("_row").alias("b"))
+    found = common.written(edges(ids.select("fp"), radius), "edges")
     of = lambda c: ids.select(F.col("fp").alias(c), F.col("first").alias(f"row_{c}"))
     met = found.join(of("a"), "a").join(of("b"), "b")
-    return copies.unionByName(met.select(F.least("row_a", "row_b").alias("a"), F.greatest("row_a", "row_b").alias("b")))
+    pairs = copies.unionByName(met.select(F.least("row_a", "row_b").alias("a"), F.greatest("row_a", "row_b").alias("b")))
+    hubs = found.select(F.col("b").alias("key")).unionByName(ids.filter("n > 1").select(F.col("fp").alias("key"))).distinct()
+    reach = hubs.select("key", F.col("key").alias("fp")).unionByName(found.select(F.col("b").alias("key"), F.col("a").alias("fp")))
+    around = common.written(reach.join(ids.select("fp", "n"), "fp").select("key", "fp", "n"), "around")
+    return pairs, around.join(placed, "fp").select("key", "_row")
 
 
 def report(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFrame:

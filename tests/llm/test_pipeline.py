@@ -103,3 +103,47 @@ def test_the_near_duplicate_stage_links_by_simhash(spark, monkeypatch):
     apart = spark.createDataFrame([(0, "a b c d"), (1, "e f g h")], "doc_id long, text string")
     monkeypatch.setattr(simhash, "fingerprint", lambda raw, width: 7)
     assert corpus_pipeline.STAGES[2][1](spark, apart, "").count() == 2
+
+
+def test_crowded_buckets_compare_all_that_is_apart(spark, monkeypatch):
+    """Two near copies that share one crowded bucket, whose smallest text is like neither, and nothing else."""
+    from reelgrid.llm import minhash
+
+    def bands(found):
+        return np.r_[np.uint64(7), found.sum() * np.arange(3, 2 * minhash.BANDS + 1, 2, np.uint64)[: minhash.BANDS - 1]]
+
+    monkeypatch.setattr(minhash, "bands", bands)
+    rows = [(i, " ".join(f"{i}w{k}" for k in range(100))) for i in range(12)]
+    rows += [(20, " ".join(["first", *rows[5][1].split()[1:]])), (21, " ".join(["other", *rows[9][1].split()[2:]]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {x.doc_id for x in minhash.deduplicated(docs, 5, 0.8).collect()} == set(range(12))
+    monkeypatch.setattr(minhash, "MEET", 3)  # many blocks
+    assert {x.doc_id for x in minhash.deduplicated(docs, 5, 0.8).collect()} == set(range(12))
+
+
+def test_simhash_stars_compare_all_that_is_apart(spark, monkeypatch):
+    """Copies of one fingerprint, two of them near copies that are unlike its first row."""
+    from reelgrid.llm import minhash, simhash
+
+    monkeypatch.setattr(minhash, "candidates", lambda r: spark.createDataFrame([], "a long, b long"))
+    monkeypatch.setattr(simhash, "fingerprint", lambda raw, width: 7)
+    rows = [(i, " ".join(f"{i}w{k}" for k in range(100))) for i in range(3)]
+    rows.append((3, " ".join([*rows[2][1].split()[:-1], "other"])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    assert {x.doc_id for x in minhash.deduplicated(docs, 5, 0.8, 4).collect()} == {0, 1, 2}
+
+
+def test_blocks_of_one_component_meet_others_only(spark):
+    """Shared shingles by matrix products, and a large component whose blocks pass each other over."""
+    from reelgrid.llm import minhash
+
+    r = np.random.default_rng(5)
+    sets = [np.unique(r.integers(0, 9000, r.integers(1, 6000), np.uint64)) for _ in range(7)]
+    want = [[len(np.intersect1d(x, y)) for y in sets[4:]] for x in sets[:4]]
+    assert minhash.shared(sets[:4], sets[4:]).tolist() == want
+    base = [f"b{i}" for i in range(200)]
+    texts = [(i, " ".join([*base, f"x{i}"])) for i in range(600)] + [(600, " ".join([*base[:180], *[f"y{i}" for i in range(8)]]))]
+    met = spark.createDataFrame([(1, i) for i, _ in texts], "key long, _row long")
+    found = spark.createDataFrame([(i, 0) for i in range(600)], "node long, component long")
+    got = minhash.late_links(met, spark.createDataFrame(texts, "_row long, text string"), found, 5, 0.8).collect()
+    assert got and all(x.b == 600 and x.a < 600 for x in got)
