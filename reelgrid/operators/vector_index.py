@@ -32,6 +32,8 @@ from pyspark.sql import types as T
 from reelgrid.functions import maths
 from reelgrid.sources import shared
 
+from . import vectors
+
 #: Vectors that centroids are fitted on, about, rounds of that, and centroids at most.
 SAMPLE = 20_000
 FITS = 10
@@ -143,7 +145,12 @@ class VectorIndex:
         return self._nearest(asked, probes).select("query_id", F.col("vector").alias("_q"), "list", pieces)
 
     def search(self, queries: DataFrame, top: int = 100, probes: int = PROBES) -> DataFrame:
-        """query_id, item_id, score and lane_rank as vectors.nearest, of the items in the probed lists."""
+        """query_id, item_id, score and lane_rank as vectors.nearest, of the items in the probed lists.
+
+        Where all lists are probed, no list is told from another: blocks of the stored vectors meet blocks of queries in matrix products.
+        """
+        if probes >= len(self.centroids.value):
+            return vectors.nearest(queries, self.table().select("item_id", "vector"), top)
         pairs = self._probed(queries, probes).join(self.table().hint("merge"), ["list", "piece"])
         score = F.round(F.greatest(F.lit(0.0), maths.clamp(maths.dot(F.col("vector"), F.col("_q")), -1.0, 1.0)), 6)
         scored = pairs.select("query_id", "item_id", score.alias("score"))

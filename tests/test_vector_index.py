@@ -80,3 +80,10 @@ def test_index_of_nothing(spark, asked):
     index = VectorIndex.create(spark.createDataFrame([], ITEMS), fresh(spark, name), name)
     assert index.search(asked, 5).count() == 0
     index.drop()
+
+
+def test_all_lists_are_scored_in_blocks(index, asked):
+    """No row for each pair of a query and a vector, and no query for each list."""
+    plan = index.search(asked, 20, 1000)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "CartesianProduct" in plan
+    assert "hashpartitioning(list" not in plan
