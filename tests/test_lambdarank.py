@@ -108,3 +108,17 @@ def test_ndcg_over_ties(spark):
         want[u] = sum(sum(g * disc(p, 3) for p, (_, g) in enumerate(o, 1)) for o in orders) / len(orders) / ideal
     assert got == {u: pytest.approx(v, abs=1e-6) for u, v in want.items()}
 
+
+
+def test_trees_grow_from_pools_alone(spark, pools, monkeypatch):
+    """Nothing is written or shuffled for a tree but histograms: rows are written before the first tree, and scores every so many trees, which changes no tree."""
+    names, written = [], lambdarank.written
+    monkeypatch.setattr(lambdarank, "written", lambda df, name: names.append(name) or written(df, name))
+    few = pools.filter("user_id < 30")
+    found = lambdarank.train(few, ["a", "b"], trees=4, depth=2)
+    assert names == ["binned", "pools"]
+    monkeypatch.setattr(lambdarank, "KEPT", 2)
+    again = lambdarank.train(few, ["a", "b"], trees=4, depth=2)
+    assert names == ["binned", "pools"] * 2 + ["pools"]
+    shape = lambda t: (t["feature"], t["most"], shape(t["low"]), shape(t["high"])) if "feature" in t else round(t["value"], 9)
+    assert [shape(t) for t in found.trees] == [shape(t) for t in again.trees] and len(found.trees) == 4
