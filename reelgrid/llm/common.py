@@ -22,6 +22,8 @@ from reelgrid.sources.shared import remove, shared_dir
 #: Documents in an Arrow batch and bytes in one, so that a Python worker holds a bounded piece of a partition.
 BATCH_ROWS = 256
 BATCH_BYTES = 8 << 20
+#: Rows of a row group, where rows are up to a megabyte each.
+WIDE_ROWS = 16
 #: Rows of one key up to which it is not dealt over tasks.
 SPREAD_ROWS = 4096
 #: Bits of the filter that says which rows need to meet others at all.
@@ -35,11 +37,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: lineage ends there, and a lost executor loses none of it."""
+def written(df: DataFrame, name: str, wide: bool = False) -> DataFrame:
+    """df as a Parquet table in the shared folder: lineage ends there, and a lost executor loses none of it.
+
+    wide: its rows are large, so that a reader, which holds thousands of rows of a row group at once, gets groups of a few.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    to = df.write.options(**{"parquet.block.row.count.limit": WIDE_ROWS, "parquet.page.size.row.check.min": WIDE_ROWS}) if wide else df.write
+    to.parquet(path)
     _made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 

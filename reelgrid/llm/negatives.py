@@ -160,7 +160,7 @@ def indexed(rows: DataFrame, lists: int = LISTS, sample: int = SAMPLE, seed: int
             yield from emit()
 
     made = dealt.mapInArrow(packed, "list int, piece int, n int, rows binary, ids binary, known binary, labels binary, vectors binary")
-    return Index(common.written(made, "pieces"), facts.select("list", "pieces"), spark.sparkContext.broadcast((shared.value, radius)), dim)
+    return Index(common.written(made, "pieces", wide=True), facts.select("list", "pieces"), spark.sparkContext.broadcast((shared.value, radius)), dim)
 
 
 def best(q: np.ndarray, members: np.ndarray, may: np.ndarray, low: np.ndarray, high: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -209,7 +209,7 @@ def search(index: Index, queries: DataFrame, k: int) -> DataFrame:
                 fixed = [b.column(c).to_numpy(zero_copy_only=False) for c in names[:-1]]
                 for at in np.flatnonzero(wanted.any(0)):
                     who = np.flatnonzero(wanted[:, at])
-                    raw = [*[x[who].tobytes() for x in fixed], q[who].tobytes()]
+                    raw = [*[x[who].tobytes() for x in fixed], q[who].astype(np.int32).tobytes()]
                     yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), *[pa.array([r], pa.binary()) for r in raw]], names=["list", *names])
 
         return run
@@ -218,7 +218,7 @@ def search(index: Index, queries: DataFrame, k: int) -> DataFrame:
         for b in batches:
             for x in b.to_pylist():
                 qid, row, label, low, high = (np.frombuffer(x[c], np.int64) for c in ("qid", "row", "label", "low", "high"))
-                same, q = np.frombuffer(x["same"], bool), np.frombuffer(x["v"], np.float64).reshape(-1, dim)
+                same, q = np.frombuffer(x["same"], bool), np.frombuffer(x["v"], np.int32).reshape(-1, dim).astype(np.float64)
                 rows, ids, labels = (np.frombuffer(x[c], np.int64) for c in ("rows", "ids", "labels"))
                 known = np.frombuffer(x["known"], bool)
                 members = np.frombuffer(x["vectors"], np.int32).reshape(-1, dim).astype(np.float64)
@@ -234,7 +234,7 @@ def search(index: Index, queries: DataFrame, k: int) -> DataFrame:
         # a query keeps its place beside those near it: no shuffle of vectors
         asked = near.join(kth, "qid", "left") if first else near.withColumn("least", F.lit(None).cast("long"))
         blocks = asked.mapInArrow(visits(first, last), "list int, " + ", ".join(f"{c} binary" for c in names))
-        blocks = common.written(blocks, "visits")
+        blocks = common.written(blocks, "visits", wide=True)
         if blocks.isEmpty():
             break
         sent = blocks.join(F.broadcast(index.facts), "list").withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).drop("pieces")

@@ -7,9 +7,10 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
-from reelgrid.llm import decontamination, negatives, resampling
+from reelgrid.llm import common, decontamination, negatives, resampling
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -193,3 +194,12 @@ def test_best_of_a_piece():
     assert (at.tolist(), sorted(m.tolist()), score.tolist()) == ([0, 0], [0, 2], [25, 25])
     at, m, _ = negatives.best(q, members, np.ones((1, 3), bool), np.array([-100]), np.array([0]), 2)
     assert m.tolist() == [1]
+
+
+def test_pieces_of_lists_are_read_a_few_at_once(spark):
+    """A reader holds a row group at once: a few pieces, which are up to half a megabyte each."""
+    rows = [(i, [float(i % 97), float(i % 89), float(i % 83)], i % 3, 1, "a", "b") for i in range(3000)]
+    index = negatives.indexed(negatives.vectors(spark.createDataFrame(rows, EMBEDDING).selectExpr("vec_id", "embedding", "cast(label AS long) AS label")))
+    files = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in index.pieces.inputFiles()]
+    assert sum(m.num_rows for m in files) > 40
+    assert max(m.row_group(i).num_rows for m in files for i in range(m.num_row_groups)) <= common.WIDE_ROWS
