@@ -669,3 +669,20 @@ def test_latest_carries_named_columns_once(spark):
     assert named.columns == df.columns
     assert sorted(map(str, named.collect())) == sorted(map(str, free.collect())) == sorted(map(str, [Row(k=1, at=3, x="c", n=4), Row(k=2, at=None, x="d", n=1), Row(k=None, at=1, x="e", n=2)]))
     assert ordering.latest(df.select("k", "at"), ["k"], ["at"]).count() == 3
+
+
+def test_candidates_that_cannot_be_chosen_leave_the_list(spark):
+    """With 100 candidates whose scores spread evenly, most go; what is chosen stays that of the plain version, ties and full franchises included."""
+    r = random.Random(31)
+    groups = [[(q, i, 1 - i / 100 if q < 3 else r.choice([0.0, 0.5, 0.6, 1.0]), f"Title {r.randrange(30 if q < 5 else 3)}", f"The C{r.randrange(20 if q < 5 else 2)} Collection", [r.choice("ab")]) for i in range(100)] for q in range(8)]
+    df = spark.createDataFrame([x for g in groups for x in g], "query_id long, movie_id long, final_score double, title string, collection string, genres array<string>")
+    keys = {tuple(x[:2]): x[2] for x in df.select("query_id", "movie_id", text.franchise_key(F.col("collection"), F.col("title"))).collect()}
+    want = set()
+    for g in groups:
+        g = sorted(g, key=lambda x: (-x[2], x[1]))
+        want |= {(x[0], k + 1, g[p][1]) for x in g[:1] for k, p in enumerate(plain_mmr.select([x[2] for x in g], [plain_mmr.item(keys[x[0], x[1]], x[5]) for x in g], 10, 0.75, 2))}
+    assert set(map(tuple, diversity.diversified(df, 10).select("query_id", "final_rank", "movie_id").collect())) == want
+    listed = F.transform(F.sequence(F.lit(0), F.lit(99)), lambda i: F.struct(i.alias("place"), F.concat(F.lit("f"), i % 20).alias("franchise"), (1 - i / 99).alias("relevance")))
+    full = F.transform(F.sequence(F.lit(0), F.lit(99)), lambda i: F.struct(i.alias("place"), F.lit("f").alias("franchise"), (1 - i / 99).alias("relevance")))
+    got = spark.range(1).select(F.size(diversity.contenders(listed, 10, 0.75, 2)), F.size(diversity.contenders(full, 10, 0.75, 2))).first()
+    assert (got[0], got[1]) == (42, 100)
